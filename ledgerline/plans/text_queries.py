@@ -200,7 +200,7 @@ WHERE digest NOT IN (SELECT sha256(unnest(regexp_split_to_array(text, '\\n'))) F
 )
 def not_default(t):
     """Lines of documents that are not known lines of the benchmark texts."""
-    known = t.benchmark.select(F.sha2(F.explode(F.split("text", "\n")), 256).alias("digest"))
+    known = t.benchmark.select(F.explode(F.split("text", "\n")).alias("line")).select(F.sha2("line", 256).alias("digest"))
     lines = doc_lines(t).select("path", "line", F.sha2("text", 256).alias("digest"))
     return S.not_default(lines, F.col("digest"), known)
 
