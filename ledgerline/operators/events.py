@@ -334,13 +334,25 @@ def run_report(rows: DataFrame, now_epoch: Column) -> DataFrame:
     )
 
 
-def join_scope(runners: DataFrame, repos: DataFrame, name: str, scope: str) -> DataFrame:
+def join_scope(runners: DataFrame, repos: DataFrame, name: str, scope: str | Column) -> DataFrame:
     """Runners of one name whose repository is ``owner/name``, ignoring case."""
     full = F.lower(F.concat_ws("/", F.col("owner_name"), F.col("lower_name")))
-    wanted = repos.where(full == scope.lower()).select(F.col("id").alias("repo_id"))
+    scope = F.lit(scope) if isinstance(scope, str) else scope
+    wanted = repos.where(full == F.lower(scope)).select(F.col("id").alias("repo_id"))
     return runners.where((F.col("name") == name) & (F.col("repo_id") != 0)).join(wanted, "repo_id").select("uuid")
 
 
 def latest(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows with the highest key; the limit counts joined rows."""
     return df.orderBy(F.col(key).desc(), *[F.col(name) for name in df.columns if name != key]).limit(n)
+
+
+def latest_runs(runs: DataFrame, jobs: DataFrame, n: int) -> DataFrame:
+    """J4 with T1: the newest n joined rows.
+
+    Every run gives at least one row, so the newest n runs hold the answer; only their
+    jobs are joined, and the broadcast side has n rows.
+    """
+    newest = runs.orderBy(F.col("id").desc()).limit(n)
+    ids = F.broadcast(newest.select(F.col("id").alias("run_id")))
+    return latest(runs_with_jobs(newest, jobs.join(ids, "run_id", "left_semi")), "id", n)

@@ -86,13 +86,14 @@ def rollbacks(df: DataFrame, current: str, selected: str) -> DataFrame:
 def process_target(current: Column, is_default: Column, latest: Column, published: Column, now: Column, hold_hours: int, file_present: Column) -> Column:
     """Decision for one pin, in the order: file, pin, custom, current, hold, updated."""
     held = now - published < F.make_dt_interval(F.lit(0), F.lit(hold_hours))
+    outcome = lambda status, detail: F.struct(F.lit(status).alias("status"), F.lit(detail).alias("detail"))
     return (
-        F.when(~file_present, F.struct(F.lit("skip").alias("status"), F.lit("file not present").alias("detail")))
-        .when(current.isNull(), F.struct(F.lit("skip"), F.lit("version pin not present")))
-        .when(~is_default, F.struct(F.lit("skip"), F.lit("custom operator pin")))
-        .when(latest == current, F.struct(F.lit("current"), F.lit("already at latest")))
-        .when(held, F.struct(F.lit("hold"), F.lit("inside the hold period")))
-        .otherwise(F.struct(F.lit("updated"), F.lit("release is old enough")))
+        F.when(~file_present, outcome("skip", "file not present"))
+        .when(current.isNull(), outcome("skip", "version pin not present"))
+        .when(~is_default, outcome("skip", "custom operator pin"))
+        .when(latest == current, outcome("current", "already at latest"))
+        .when(held, outcome("hold", "inside the hold period"))
+        .otherwise(outcome("updated", "release is old enough"))
     )
 
 

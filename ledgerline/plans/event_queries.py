@@ -267,11 +267,10 @@ def runs_with_jobs(t):
 
 @query(
     "latest_runs",
-    f"""WITH {JOINED} SELECT * FROM joined ORDER BY id DESC, created, event, job_name, job_status, started, status, stopped, task_id, workflow_id LIMIT 20""",
+    f"""WITH {JOINED} SELECT * FROM joined ORDER BY id DESC, status, event, workflow_id, created, job_name, job_status, task_id, started, stopped LIMIT 20""",
 )
 def latest_runs(t):
-    joined = E.runs_with_jobs(runs(t), jobs(t))
-    return E.latest(joined.select("id", *sorted(name for name in joined.columns if name != "id")), "id", 20)
+    return E.latest_runs(runs(t), jobs(t), 20)
 
 
 def status_sql(column: str) -> str:
