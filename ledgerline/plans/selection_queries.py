@@ -49,17 +49,17 @@ def change_summary(t):
 
 
 def registry(t):
-    """Suppliers as services, their nation as module; solvent ones hold state."""
-    return t.supplier.select(
-        F.col("s_name").alias("service"), F.concat(F.lit("m"), "s_nationkey").alias("terraform_module"),
-        (F.col("s_acctbal") > 5000).alias("state_capable"), (F.col("s_acctbal") < 9000).alias("enabled"),
+    """Nations as services with a module each; some regions hold no state or are switched off."""
+    return t.nation.select(
+        F.col("n_name").alias("service"), F.concat(F.lit("m"), "n_nationkey").alias("terraform_module"),
+        (F.col("n_regionkey") != 2).alias("state_capable"), (F.col("n_regionkey") != 4).alias("enabled"),
     )
 
 
 OWNED = f"""{PLAN},
-owned AS (SELECT address, actions, 'm' || s_nationkey AS module, s_name AS service
-  FROM kinds JOIN supplier ON 'm' || s_nationkey = regexp_extract(address, '^module\\.([^.\\[]+)', 1)
-  WHERE destructive AND s_acctbal > 5000 AND s_acctbal < 9000)"""
+owned AS (SELECT address, actions, 'm' || n_nationkey AS module, n_name AS service
+  FROM kinds JOIN nation ON 'm' || n_nationkey = regexp_extract(address, '^module\\.([^.\\[]+)', 1)
+  WHERE destructive AND n_regionkey NOT IN (2, 4))"""
 
 
 def owned(t):
