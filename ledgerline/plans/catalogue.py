@@ -6,7 +6,17 @@ import importlib
 
 from ledgerline.plans.registry import ORACLES, QUERIES
 
-MODULES = ["integrity_queries", "text_queries", "event_queries", "selection_queries", "config_queries"]
+MODULES = [
+    "integrity_queries",
+    "text_queries",
+    "event_queries",
+    "selection_queries",
+    "config_queries",
+    "graph_queries",
+    "source_queries",
+    "stream_queries",
+    "migration_queries",
+]
 
 for _module in MODULES:
     importlib.import_module(f"ledgerline.plans.{_module}")

@@ -412,6 +412,9 @@ def normalize_times(t):
 
 @query(
     "normalize_json",
+    r"""
+SELECT event_id, '{"items":[{"raw":"' || replace(props, '"', '\"') || '","ref":"' || event_id || '"}],"owner":"' || user_id || '"}' AS value,
+  CAST(NULL AS VARCHAR) AS error FROM events""",
 )
 def normalize_json(t):
     """P4 on nested documents that hold references; Python sees only the schemaless column."""

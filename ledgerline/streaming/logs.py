@@ -57,7 +57,8 @@ def stream_changes(events: DataFrame, key: str, ts: str, state: str, terminal: l
             done = current in finished
             yield pd.DataFrame([(keys[0], moment, current, "terminal" if done else "change")], columns=["key", "ts", "state", "outcome"])
         store.update((moment, current, done))
-        store.setTimeoutTimestamp(max(store.getCurrentWatermarkMs(), 0) + timeout_ms)
+        quiet_until = int(moment.timestamp() * 1000) + timeout_ms
+        store.setTimeoutTimestamp(max(store.getCurrentWatermarkMs() + 1, quiet_until))
 
     ordered = events.withWatermark(ts, delay).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(state).alias("state"))
     return ordered.groupBy("key").applyInPandasWithState(
