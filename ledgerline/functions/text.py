@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,15 +11,16 @@ from pyspark.sql import types as T
 # Line boundaries of a text file.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
-# The seven rewrites, applied in this order.
+# The seven rewrites, applied in this order.  The third item is a text that
+# every match contains; values without it skip the pattern.
 REDACTIONS = (
-    (r"(?iU)(authorization:\s*)(?:basic|bearer)?\s*[^\s]+", "$1<redacted>"),
-    (r"(?iU)\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASS|API_KEY)[A-Z0-9_]*)=([^\s]+)", "$1=<redacted>"),
-    (r"(?U)\b[0-9a-fA-F]{40,}\b", "<token>"),
-    (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])", "<ip>"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
-    (r"(?U)https?://[^\s]+", "<url>"),
-    (r"(?U)git@[^\s:]+:[^\s]+", "<ssh-url>"),
+    (r"(?iU)(authorization:\s*)(?:basic|bearer)?\s*[^\s]+", "$1<redacted>", ":"),
+    (r"(?iU)\b([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|PASS|API_KEY)[A-Z0-9_]*)=([^\s]+)", "$1=<redacted>", "="),
+    (r"(?U)\b[0-9a-fA-F]{40,}\b", "<token>", ""),
+    (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])", "<ip>", "."),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>", "@"),
+    (r"(?U)https?://[^\s]+", "<url>", "://"),
+    (r"(?U)git@[^\s:]+:[^\s]+", "<ssh-url>", "git@"),
 )
 
 # Address candidates and the addresses that may appear in public text.
@@ -38,7 +41,9 @@ DOCUMENTATION_IPV6 = "2001:db8::/32"
 
 # Secret patterns and what makes a value a placeholder.
 PRIVATE_KEY = r"BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY"
+TOKEN_PREFIXES = ("ghp_", "github_pat_", "glpat-", "xoxb-", "sk-")
 TOKEN_PREFIX = r"(?U)\b(ghp_|github_pat_|glpat-|xoxb-|sk-)[A-Za-z0-9_\-]{10,}"
+SECRET_NAMES = ("TOKEN", "PASS", "SECRET", "API_KEY")
 SECRET_ASSIGNMENT = r"(?U)\b([A-Z0-9_]*(?:TOKEN|PASSWORD|SECRET|API_KEY|PASS)[A-Z0-9_]*)\s*[=:]\s*([^\s#]+)"
 PINNED_REQUIREMENT = r"^[A-Za-z0-9_.-]+==[A-Za-z0-9_.!+-]+$"
 PLACEHOLDERS = (
@@ -59,13 +64,14 @@ EXEMPT_VALUES = ("str", "None", "{")
 ALLOW_IP_MARKER = "public-safety: allow-ip"
 ALLOW_SECRET_MARKER = "public-safety: allow-secret"
 
-# Patterns that must not remain in published output.
+# Patterns that must not remain in published output, with texts of which
+# every match contains one.
 LEAKS = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    r"(?U)\b(?:10|127)\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    r"(?U)\b172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3}\b",
-    r"(?U)\b192\.168\.\d{1,3}\.\d{1,3}\b",
-    r"(?iU)\b(?:token|password|secret|authkey|api[_-]?key)\s*[:=]\s*[^\s]+",
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    (r"(?U)\b(?:10|127)\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", ("10.", "127.")),
+    (r"(?U)\b172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3}\b", ("172.",)),
+    (r"(?U)\b192\.168\.\d{1,3}\.\d{1,3}\b", ("192.168.",)),
+    (r"(?iU)\b(?:token|password|secret|authkey|api[_-]?key)\s*[:=]\s*[^\s]+", (":", "=")),
 )
 EXAMPLE_REPLACEMENTS = (("192.0.2.", "198.51.100."), ("example.internal", "example.invalid"))
 
@@ -75,26 +81,49 @@ IMAGE_REFERENCE = r"^(docker\.io)/([a-z0-9][a-z0-9._/-]*):([^@\s]+)@sha256:([0-9
 
 def split_lines(text: Column) -> Column:
     """Lines of a text; a trailing line break does not add an empty line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    size = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), size - 1)).otherwise(parts)
+
+    def trimmed(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(text, LINE_BREAK, -1), trimmed)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def contains_any(text: Column, literals: Iterable[str]) -> Column:
+    """True if the text contains one of the literals."""
+    found = F.lit(False)
+    for literal in literals:
+        found = found | text.contains(literal)
+    return found
 
 
 def redact(col: Column) -> Column:
     """Seven rewrites in a fixed order, one projection."""
-    for pattern, replacement in REDACTIONS:
-        col = F.regexp_replace(col, pattern, replacement)
+    for pattern, replacement, needed in REDACTIONS:
+        col = _rewrite(col, pattern, replacement, needed) if needed else F.regexp_replace(col, pattern, replacement)
     return col
 
 
+def _rewrite(col: Column, pattern: str, replacement: str, needed: str) -> Column:
+    return let(col, lambda x: F.when(x.contains(needed), F.regexp_replace(x, pattern, replacement)).otherwise(x))
+
+
 def leaks(col: Column) -> Column:
     """True if private-looking data remains after example values are scrubbed."""
     for old, new in EXAMPLE_REPLACEMENTS:
         col = F.replace(col, F.lit(old), F.lit(new))
-    found = F.lit(False)
-    for pattern in LEAKS:
-        found = found | col.rlike(pattern)
-    return found
+
+    def found(x: Column) -> Column:
+        hit = F.lit(False)
+        for pattern, needed in LEAKS:
+            hit = hit | (contains_any(x, needed) & x.rlike(pattern))
+        return hit
+
+    return let(col, found)
 
 
 def canonical_json(value: Column, schema: T.DataType) -> Column:

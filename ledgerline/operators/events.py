@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import age_text, decode_status, duration_text, to_utc
-from ledgerline.skew import attach
+from ledgerline.skew import attach, hot_keys
 from ledgerline.violations import failed_rules
 
 # Schema version, event types, recipes, failure codes, mutation boundaries.
@@ -110,12 +110,13 @@ def check_lifecycle(events: DataFrame, part: list[str], seq: str, is_start: Colu
     two aggregates decide every row.  Returns (part, seq, rule).
     """
     marked = events.select(*part, seq, is_start.alias("_s"), is_terminal.alias("_t")).where("_s OR _t")
+    hot = hot_keys(marked, part)
     starts = marked.groupBy(*part).agg(F.min(F.when(F.col("_s"), F.col(seq))).alias("_first_start"))
-    with_start = attach(marked, starts, part, "left")
+    with_start = attach(marked, starts, part, "left", hot=hot)
     closes = with_start.groupBy(*part).agg(
         F.min(F.when(F.col("_t") & (F.col(seq) > F.col("_first_start")), F.col(seq))).alias("_close")
     )
-    judged = attach(with_start, closes, part, "left")
+    judged = attach(with_start, closes, part, "left", hot=hot)
     rule = F.when(F.col("_s") & (F.col(seq) > F.col("_first_start")), F.lit("command id is reused")).when(
         F.col("_t") & ~F.coalesce(F.col(seq) == F.col("_close"), F.lit(False)), F.lit("terminal without open start")
     )

@@ -69,31 +69,40 @@ def ipv6_allowed(addresses: pd.Series) -> pd.Series:
     return addresses.map(one).astype(bool)
 
 
-def _ip_message(address: str) -> Column:
-    return F.concat(F.lit("non-example IP literal "), F.col(address))
+def _candidates(text: Column, pattern: str, needed: str) -> Column:
+    """Matches of a pattern; texts without the needed character skip it."""
+    none = F.array().cast("array<string>")
+    return F.when(text.contains(needed), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+
+
+def ipv4_findings(text: Column) -> Column:
+    """Messages for the IPv4 literals of a line that are valid and not allowed."""
+    hits = F.filter(_candidates(text, X.IPV4_CANDIDATE, "."), lambda ip: is_ipv4(ip) & ~ipv4_allowed(ip))
+    return F.transform(hits, lambda ip: F.concat(F.lit("non-example IP literal "), ip))
+
+
+def _judge_ipv6(hits: DataFrame) -> DataFrame:
+    """Findings for candidates in column ``_candidate``; Python sees only these strings."""
+    valid = hits.withColumn("address", ipv6_canonical("_candidate")).where(F.col("address").isNotNull())
+    message = F.concat(F.lit("non-example IP literal "), F.col("address"))
+    return valid.where(~ipv6_allowed("address")).select("path", "line", message.alias("message"))
 
 
 def scan_ipv4(lines: DataFrame) -> DataFrame:
     """C2, IPv4 part: one finding per hit; text that is not a valid address is ignored."""
-    hits = without_marker(lines, X.ALLOW_IP_MARKER).select(
-        "path", "line", F.explode(F.regexp_extract_all("text", F.lit(X.IPV4_CANDIDATE), F.lit(0))).alias("address")
-    )
-    bad = hits.where(is_ipv4(F.col("address")) & ~ipv4_allowed(F.col("address")))
-    return bad.select("path", "line", _ip_message("address").alias("message"))
+    kept = without_marker(lines, X.ALLOW_IP_MARKER)
+    return kept.select("path", "line", F.explode(ipv4_findings(F.col("text"))).alias("message"))
 
 
 def scan_ipv6(lines: DataFrame) -> DataFrame:
-    """C2, IPv6 part; Python sees only the candidate strings."""
-    hits = without_marker(lines, X.ALLOW_IP_MARKER).where(F.col("text").rlike(X.IPV6_CANDIDATE)).select(
-        "path", "line", F.explode(F.regexp_extract_all("text", F.lit(X.IPV6_CANDIDATE), F.lit(0))).alias("_candidate")
-    )
-    valid = hits.withColumn("address", ipv6_canonical("_candidate")).where(F.col("address").isNotNull())
-    return valid.where(~ipv6_allowed("address")).select("path", "line", _ip_message("address").alias("message"))
+    """C2, IPv6 part."""
+    kept = without_marker(lines, X.ALLOW_IP_MARKER)
+    return _judge_ipv6(kept.select("path", "line", F.explode(_candidates(F.col("text"), X.IPV6_CANDIDATE, ":")).alias("_candidate")))
 
 
 def scan_ips(lines: DataFrame) -> DataFrame:
-    """Both families."""
-    return scan_ipv4(lines).unionByName(scan_ipv6(lines))
+    """Both families, in one pass over the lines."""
+    return _scan_once(lines, addresses=True)
 
 
 def is_placeholder(value: Column) -> Column:
@@ -121,20 +130,28 @@ def secret_assignments(text: Column, pattern: str = X.SECRET_ASSIGNMENT) -> Colu
     return F.transform(F.filter(pairs, real), lambda pair: pair["key"])
 
 
-def scan_secrets(lines: DataFrame, assignment: str = X.SECRET_ASSIGNMENT) -> DataFrame:
-    """Private-key headers, token prefixes, secret assignments."""
-    text = F.col("text")
-    open_lines = without_marker(lines, X.ALLOW_SECRET_MARKER).where(~F.trim(text).rlike(X.PINNED_REQUIREMENT))
+def secret_findings(text: Column, assignment: str = X.SECRET_ASSIGNMENT, names: tuple[str, ...] = X.SECRET_NAMES) -> Column:
+    """Messages for one line: private-key header, token prefix, secret assignments."""
     empty = F.array().cast("array<string>")
-    messages = F.concat(
-        F.when(text.rlike(X.PRIVATE_KEY), F.array(F.lit("private key material"))).otherwise(empty),
-        F.when(text.rlike(X.TOKEN_PREFIX), F.array(F.lit("token-like literal"))).otherwise(empty),
-        F.transform(
-            secret_assignments(text, assignment),
-            lambda key: F.concat(F.lit("secret-like assignment "), key, F.lit("=<redacted>")),
-        ),
+    key = text.contains("PRIVATE KEY") & text.rlike(X.PRIVATE_KEY)
+    token = X.contains_any(text, X.TOKEN_PREFIXES) & text.rlike(X.TOKEN_PREFIX)
+    assigned = F.transform(
+        secret_assignments(text, assignment), lambda name: F.concat(F.lit("secret-like assignment "), name, F.lit("=<redacted>"))
     )
-    return open_lines.select("path", "line", F.explode(messages).alias("message"))
+    pinned = text.contains("==") & F.trim(text).rlike(X.PINNED_REQUIREMENT)
+    exempt = text.contains(X.ALLOW_SECRET_MARKER) | pinned
+    return F.when(exempt, empty).otherwise(
+        F.concat(
+            F.when(key, F.array(F.lit("private key material"))).otherwise(empty),
+            F.when(token, F.array(F.lit("token-like literal"))).otherwise(empty),
+            F.when(X.contains_any(text, names), assigned).otherwise(empty) if names else assigned,
+        )
+    )
+
+
+def scan_secrets(lines: DataFrame, assignment: str = X.SECRET_ASSIGNMENT, names: tuple[str, ...] = X.SECRET_NAMES) -> DataFrame:
+    """One row per finding.  ``names`` are texts of which every assignment holds one (empty: no such text)."""
+    return lines.select("path", "line", F.explode(secret_findings(F.col("text"), assignment, names)).alias("message"))
 
 
 def scan_literal(lines: DataFrame, literal: str, message: str) -> DataFrame:
@@ -147,13 +164,33 @@ SENSITIVE_REFERENCE = "private/"
 SENSITIVE_MESSAGE = "repo-local sensitive directory reference"
 
 
+def _scan_once(lines: DataFrame, literal: bool = False, addresses: bool = False, secrets: bool = False) -> DataFrame:
+    """Findings of the chosen rules; every line is read once and exploded to its hits."""
+    text = F.col("text")
+    empty = F.array().cast("array<string>")
+    said = []
+    if literal:
+        said.append(F.when(text.contains(SENSITIVE_REFERENCE), F.array(F.lit(SENSITIVE_MESSAGE))).otherwise(empty))
+    open_ip = ~text.contains(X.ALLOW_IP_MARKER)
+    if addresses:
+        said.append(F.when(open_ip, ipv4_findings(text)).otherwise(empty))
+    if secrets:
+        said.append(secret_findings(text))
+    plain = F.transform(F.concat(*said), lambda m: F.struct(m.alias("message"), F.lit(None).cast("string").alias("candidate")))
+    if not addresses:
+        return lines.select("path", "line", F.explode(plain).alias("hit")).select("path", "line", "hit.message")
+    asked = F.when(open_ip, _candidates(text, X.IPV6_CANDIDATE, ":")).otherwise(empty)
+    both = F.concat(plain, F.transform(asked, lambda c: F.struct(F.lit(None).cast("string").alias("message"), c.alias("candidate"))))
+    hits = lines.select("path", "line", F.explode(both).alias("hit")).select("path", "line", "hit.message", "hit.candidate")
+    # rows with a ready message pass the Arrow functions as null candidates
+    judged = hits.withColumn("address", ipv6_canonical("candidate")).withColumn("allowed", ipv6_allowed("address"))
+    message = F.coalesce("message", F.when(~F.col("allowed"), F.concat(F.lit("non-example IP literal "), F.col("address"))))
+    return judged.select("path", "line", message.alias("message")).where(F.col("message").isNotNull())
+
+
 def scan(lines: DataFrame) -> DataFrame:
-    """All findings; sort by (path, line) to present them."""
-    return (
-        scan_literal(lines, SENSITIVE_REFERENCE, SENSITIVE_MESSAGE)
-        .unionByName(scan_ips(lines))
-        .unionByName(scan_secrets(lines))
-    )
+    """All findings in one pass; sort by (path, line) to present them."""
+    return _scan_once(lines, literal=True, addresses=True, secrets=True)
 
 
 def leaking_rows(df: DataFrame, key: str, text: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from ledgerline.operators import changes as C
 from ledgerline.operators import ranking as R
 from ledgerline.operators import releases as L
 from ledgerline.plans.registry import query
+from ledgerline.skew import spread
 
 def plan(t):
     """One planned change per event; the address names a module and an index."""
@@ -274,8 +275,9 @@ def identity(t):
     words = F.split("text", " ", -1)
     changed = F.when(F.col("lang") == "en", F.transform(words, lambda w: F.replace(w, F.lit("the"), F.lit("The")))).otherwise(words)
     size = F.when(F.col("n_chars") > 3000, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
-    first = read(t.documents, words, F.col("n_chars"))
-    second = read(t.documents.where("source <> 'src3'"), F.reverse(changed), size)
+    documents = spread(t.documents)
+    first = read(documents, words, F.col("n_chars"))
+    second = read(documents.where("source <> 'src3'"), F.reverse(changed), size)
     return L.identity_changes(first, second, "doc_id")
 
 
@@ -296,7 +298,7 @@ def attested(t):
     statement = F.base64(F.encode(F.to_json(F.struct(F.array(subject).alias("subject"))), "UTF-8"))
     attestations = F.array(F.struct(F.lit("not base64!").alias("statement")), F.struct(statement.alias("statement")))
     publisher = F.struct(F.lit("ci").alias("kind"), F.col("l_linestatus").alias("repository"))
-    bundles = t.lineitem.select(publisher.alias("publisher"), attestations.alias("attestations"))
+    bundles = spread(t.lineitem.select("l_orderkey", "l_linestatus", "l_returnflag")).select(publisher.alias("publisher"), attestations.alias("attestations"))
     return L.attested(artifacts, bundles, {"kind": "ci", "repository": "F"}).select("id", "filename")
 
 

@@ -13,6 +13,7 @@ from ledgerline.operators import ranking as R
 from ledgerline.operators import releases as L
 from ledgerline.operators import scan as S
 from ledgerline.plans.registry import query
+from ledgerline.skew import spread
 from ledgerline.sources.files import number_lines
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -28,8 +29,13 @@ SELECT {name}, line, parts[line] AS text FROM (
     FROM (SELECT {key}, regexp_split_to_array({column}, '{BREAK}') AS p FROM {table})))"""
 
 
+def docs(t, *columns):
+    """Documents for work that is heavy per row."""
+    return spread(t.documents.select(*columns))
+
+
 def doc_lines(t):
-    return number_lines(t.documents, F.col("doc_id").cast("string"), F.col("text"))
+    return number_lines(docs(t, "doc_id", "text"), F.col("doc_id").cast("string"), F.col("text"))
 
 
 @query("numbered_lines", lines_sql("documents", "doc_id", "text"))
@@ -106,7 +112,7 @@ def scan_secrets(t):
 @query("scan_secrets_any_case", secrets_sql(lines_sql("documents", "doc_id", "text"), "(?i)"))
 def scan_secrets_any_case(t):
     """The same rules without regard to letter case: our addition, as the tables hold lower-case names only."""
-    return S.scan_secrets(doc_lines(t), X.SECRET_ASSIGNMENT.replace("(?U)", "(?iU)"))
+    return S.scan_secrets(doc_lines(t), X.SECRET_ASSIGNMENT.replace("(?U)", "(?iU)"), ())
 
 
 @query(
@@ -160,7 +166,7 @@ def redact_sql(column: str) -> str:
 
 @query("redact", f"SELECT doc_id, {redact_sql('text')} AS text FROM documents")
 def redact(t):
-    return t.documents.select("doc_id", X.redact(F.col("text")).alias("text"))
+    return docs(t, "doc_id", "text").select("doc_id", X.redact(F.col("text")).alias("text"))
 
 
 def leaks_sql(column: str) -> str:
@@ -182,8 +188,8 @@ SELECT 'raw' AS stage, doc_id FROM documents WHERE {leaks_sql('text')}
 UNION ALL SELECT 'redacted', doc_id FROM documents WHERE {leaks_sql(redact_sql('text'))}""",
 )
 def leak_assert(t):
-    raw = S.leaking_rows(t.documents, "doc_id", F.col("text")).withColumn("stage", F.lit("raw"))
-    clean = S.leaking_rows(t.documents, "doc_id", X.redact(F.col("text"))).withColumn("stage", F.lit("redacted"))
+    raw = S.leaking_rows(docs(t, "doc_id", "text"), "doc_id", F.col("text")).withColumn("stage", F.lit("raw"))
+    clean = S.leaking_rows(docs(t, "doc_id", "text"), "doc_id", X.redact(F.col("text"))).withColumn("stage", F.lit("redacted"))
     return raw.unionByName(clean)
 
 
@@ -347,7 +353,7 @@ def line_blocks(t):
     split = r"(?m)(?=^[A-Z][a-z]+ )"
     text = F.concat_ws("\n", X.split_lines(F.col("text")))
     entries = F.filter(L.blocks(text, split), lambda block: block.rlike(rf"\A{split}"))
-    counted = t.documents.select(
+    counted = docs(t, "doc_id", "text").select(
         "doc_id", F.size(entries).alias("entries"), F.size(F.filter(entries, lambda block: block.rlike("[0-9]"))).alias("with_digit")
     )
     return counted.where("entries > 0")
@@ -369,4 +375,4 @@ def lock_check(t):
     head = r"^[A-Z][a-z]+ "
     text = F.concat_ws("\n", X.split_lines(F.col("text")))
     broken = L.check_lock(text, 2, rf"(?m){head}", rf"(?m)(?={head})", "[0-9]", "@")
-    return t.documents.select("doc_id", F.array_join(broken, "; ").alias("broken"))
+    return docs(t, "doc_id", "text").select("doc_id", F.array_join(broken, "; ").alias("broken"))

@@ -1,35 +1,35 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-``attach`` is the work horse: a fact side, whose keys may be very uneven, gets
-the columns of a side that has one row per key.  Hot keys are found by a
-map-side-combined count; at most ``HOT_KEYS`` of them can exist by construction
-(each must hold more than 1/HOT_KEYS of all rows), so broadcasting *that list* is
-bounded whatever the data size.  Rows of hot keys are spread over ``SALTS``
-reducers and the matching lookup rows are copied to each.
+``attach`` is the work horse: a fact side, whose keys may be very uneven, gets the
+columns of a side that has one row per key.  Hot keys come from a map-side-combined
+count.  A hot key holds more than 1/HOT_KEYS of all rows, so there are fewer than
+HOT_KEYS of them whatever the data size, and that list is what is broadcast.  Rows of a
+hot key are spread over one reducer per ROWS_PER_COPY rows, and its lookup row is copied
+to each: the copies grow with the data, a reducer's share does not.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_KEYS = 1000
-MIN_HOT_ROWS = 200_000
-SALTS = 64
+HOT_KEYS = 100_000
+ROWS_PER_COPY = 500_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys holding more than 1/HOT_KEYS of all rows (so fewer than HOT_KEYS of them)."""
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_copy: int = ROWS_PER_COPY) -> DataFrame:
+    """Keys with more than 1/HOT_KEYS of all rows and more than one copy's worth, with their ``_copies``."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where((F.col("_rows") >= min_rows) & (F.col("_rows") * HOT_KEYS > total)).select(*keys)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    hot = counts.where((F.col("_rows") > rows_per_copy) & (F.col("_rows") * HOT_KEYS > total))
+    return hot.select(*keys, F.ceil(F.col("_rows") / rows_per_copy).cast("int").alias("_copies"))
 
 
-def _any_null(keys: list[str]) -> Column:
-    condition = F.lit(False)
-    for key in keys:
-        condition = condition | F.col(key).isNull()
-    return condition
+def _row_hash(rows: DataFrame) -> Column:
+    """Hash of a row and its input partition: the same on a retry, and equal rows differ by partition."""
+    plain = [field.name for field in rows.schema.fields if not isinstance(field.dataType, (T.MapType, T.VariantType, T.StructType, T.ArrayType))]
+    return F.xxhash64(F.spark_partition_id(), *plain)
 
 
 def attach(
@@ -37,19 +37,34 @@ def attach(
     lookup: DataFrame,
     keys: list[str],
     how: str = "left",
-    min_hot_rows: int = MIN_HOT_ROWS,
-    salts: int = SALTS,
+    rows_per_copy: int = ROWS_PER_COPY,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` (uneven keys allowed) to ``lookup`` (one row per key).
 
-    ``how`` is inner, left, left_semi or left_anti.  The salt comes from the input
-    partition number, so a retried task puts its rows where the first try did.
+    ``how`` is inner, left, left_semi or left_anti.  The salt depends on nothing random,
+    so a retried task sends its rows where the first try did.  Rows with a null key match
+    nothing and are spread too.  A caller that attaches twice on the same keys passes the
+    ``hot_keys`` it already has.
     """
-    hot = F.broadcast(hot_keys(rows, keys, min_hot_rows).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    salted_rows = rows.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | _any_null(keys), spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    found = F.broadcast(hot_keys(rows, keys, rows_per_copy) if hot is None else hot)
+    null_key = F.lit(False)
+    for key in keys:
+        null_key = null_key | F.col(key).isNull()
+    spread_over = F.when(null_key, F.lit(1 << 16)).otherwise(F.coalesce("_copies", F.lit(1)))
+    salt = F.when(spread_over > 1, F.pmod(_row_hash(rows), spread_over.cast("bigint")).cast("int")).otherwise(F.lit(0))
+    salted_rows = rows.join(found, keys, "left").withColumn("_salt", salt).drop("_copies")
+    copies = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
+    salted_lookup = lookup.join(found, keys, "left").withColumn("_salt", F.explode(copies)).drop("_copies")
     return salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a plain scan over at least as many partitions as there are cores.
+
+    Small inputs often come as one file with one row group, which a single task has to
+    read; work that is heavy per row is then better spread first.  A scan that already
+    has enough partitions, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
