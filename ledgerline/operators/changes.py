@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.integrity import fingerprint_diff, set_cover
 from ledgerline.skew import attach
 from ledgerline.violations import first_reason
 
@@ -154,3 +155,53 @@ def group_gate(members: DataFrame, group: str, name: str, current: str, default:
     return attach(rows, flags, [group], "inner").select(
         group, name, shown_current.alias("current"), latest.alias("latest"), status.alias("status"), detail.alias("detail")
     )
+
+
+def change_gate(
+    saved: DataFrame,
+    current: DataFrame,
+    inputs_saved: DataFrame,
+    inputs_now: DataFrame,
+    changes: DataFrame,
+    owned: DataFrame,
+    evidence_saved: DataFrame,
+    evidence_now: DataFrame,
+    allow_destroy: bool = False,
+    allow_batch: bool = False,
+) -> DataFrame:
+    """The gate over a saved plan, rules in their fixed order; see ``gate_results`` for the output.
+
+    ``saved`` (expires_at, plan_sha256, git_commit) and ``current`` (now, plan_sha256,
+    git_commit) have one row each; inputs are (path, sha256); ``changes`` has an actions
+    array; ``owned`` comes from ``attach_owners``; evidence is that of ``latest_evidence``.
+    """
+    s, c = saved.select(F.struct("*").alias("s"), F.lit(1).alias("_one")), current.select(F.struct("*").alias("c"), F.lit(1).alias("_one"))
+    head = s.join(c, "_one")
+    differs = lambda name: ~F.col(f"s.{name}").eqNullSafe(F.col(f"c.{name}"))
+    both_known = F.col("s.git_commit").isNotNull() & F.col("c.git_commit").isNotNull()
+    risky = changes.where(is_destructive(F.col("actions")))
+    modules = owned.select("module").distinct()
+    several = modules.where(modules.agg(F.count(F.lit(1))).scalar() > 1)
+    services = owned.select("service").distinct()
+    kept = evidence_saved.join(services, "service", "left_semi")
+    uncovered = set_cover(services, evidence_saved, "service")
+    judged = fingerprint_diff(
+        kept.select("service", F.to_json(F.struct("archive", "sha256", "error")).alias("state")),
+        evidence_now.join(services, "service", "left_semi").select("service", F.to_json(F.struct("archive", "sha256", "error")).alias("state")),
+        "service",
+        "state",
+    )
+    none = lambda rows: rows.limit(0)
+    return gate_results(
+        [
+            (1, "plan is expired", head.where(F.col("c.now") > F.col("s.expires_at"))),
+            (2, "plan changed", head.where(differs("plan_sha256"))),
+            (3, "plan inputs changed", fingerprint_diff(inputs_saved, inputs_now, "path", "sha256")),
+            (4, "commit changed", head.where(both_known & differs("git_commit"))),
+            (5, "plan is destructive", none(risky) if allow_destroy else risky),
+            (6, "plan changes several stateful targets", none(several) if allow_batch else several),
+            (7, "backup evidence does not cover the services", uncovered),
+            (8, "no current verified backup", kept.where(F.col("error").isNotNull())),
+            (9, "backup evidence changed", judged),
+        ]
+    )

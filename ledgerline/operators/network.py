@@ -18,11 +18,15 @@ def longest_suffix(names: DataFrame, zones: DataFrame, name: str = "name", zone:
     A name has few suffixes, so exploding them turns the scan over all zones into an
     equi-join; a zone that covers a third of the names is spread by ``attach``.
     """
-    distinct = names.select(name).distinct()
-    exploded = distinct.select(name, F.explode(suffixes(F.col(name))).alias("_suffix"))
-    known = zones.select(F.col(zone).alias("_suffix")).distinct().withColumn("_zone", F.col("_suffix"))
-    matched = attach(exploded, known, ["_suffix"], "left")
-    return matched.groupBy(name).agg(F.max_by("_zone", F.length("_zone")).alias(zone))
+    return longest_suffix_within(names.select(name).distinct(), zones, [], name, zone)
+
+
+def longest_suffix_within(names: DataFrame, zones: DataFrame, scope: list[str], name: str = "name", zone: str = "zone") -> DataFrame:
+    """J6 where only zones with the same ``scope`` columns count; keeps all columns of ``names``."""
+    exploded = names.withColumn("_suffix", F.explode(suffixes(F.col(name))))
+    known = zones.select(*scope, F.col(zone).alias("_suffix")).distinct().withColumn("_zone", F.col("_suffix"))
+    matched = attach(exploded, known, [*scope, "_suffix"], "left")
+    return matched.groupBy(*names.columns).agg(F.max_by("_zone", F.length("_zone")).alias(zone))
 
 
 def trim_dots(col: Column) -> Column:
