@@ -16,6 +16,7 @@ MODULES = [
     "source_queries",
     "stream_queries",
     "migration_queries",
+    "run_queries",
 ]
 
 for _module in MODULES:
