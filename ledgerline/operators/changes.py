@@ -61,7 +61,7 @@ def attach_owners(changes: DataFrame, registry: DataFrame, address: str = "addre
         F.col("terraform_module").alias("module"), "service"
     )
     targets = changes.withColumn("module", top_module(F.col(address), strip_index)).where(F.col("module").isNotNull())
-    return targets.join(owners, "module")
+    return attach(targets, owners, ["module"], "inner")
 
 
 def latest_evidence(

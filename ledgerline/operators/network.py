@@ -41,7 +41,7 @@ def reconcile(desired: DataFrame, actual: DataFrame, keys: list[str], value: str
     want = desired.withColumns({f"_k{index}": trim_dots(F.col(name).cast("string")) for index, name in enumerate(keys)})
     want = want.withColumn("_v", trim_dots(F.col(value).cast("string")))
     action = F.when(F.col("_same"), F.lit("unchanged")).otherwise(F.lit("upsert"))
-    return want.join(have, on, "left").select(*keys, value, action.alias("action"))
+    return attach(want, have, on, "left").select(*keys, value, action.alias("action"))
 
 
 def check_containment(members: DataFrame, roots: DataFrame, member: str = "path", root: str = "root") -> DataFrame:
@@ -57,7 +57,7 @@ def overlapping_roots(roots: DataFrame, root: str = "root") -> DataFrame:
     twice = roots.groupBy(root).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(root, F.lit("duplicate").alias("problem"))
     distinct = roots.select(root).distinct()
     above = distinct.select(root, F.explode(ancestors(F.col(root))).alias("_outer")).where(F.col(root) != F.col("_outer"))
-    inside = above.join(distinct.select(F.col(root).alias("_outer")), "_outer", "left_semi").select(root).distinct()
+    inside = attach(above, distinct.select(F.col(root).alias("_outer")), ["_outer"], "left_semi").select(root).distinct()
     return twice.unionByName(inside.select(root, F.lit("inside another root").alias("problem")))
 
 

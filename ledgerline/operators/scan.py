@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions import text as X
 from ledgerline.functions.normalize import ipv4_to_long, is_ipv4
+from ledgerline.skew import attach
 
 FINDING = ["path", "line", "message"]
 
@@ -22,9 +23,8 @@ def without_marker(lines: DataFrame, marker: str, text: str = "text") -> DataFra
 
 def not_default(df: DataFrame, digest: Column, denylist: DataFrame, col: str = "digest") -> DataFrame:
     """rows whose digest is on the list of known defaults are refused (left out)."""
-    return df.withColumn("_digest", digest).join(
-        denylist.select(F.col(col).alias("_digest")).distinct(), "_digest", "left_anti"
-    ).drop("_digest")
+    known = denylist.select(F.col(col).alias("_digest")).distinct()
+    return attach(df.withColumn("_digest", digest), known, ["_digest"], "left_anti").select(*df.columns)
 
 
 def _in_network(number: Column, network: str) -> Column:

@@ -137,30 +137,32 @@ def fingerprint(spark: SparkSession, globs: list[str], max_bytes: int = MAX_FILE
     return small.unionByName(large).distinct()
 
 
-def inventory_totals(inventory: DataFrame, key: str = "key", size: str = "size", flat_limit: int = 100_000) -> DataFrame:
+def inventory_totals(inventory: DataFrame, key: str = "key", size: str = "size", flat_limit: int = 100_000, digits: int = 4) -> DataFrame:
     """A2: object count, total bytes and digests of the sorted key list (one row).
 
     ``key_list_sha256`` is the digest of all keys, each followed by a line break; it
     needs the list in one place, so it is given only up to ``flat_limit`` keys.
-    ``key_tree_sha256`` works at any size: keys fall into 65,536 buckets by the digest
-    of the key, every bucket hashes its own sorted keys, then 256 groups of buckets and
-    finally the root hash the digests below them.
+    ``key_tree_sha256`` works at any size: keys fall into 16^digits buckets by the digest
+    of the key (even by construction, whatever the keys), every bucket hashes its sorted
+    keys, and each level above hashes the digests of 256 groups below it.  Take more
+    digits beyond a billion keys; digests compare only at equal digits.
     """
     keys = inventory.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("s"), F.sha2(F.col(key), 256).alias("h"))
-    leaf = keys.groupBy(F.left("h", F.lit(4)).alias("bucket")).agg(
+    level = keys.groupBy(F.left("h", F.lit(digits)).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("s").alias("bytes"),
         F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("k")), "\n"), F.lit("\n")), 256).alias("digest"),
     )
-    node = leaf.groupBy(F.left("bucket", F.lit(2)).alias("b2")).agg(
-        F.sum("n").alias("n"),
-        F.sum("bytes").alias("bytes"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest"),
-    )
-    root = node.agg(
+    below = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"])
+    joined = F.sha2(F.array_join(below, "\n"), 256)
+    for width in range(digits - 2, 0, -2):
+        level = level.groupBy(F.left("bucket", F.lit(width)).alias("_up")).agg(
+            F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), joined.alias("digest")
+        ).withColumnRenamed("_up", "bucket")
+    root = level.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("object_count"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b2", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("key_tree_sha256"),
+        joined.alias("key_tree_sha256"),
     )
     total = inventory.agg(F.count(F.lit(1))).scalar()
     flat = inventory.where(total <= flat_limit).agg(
