@@ -152,9 +152,13 @@ def sha256(col: Column) -> Column:
 
 
 def signature(*cols: Column) -> Column:
-    """One digest over the values; nulls match nulls, and types stay apart by position."""
-    parts = [F.coalesce(F.to_json(F.array(col)), F.lit("[null]")) for col in cols]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """One digest over scalar or numeric-array values; nulls match nulls, 0.0 and -0.0 differ.
+
+    Each value is hashed on its own, so neighbouring texts cannot run together.  Arrays of
+    text should be passed as JSON.
+    """
+    parts = [F.coalesce(F.sha2(col.cast("string"), 256), F.lit("null")) for col in cols]
+    return F.sha2(F.concat_ws("|", *parts), 256)
 
 
 def check_digest(body: Column, header: Column, expected: Column) -> Column:

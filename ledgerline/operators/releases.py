@@ -39,6 +39,8 @@ def identity_changes(first: DataFrame, second: DataFrame, key: str, digest: str
     return a.join(b, key, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key)
 
 
+# Shape of a statement and of its encoding.
+BASE64 = r"^[A-Za-z0-9+/]+={0,2}\z"
 STATEMENT = "subject array<struct<name: string, digest: map<string, string>>>"
 
 
@@ -51,9 +53,8 @@ def attested(artifacts: DataFrame, bundles: DataFrame, publisher: dict[str, str]
     wanted = F.lit(True)
     for name, value in publisher.items():
         wanted = wanted & F.col("publisher")[name].eqNullSafe(F.lit(value))
-    statements = bundles.where(wanted).select(F.explode("attestations").alias("a")).select(
-        F.from_json(F.try_to_binary(F.col("a.statement"), F.lit("base64")).cast("string"), STATEMENT).alias("s")
-    )
+    payloads = bundles.where(wanted).select(F.explode("attestations.statement").alias("p")).where(F.col("p").rlike(BASE64))
+    statements = payloads.select(F.from_json(F.try_to_binary("p", F.lit("base64")).cast("string"), STATEMENT).alias("s"))
     subjects = statements.select(F.explode("s.subject").alias("subject")).where(
         (F.size("subject.digest") == 1) & F.col("subject.digest")["sha256"].isNotNull()
     )

@@ -9,6 +9,7 @@ from ledgerline.functions.text import signature
 from ledgerline.operators import integrity as I
 from ledgerline.operators import winners as W
 from ledgerline.plans.registry import query
+from ledgerline.skew import spread
 
 LINE_KEYS = ["l_orderkey", "l_linenumber"]
 LINE_REST = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -120,7 +121,7 @@ FROM orphans o LEFT JOIN live l ON o.text = l.text""",
 )
 def orphan_repair(t):
     parents = t.documents.where("lang = 'de' AND n_chars > 6000").select("source").distinct()
-    documents = t.documents.select("doc_id", "source", "text")
+    documents = spread(t.documents.select("doc_id", "source", "text"))
     _, dropped, bad = I.repair_orphans_by_signature(
         documents, parents, "source", signature(F.col("text")), "doc_id", "source"
     )

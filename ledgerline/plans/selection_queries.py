@@ -295,7 +295,8 @@ def attested(t):
     line = F.concat(F.lit("file-"), "l_orderkey")
     stated = F.when(F.col("l_returnflag") == "A", F.sha2(line, 256)).otherwise("0")
     subject = F.struct(line.alias("name"), F.create_map(F.lit("sha256"), stated).alias("digest"))
-    statement = F.base64(F.encode(F.to_json(F.struct(F.array(subject).alias("subject"))), "UTF-8"))
+    encoded = F.base64(F.encode(F.to_json(F.struct(F.array(subject).alias("subject"))), "UTF-8"))
+    statement = F.regexp_replace(encoded, r"\s", "")
     attestations = F.array(F.struct(F.lit("not base64!").alias("statement")), F.struct(statement.alias("statement")))
     publisher = F.struct(F.lit("ci").alias("kind"), F.col("l_linestatus").alias("repository"))
     bundles = spread(t.lineitem.select("l_orderkey", "l_linestatus", "l_returnflag")).select(publisher.alias("publisher"), attestations.alias("attestations"))
