@@ -153,9 +153,7 @@ def journal(t):
     )
 
 
-@query(
-    "journal_rules",
-    """
+JOURNAL_RULES = """
 SELECT strftime(ts, '%Y%m%d') || '-' || user_id AS episode_id, event_id AS sequence, rule FROM events,
  (VALUES ('command has recipe'), ('evidence paths are relative'), ('episode_started'), ('exit code agrees with status'),
          ('interrupt signal'), ('failure code'), ('command_started')) r(rule)
@@ -165,14 +163,25 @@ WHERE (rule = 'command has recipe' AND event_type <> 'signup' AND value > 60)
    OR (rule = 'command_started' AND event_type = 'view' AND value > 60)
    OR (rule = 'exit code agrees with status' AND event_type = 'click' AND value >= 9 AND value < 10)
    OR (rule = 'interrupt signal' AND event_type = 'error' AND value <= 2)
-   OR (rule = 'failure code' AND event_type IN ('click', 'error', 'purchase') AND value > 40 AND NOT (event_type = 'click' AND value < 10))""",
-)
+   OR (rule = 'failure code' AND event_type IN ('click', 'error', 'purchase') AND value > 40 AND NOT (event_type = 'click' AND value < 10))"""
+
+
+@query("journal_rules", JOURNAL_RULES)
 def journal_rules(t):
     """All one-event rules over a journal; every episode start is at fault (no completion, wrong status)."""
     return E.check_rules(journal(t), ["episode_id", "sequence"], E.event_rules())
 
 
-@query("journal_check")
+@query(
+    "journal_check",
+    f"""
+WITH j AS (SELECT strftime(ts, '%Y%m%d') || '-' || user_id AS episode_id, event_id, event_type, event_id // 40 AS cmd,
+    CASE WHEN value > 60 THEN 'deploy' ELSE 'update' END AS recipe FROM events),
+s AS (SELECT episode_id, cmd, arg_min(recipe, event_id) AS started FROM j WHERE event_type = 'view' GROUP BY ALL)
+SELECT * FROM ({JOURNAL_RULES})
+UNION ALL SELECT j.episode_id, j.event_id, 'terminal agrees with start' FROM j LEFT JOIN s ON s.episode_id = j.episode_id AND s.cmd = j.cmd
+WHERE j.event_type IN ('click', 'error', 'purchase') AND s.started IS DISTINCT FROM j.recipe""",
+)
 def journal_check(t):
     """The full rule set, including agreement of a terminal with its start."""
     return E.check_events(journal(t))
