@@ -76,18 +76,26 @@ def check_sequence(events: DataFrame, part: list[str], seq: str, first_type: tup
     """Breaks of the rule "sequence runs start, start+1, ... without gap or repeat".
 
     A break shows locally: a number without its predecessor, a number used twice, or a
-    first event of the wrong kind.  The joins are on (part, number), which is spread
-    evenly even when one part holds most of the events.  Returns (part, seq, rule).
+    first event of the wrong kind.  Every event marks its own number and the next one;
+    one aggregate by (part, number) then knows both.  It combines on the map side and is
+    spread evenly even when one part holds most of the events.  Returns (part, seq, rule).
     """
-    numbers = events.groupBy(*part, seq).agg(F.count(F.lit(1)).alias("_n"))
-    followers = numbers.select(*part, (F.col(seq) + 1).alias(seq))
-    gaps = (
-        numbers.where(F.col(seq) != start)
-        .join(followers, [*part, seq], "left_anti")
-        .select(*part, seq, F.when(F.col(seq) < start, F.lit("before first")).otherwise(F.lit("gap before")).alias("rule"))
+    own = F.struct(F.col(seq).alias("at"), F.lit(1).alias("own"))
+    following = F.struct((F.col(seq) + 1).alias("at"), F.lit(0).alias("own"))
+    marks = events.select(*part, F.explode(F.array(own, following)).alias("_m"))
+    numbers = marks.groupBy(*part, F.col("_m.at").alias(seq)).agg(
+        F.sum("_m.own").alias("_n"), F.count_if(F.col("_m.own") == 0).alias("_before")
     )
-    repeats = numbers.where(F.col("_n") > 1).select(*part, seq, F.lit("repeated").alias("rule"))
-    found = gaps.unionByName(repeats)
+    rules = F.array_compact(
+        F.array(
+            F.when(
+                (F.col("_before") == 0) & (F.col(seq) != start),
+                F.when(F.col(seq) < start, F.lit("before first")).otherwise(F.lit("gap before")),
+            ),
+            F.when(F.col("_n") > 1, F.lit("repeated")),
+        )
+    )
+    found = numbers.where("_n > 0").select(*part, seq, F.explode(rules).alias("rule"))
     if first_type is not None:
         column, value = first_type
         wrong = events.where((F.col(seq) == start) & ~F.col(column).eqNullSafe(F.lit(value)))

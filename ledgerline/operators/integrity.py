@@ -27,24 +27,29 @@ class ForeignKey:
 def fk_violations(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
     """One row per dangling key value, with the number of rows and the smallest row id.
 
-    Child keys are reduced to distinct values before the join, so a value shared by
-    a third of the child table crosses the network once per map task.
+    Child and parent keys meet in one aggregate per edge.  It combines on the map side,
+    so a value shared by a third of the child table crosses the network once per task;
+    an anti-join would be pushed below the grouping and move every row.
     """
     edges = []
     for fk in fks:
         child = tables[fk.child]
         if fk.nullable:
             child = child.where(F.col(fk.column).isNotNull())
-        values = child.groupBy(F.col(fk.column).alias("_value")).agg(
-            F.count(F.lit(1)).alias("row_count"), F.min(fk.ident).cast("string").alias("first_id")
+        smallest = F.min(F.when(F.col("_child"), F.col("_id")))
+        rows = child.select(F.col(fk.column).alias("_value"), F.col(fk.ident).alias("_id"), F.lit(True).alias("_child"))
+        parents = tables[fk.parent].where(F.col(fk.key).isNotNull()).select(
+            F.col(fk.key).alias("_value"), F.lit(None).cast(child.schema[fk.ident].dataType).alias("_id"), F.lit(False).alias("_child")
+        )
+        both = rows.unionByName(parents).groupBy("_value").agg(
+            F.count_if("_child").alias("row_count"), smallest.alias("first_id"), F.bool_and("_child").alias("_dangling")
         )
-        parents = tables[fk.parent].select(F.col(fk.key).alias("_value")).distinct()
         edges.append(
-            values.join(parents, "_value", "left_anti").select(
+            both.where("_dangling").select(
                 F.lit(f"{fk.child}.{fk.column}").alias("edge"),
                 F.col("_value").cast("string").alias("value"),
                 "row_count",
-                "first_id",
+                F.col("first_id").cast("string").alias("first_id"),
             )
         )
     return reduce(DataFrame.unionByName, edges)
@@ -171,13 +176,14 @@ def check_audit(kept: DataFrame, dropped: DataFrame, keys: list[str], declared_r
 
 
 def set_cover(declared: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """Values on one side only; empty means the sets are equal."""
-    left, right = declared.select(key).distinct(), actual.select(key).distinct()
-    return (
-        left.join(right, key, "left_anti")
-        .withColumn("side", F.lit("missing"))
-        .unionByName(right.join(left, key, "left_anti").withColumn("side", F.lit("unexpected")))
-    )
+    """Values on one side only; empty means the sets are equal.
+
+    One aggregate over both sides; copies combine before the shuffle.
+    """
+    both = declared.select(key, F.lit(True).alias("_declared")).unionByName(actual.select(key, F.lit(False).alias("_declared")))
+    seen = both.groupBy(key).agg(F.bool_and("_declared").alias("_only_declared"), F.bool_or("_declared").alias("_declared"))
+    side = F.when(F.col("_only_declared"), F.lit("missing")).when(~F.col("_declared"), F.lit("unexpected"))
+    return seen.select(key, side.alias("side")).where(F.col("side").isNotNull())
 
 
 def fingerprint_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -75,15 +75,18 @@ def alias_keys(keys: DataFrame, host: str, key: str, aliases: list[str], allowed
 def first_gap(used: DataFrame, col: str, above: Column | int, below: Column | int) -> DataFrame:
     """Smallest unused value greater than ``above`` and less than ``below``; null when full.
 
-    A free value directly follows ``above`` or a used one, so the candidates are an
-    anti-join of the successors with the used values: no scan of the range, no window.
+    A free value directly follows ``above`` or a used one.  Every used value marks itself
+    and its successor, and one aggregate finds the successors nobody uses: no scan of the
+    range, no window, and copies of a value combine before the shuffle.
     """
     low = F.lit(above) if isinstance(above, int) else above
     high = F.lit(below) if isinstance(below, int) else below
-    values = used.select(F.col(col).cast("bigint").alias("v")).where(F.col("v") > low).distinct()
-    start = used.sparkSession.range(1).select((low + 1).cast("bigint").alias("v"))
-    candidates = values.select((F.col("v") + 1).alias("v")).unionByName(start)
-    free = candidates.join(values, "v", "left_anti").where(F.col("v") < high)
+    values = used.select(F.col(col).cast("bigint").alias("v")).where(F.col("v") > low)
+    taken = F.struct(F.col("v").alias("v"), F.lit(1).alias("taken"))
+    after = F.struct((F.col("v") + 1).alias("v"), F.lit(0).alias("taken"))
+    start = used.sparkSession.range(1).select((low + 1).cast("bigint").alias("v"), F.lit(0).alias("taken"))
+    marks = values.select(F.explode(F.array(taken, after)).alias("m")).select("m.v", "m.taken").unionByName(start)
+    free = marks.groupBy("v").agg(F.max("taken").alias("taken")).where("taken = 0").where(F.col("v") < high)
     return free.agg(F.min("v").alias("first_free"))
 
 

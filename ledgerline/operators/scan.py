@@ -42,31 +42,25 @@ def ipv4_allowed(address: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def ipv6_canonical(candidates: pd.Series) -> pd.Series:
-    """Canonical text of a valid IPv6 literal, else null (Arrow batches; candidates only)."""
+def _ipv6_finding(candidates: pd.Series) -> pd.Series:
+    """Canonical text of a valid IPv6 literal that is not allowed, else null."""
+    network = ipaddress.ip_network(X.DOCUMENTATION_IPV6)
+    listed = {ipaddress.ip_address(ip) for ip in X.ALLOWED_IPS}
 
     def one(text):
+        if text is None:
+            return None
         try:
-            return str(ipaddress.IPv6Address(text)) if text is not None else None
+            address = ipaddress.IPv6Address(text)
         except ValueError:
             return None
+        return None if address in listed or address in network else str(address)
 
     return candidates.map(one)
 
 
-@F.pandas_udf(T.BooleanType())
-def ipv6_allowed(addresses: pd.Series) -> pd.Series:
-    """A listed address or one in the documentation range."""
-    network = ipaddress.ip_network(X.DOCUMENTATION_IPV6)
-    listed = {ipaddress.ip_address(ip) for ip in X.ALLOWED_IPS}
-
-    def one(text):
-        if text is None:
-            return True
-        address = ipaddress.IPv6Address(text)
-        return address in listed or address in network
-
-    return addresses.map(one).astype(bool)
+# Marked so that a filter on the result does not make Spark run the function twice.
+ipv6_finding = _ipv6_finding.asNondeterministic()
 
 
 def _candidates(text: Column, pattern: str, needed: str) -> Column:
@@ -83,9 +77,8 @@ def ipv4_findings(text: Column) -> Column:
 
 def _judge_ipv6(hits: DataFrame) -> DataFrame:
     """Findings for candidates in column ``_candidate``; Python sees only these strings."""
-    valid = hits.withColumn("address", ipv6_canonical("_candidate")).where(F.col("address").isNotNull())
-    message = F.concat(F.lit("non-example IP literal "), F.col("address"))
-    return valid.where(~ipv6_allowed("address")).select("path", "line", message.alias("message"))
+    judged = hits.withColumn("address", ipv6_finding("_candidate")).where(F.col("address").isNotNull())
+    return judged.select("path", "line", F.concat(F.lit("non-example IP literal "), F.col("address")).alias("message"))
 
 
 def scan_ipv4(lines: DataFrame) -> DataFrame:
@@ -182,9 +175,9 @@ def _scan_once(lines: DataFrame, literal: bool = False, addresses: bool = False,
     asked = F.when(open_ip, _candidates(text, X.IPV6_CANDIDATE, ":")).otherwise(empty)
     both = F.concat(plain, F.transform(asked, lambda c: F.struct(F.lit(None).cast("string").alias("message"), c.alias("candidate"))))
     hits = lines.select("path", "line", F.explode(both).alias("hit")).select("path", "line", "hit.message", "hit.candidate")
-    # rows with a ready message pass the Arrow functions as null candidates
-    judged = hits.withColumn("address", ipv6_canonical("candidate")).withColumn("allowed", ipv6_allowed("address"))
-    message = F.coalesce("message", F.when(~F.col("allowed"), F.concat(F.lit("non-example IP literal "), F.col("address"))))
+    # rows with a ready message pass the Arrow function as null candidates
+    judged = hits.withColumn("address", ipv6_finding("candidate"))
+    message = F.coalesce("message", F.concat(F.lit("non-example IP literal "), F.col("address")))
     return judged.select("path", "line", message.alias("message")).where(F.col("message").isNotNull())
 
 
