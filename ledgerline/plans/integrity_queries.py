@@ -109,7 +109,7 @@ def fk_violations(t):
 @query(
     "orphan_repair",
     """
-WITH parents AS (SELECT DISTINCT source FROM documents WHERE lang = 'de' AND n_chars > 6000),
+WITH parents AS (SELECT DISTINCT source FROM documents WHERE source NOT LIKE 'src1%'),
 live AS (SELECT d.text, min(d.source) AS low, max(d.source) AS high, min(d.doc_id) AS doc_id
          FROM documents d SEMI JOIN parents USING (source) GROUP BY d.text),
 orphans AS (SELECT d.* FROM documents d ANTI JOIN parents USING (source))
@@ -120,7 +120,7 @@ SELECT o.doc_id AS id, o.source AS missing_parent,
 FROM orphans o LEFT JOIN live l ON o.text = l.text""",
 )
 def orphan_repair(t):
-    parents = t.documents.where("lang = 'de' AND n_chars > 6000").select("source").distinct()
+    parents = t.documents.where("source NOT LIKE 'src1%'").select("source").distinct()
     documents = spread(t.documents.select("doc_id", "source", "text"))
     _, dropped, bad = I.repair_orphans_by_signature(
         documents, parents, "source", signature(F.col("text")), "doc_id", "source"
