@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, exactdedup, mixing, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, mixing, tokencount, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,7 @@ URL_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+TOKEN_LIMIT = 4096
 MIX_WEIGHTS = [5, 2, 1]
 MIX_SEED = 42
 CHAT_PROBE = "</s>[INST] ok [/INST]"
@@ -137,3 +139,15 @@ def op6_chat_format(t):
         "valid",
         "bad_turns",
     )
+
+
+@query("op1_token_counts")
+def op1_token_counts(t):
+    counts = tokencount.count_tokens(t.documents, public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op9_bpe_round_trip")
+def op9_bpe_round_trip(t):
+    done = bpe.round_trip(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
