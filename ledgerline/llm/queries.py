@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, mixing, tokencount, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, mixing, simhash, tokencount, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ def op1_token_counts(t):
 def op9_bpe_round_trip(t):
     done = bpe.round_trip(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_simhash")
+def op4_simhash(t):
+    return simhash.near_duplicates(t.documents)
