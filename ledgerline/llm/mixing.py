@@ -10,7 +10,10 @@ from ledgerline.session import durable
 #: No source is repeated more often than this on average, and no document more often than this.
 MAX_REPEATS = 3
 #: Documents of one source that are ranked together; a larger source is ranked in that many more parts.
-PART_ROWS = 10_000
+PART_ROWS = 4_000
+#: Up to so many sources their table is broadcast; beyond, every source's row is copied SPREAD times and met by a salted join.
+BROADCAST_SOURCES = 50_000
+SPREAD = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,8 +102,14 @@ def copies_per_document(
         sized = durable(sized)
     sources = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")))
     targets = source_targets(sources, weights, max_repeats).withColumn("source_key", _key(F.col("source"))).drop("source")
+    if sources.count() <= BROADCAST_SOURCES:
+        known = sized.join(F.broadcast(targets), "source_key")
+    else:
+        copied = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        salted = sized.withColumn("salt", F.pmod(_digest_number(F.col("id")), F.lit(SPREAD)).cast("int"))
+        known = salted.join(copied, ["source_key", "salt"]).drop("salt")
     parted = (
-        sized.join(targets, "source_key")
+        known
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .withColumn("part", F.pmod(_digest_number(F.col("id")), F.ceil(F.col("source_rows") / part_rows)))
     )

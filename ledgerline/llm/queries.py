@@ -56,7 +56,7 @@ def op2_url_filter(t):
 
 @query(
     "op3_source_mix",
-    r"""WITH sized AS (
+    rf"""WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce('=' || source, '-') AS source_key FROM documents),
 sources AS (
   SELECT source_key, sum(size)::BIGINT AS source_size, count(*) AS source_rows,
@@ -69,13 +69,13 @@ marked AS (SELECT *, cap * open_from <= weight * (total - full_before) AS capped
 targets AS (
   SELECT source_key, source_size, source_rows, CASE WHEN capped THEN cap ELSE weight * (total - sum(CASE WHEN capped THEN cap ELSE 0.0::DOUBLE END) OVER ()) / sum(CASE WHEN capped THEN 0.0::DOUBLE ELSE weight END) OVER () END AS target FROM marked),
 rated AS (
-  SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || md5(doc_id::VARCHAR)[:8])::BIGINT % ceil(source_rows / 10000)::BIGINT AS part
+  SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || md5(doc_id::VARCHAR)[:8])::BIGINT % ceil(source_rows / {mixing.PART_ROWS})::BIGINT AS part
   FROM sized s JOIN targets USING (source_key)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source_key, part ORDER BY size DESC, md5(doc_id::VARCHAR), doc_id::VARCHAR) - 1 AS place FROM rated),
 runs AS (SELECT *, floor(place * (rate - floor(rate))) AS run FROM placed),
 turned AS (SELECT *, row_number() OVER (PARTITION BY source_key, part ORDER BY run, CASE WHEN run % 2 = 1 THEN -place ELSE place END) AS spot FROM runs),
 starts AS (SELECT source_key, part, sum(count(*)) OVER (PARTITION BY source_key ORDER BY part) - count(*) AS start FROM rated GROUP BY source_key, part),
-ranked AS (SELECT *, (start + spot)::DOUBLE AS rank, ('0x' || md5('42:' || source_key)[:8])::BIGINT / 4294967296.0::DOUBLE AS shift FROM turned JOIN starts USING (source_key, part))
+ranked AS (SELECT *, (start + spot)::DOUBLE AS rank, ('0x' || md5('{MIX_SEED}:' || source_key)[:8])::BIGINT / 4294967296.0::DOUBLE AS shift FROM turned JOIN starts USING (source_key, part))
 SELECT doc_id, size, source_size, target, (size * (floor(rank * rate + shift) - floor((rank - 1) * rate + shift)))::BIGINT AS taken FROM ranked""",
 )
 def op3_source_mix(t):
