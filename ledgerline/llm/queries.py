@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, mixing, simhash, tokencount, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, langid, mixing, simhash, tokencount, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,15 @@ def op9_bpe_round_trip(t):
 @query("op4_simhash")
 def op4_simhash(t):
     return simhash.near_duplicates(t.documents)
+
+
+def bucket(column: str, buckets: int):
+    """Remainder of the CRC32 of a column as text."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(buckets))
+
+
+@query("op8_language_id")
+def op8_language_id(t):
+    held_out = F.coalesce(bucket("doc_id", 3) == 1, F.lit(False))
+    found = langid.identify(t.documents, ~held_out)
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
