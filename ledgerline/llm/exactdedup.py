@@ -15,6 +15,8 @@ FILES_PER_BATCH = 10_000
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: no space is set aside for their logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 STATE = "digest {digest}, keep {id}, keep_file string, keep_place bigint, rows bigint"
 
