@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, langid, mixing, simhash, tokencount, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, langid, maxscore, mixing, simhash, tokencount, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,19 @@ def op8_language_id(t):
     held_out = F.coalesce(bucket("doc_id", 3) == 1, F.lit(False))
     found = langid.identify(t.documents, ~held_out)
     return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op10_topk_search",
+    """WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vector FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.vector, c.vector)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+)
+def op10_topk_search(t):
+    vectors = t.embeddings.select("vec_id", maxscore.integer_vector(F.col("embedding")).alias("vector"))
+    return maxscore.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
