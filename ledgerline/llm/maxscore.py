@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.workers import ship_code
 from ledgerline.session import durable
 
 #: Candidates of one shard and queries of one block; a task holds one of each.
 SHARD_ROWS = 65_536
 QUERY_ROWS = 8_192
+#: A small input is dealt into smaller shards, down to this size, so that every core has some.
+LEAST_ROWS = 2_048
 #: Candidates that are scored against one query at a time; the threshold rises in between.
-STRIP = 8_192
+STRIP = 2_048
 #: Components under this size, of no more than so many, have sums that floats hold exactly; others are Python integers.
 SMALL, FEW = 1 << 20, 4_096
 #: Whole numbers are cut to this size.
@@ -95,11 +98,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
     part, vectors of different length do not meet.  Repeated candidates count each, repeated queries
     once; queries of one id with different vectors share one ranking.  Scores beyond the range of a long are cut to it.  No queries or no candidates give no rows.
     """
+    ship_code(vectors.sparkSession)
     size = lambda rows: rows.withColumn("length", F.size("vector"))
     known = size(vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), "vector"))
     asked = size(queries.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), "vector").distinct())
     known, asked = durable(known), durable(asked)
-    shards = max(1, -(-known.count() // shard_rows))
+    total, cores = known.count(), known.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-total // shard_rows), min(2 * cores, -(-total // LEAST_ROWS)))
     blocks = max(1, -(-asked.count() // query_rows))
     deal = lambda n, seed: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(seed), F.monotonically_increasing_id() if seed == 1 else F.lit(0)), F.lit(n)).cast("int")
     left = known.withColumn("shard", deal(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, langid, maxscore, mixing, simhash, tokencount, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, langid, maxscore, mixing, simhash, tokencount, toxicity, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 def op10_topk_search(t):
     vectors = t.embeddings.select("vec_id", maxscore.integer_vector(F.col("embedding")).alias("vector"))
     return maxscore.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op7_toxicity")
+def op7_toxicity(t):
+    held_out = F.coalesce(bucket("doc_id", 4) == 2, F.lit(False))
+    found = toxicity.score(t.documents, t.labels, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

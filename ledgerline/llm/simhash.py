@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
-from ledgerline.llm.workers import map_batches
+from ledgerline.llm.workers import map_batches, ship_code
 from ledgerline.session import durable
 
 BITS = 64
@@ -123,6 +123,7 @@ def close_links(prints: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_RO
     which each of its close pairs agrees again; as fingerprints are distinct, a mask that leaves n bits free
     has 2 ** n in a bucket at most, so the splitting ends.
     """
+    ship_code(prints.sparkSession)
     masks = covering_masks(radius)
     deal = lambda rows, column: rows.select("fp", F.explode(column).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     buckets = deal(prints, F.array(*[F.lit(_signed(m)) for m in masks]))

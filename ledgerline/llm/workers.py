@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+import ledgerline
+
 
 class Cache(dict):
     """A dictionary that makes missing values and stays under ``2 * limit`` entries.
@@ -44,6 +50,23 @@ def once(key, make: Callable):
     return _MADE[kind][1]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that workers find it wherever they run."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(ledgerline.__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="code-"), "ledgerline.zip")
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(root.rglob("*.py")):
+            target.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def share(spark: SparkSession, value):
     """A broadcast of a value whose size does not depend on the input."""
     return spark.sparkContext.broadcast(value)
@@ -57,4 +80,5 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
             if batch.num_rows:
                 yield work(batch)
 
+    ship_code(df.sparkSession)
     return df.mapInArrow(run, schema)
