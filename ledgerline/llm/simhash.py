@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
 from ledgerline.llm.workers import map_batches, ship_code
-from ledgerline.session import durable
+from ledgerline.session import durable, scratch_path
 
 BITS = 64
 #: Fingerprints that one bucket may hold before it is split by more bits.
@@ -182,8 +182,17 @@ def near_duplicates(
     )
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component; ids have to be unique and not null."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of every component, all columns: the one with the smallest id, null ids last, then the first as stored.
+
+    The rows are written to the shared folder once, so that file and row number tell repeated rows
+    and null ids apart.
+    """
+    spark = docs.sparkSession
+    store = scratch_path(spark, "near-store")
+    docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).write.parquet(store)
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"))
+    stored = spark.read.parquet(store).select("row", F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), place.alias("at")).alias("key"))
+    found = near_duplicates(stored.select("key", F.col(f"row.`{text_col}`").alias("text")), id_col="key", text_col="text", **options)
+    dropped = found.where(F.col("key") != F.col("component_id")).select(F.col("key.at").alias("at"))
+    return stored.join(dropped, stored["key.at"] == dropped["at"], "left_anti").select("row.*")
