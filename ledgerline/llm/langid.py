@@ -6,6 +6,7 @@ import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +24,25 @@ SEQUENCE = 96
 SEQUENCES = 1_200
 STEPS = 60
 LEAST_COUNT = 3
-#: Words whose features a worker remembers, and words that are worked on at a time.
+#: Words that a worker remembers before it begins anew, words in a block, and blocks that are worked on at a time.
 CACHE_WORDS = 300_000
 BLOCK = 128
 BLOCKS = 4_096
 UNDETERMINED = "und"
 
 
-def features(word: str) -> list[str]:
-    """Affixes and n-grams of two to four letters with the word's ends marked, and the word itself for the lexicon."""
-    core = "".join(filter(str.isalpha, word.lower())) if not word.isalpha() else word.lower()
-    if not core:
+def core(word: str) -> str:
+    """The letters of a word, lower-cased."""
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
+
+
+def features(letters: str) -> list[str]:
+    """Of a word's letters: n-grams of two and three with the ends marked, affixes of three, and the word for the lexicon."""
+    if not letters:
         return []
-    ends = f"^{core}$"
-    return [ends[i : i + n] for n in (2, 3, 4) for i in range(len(ends) - n + 1)] + [f"={core}"]
+    ends = f"^{letters}$"
+    found = [ends[i : i + 2] for i in range(len(ends) - 1)] + [ends[i : i + 3] for i in range(len(ends) - 2)]
+    return [*found, ends[:4], ends[-4:], f"={letters}"]
 
 
 @dataclass
@@ -49,11 +55,10 @@ class Model:
     move: np.ndarray
     start: np.ndarray
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Emission scores (words x labels); unknown features weigh nothing."""
+    def scores(self, letters: list[str]) -> np.ndarray:
+        """Emission scores (words x labels) of words' letters; unknown features weigh nothing."""
         get = self.rows.get
-        found = [[r for f in features(word) if (r := get(f)) is not None] for word in words]
-        return summed(self.weights, found)
+        return summed(self.weights, [[r for f in features(x) if (r := get(f)) is not None] for x in letters])
 
 
 def summed(weights: np.ndarray, lists: list[list[int]]) -> np.ndarray:
@@ -61,7 +66,7 @@ def summed(weights: np.ndarray, lists: list[list[int]]) -> np.ndarray:
     sizes = np.array([len(x) for x in lists], np.int64)
     out = np.zeros((len(lists), weights.shape[1]))
     if sizes.any():
-        flat = np.fromiter((r for x in lists for r in x), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
         full = sizes > 0
         out[full] = np.add.reduceat(weights[flat], (np.cumsum(sizes) - sizes)[full])
     return out
@@ -98,7 +103,7 @@ class Chain:
         total = len(index)
         count = -(-total // BLOCK)
         index = np.concatenate([index, np.full(count * BLOCK - total, len(emission), index.dtype)]).reshape(count, BLOCK)
-        first = np.concatenate([first, np.zeros(count * BLOCK - total, bool)]).reshape(count, BLOCK)
+        first = np.concatenate([first, np.ones(count * BLOCK - total, bool)]).reshape(count, BLOCK)
         emission = np.vstack([emission, np.ones(self.size)])
         ranges = [(i, min(i + BLOCKS, count)) for i in range(0, count, BLOCKS)]
         product = np.empty((count, self.size, self.size))
@@ -163,12 +168,12 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     kinds = {word: i for i, word in enumerate(dict.fromkeys(words))}
     index = np.array([kinds[w] for w in words]).reshape(SEQUENCES, SEQUENCE)
     gold_at = np.array(gold).reshape(SEQUENCES, SEQUENCE)
-    found = [features(word) for word in kinds]
+    found = [features(core(word)) for word in kinds]
     counts = Counter(f for x in found for f in x)
     rows = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= LEAST_COUNT))}
     lists = [[rows[f] for f in x if f in rows] for x in found]
     sizes = np.array([len(x) for x in lists])
-    flat = np.fromiter((r for x in lists for r in x), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(lists)), sizes)
 
     weights, move, start = np.zeros((len(rows), size)), np.eye(size), np.zeros(size)
@@ -236,20 +241,24 @@ class Labeller:
     """Labels the words of texts with a fitted model; remembers the emissions of words."""
 
     def __init__(self, model: Model):
-        self.model, self.chain = model, Chain(model)
+        self.model, self.chain = model, Chain(model) if model.labels else None
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.cores: dict[str, int] = {}
         self.emission = np.empty((0, len(self.model.labels)))
 
     def rows_of(self, words: list[str]) -> np.ndarray:
-        """Rows of ``self.emission`` for the words, which get their features if they are new."""
-        new = list(dict.fromkeys(w for w in words if w not in self.index))
+        """Rows of ``self.emission`` for the words; words with the same letters share one."""
+        known, cores = self.index, self.cores
+        new = {word: core(word) for word in set(words).difference(known)}
         if new:
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.emission = np.vstack([self.emission, _positive(self.model.scores(new))])
-        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+            fresh = sorted(set(new.values()).difference(cores))
+            cores.update(zip(fresh, range(len(cores), len(cores) + len(fresh)), strict=True))
+            self.emission = np.vstack([self.emission, _positive(self.model.scores(fresh))])
+            known.update((word, cores[letters]) for word, letters in new.items())
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def label(self, texts: list[str]):
         """For every text (language, score, run labels, run lengths): mean marginals of its words with letters, and runs of one label."""
@@ -257,7 +266,7 @@ class Labeller:
             self.forget()
         lists = [text.split() for text in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
-        words = [w for x in lists for w in x]
+        words = list(chain.from_iterable(lists))
         size = len(self.model.labels)
         means, best = np.zeros((len(texts), size)), np.zeros(len(words), np.int16)
         ends = np.cumsum(sizes)

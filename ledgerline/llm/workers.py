@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 import ledgerline
@@ -72,13 +73,29 @@ def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+#: Bytes of text that are worked on at a time; a longer text is worked on alone.
+PORTION = 4 << 20
+
+
+def portions(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose last column, a text, has about ``most`` bytes each."""
+    sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if held and held + size > most:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    yield batch.slice(start)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work`` on every Arrow batch; empty batches are passed over."""
+    """``work`` on portions of every Arrow batch, whose last column is a text that is not null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield work(batch)
+                yield from map(work, portions(batch))
 
     ship_code(df.sparkSession)
     return df.mapInArrow(run, schema)
