@@ -154,6 +154,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: s
     return durable(texts.join(chosen, "id").select("id", "text", "toxic")), part
 
 
+def _stems(length: int) -> Column:
+    """The first letters of all longer words."""
+    return F.transform(F.filter("words", lambda w: F.char_length(w) > length), lambda w: F.substring(w, 1, length))
+
+
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Words and stems that toxic texts of the sample have far oftener than others, with their log odds.
 
@@ -170,7 +175,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if len(counts) < 2:
         return {}
     marks = [F.transform("words", lambda w: F.concat(F.lit("="), w))]
-    marks += [F.transform(F.filter("words", lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]
+    marks += [_stems(n) for n in STEMS]
     marked = single.select("toxic", F.explode(F.array_distinct(F.concat(*marks))).alias("mark")).groupBy("mark").agg(
         F.sum("toxic").alias("hits"), F.sum(1 - F.col("toxic")).alias("misses")
     )
