@@ -144,13 +144,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: s
     """(text, toxic) of about ``rows`` rows of each label, chosen by a hash of the id, and the part of each label that was taken."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(learn).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = durable(texts.select("id").distinct().join(marks, "id"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = {r["toxic"]: r["count"] for r in texts.select("id").join(marks, "id").groupBy("toxic").count().collect()}
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     part = {label: min(1.0, rows / n) for label, n in counts.items()}
     wanted = F.lit(False)
     for label, share_ in part.items():
         wanted = wanted | ((F.col("toxic") == label) & (draw < share_))
-    chosen = marks.where(wanted)
+    # at most 4 * rows ids, so they are sent to the texts and no text is shuffled
+    chosen = F.broadcast(known.where(wanted).limit(4 * rows))
     return durable(texts.join(chosen, "id").select("id", "text", "toxic")), part
 
 
