@@ -211,15 +211,27 @@ def matches_series(col: Column, pattern: str) -> Column:
     return col.rlike(rf"^(?:{pattern})\z")
 
 
+#: White space that ``strip`` takes off: blanks, line ends, separators.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(col: Column) -> Column:
+    """Text without white space of any kind at both ends (``F.trim`` takes off blanks alone)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
 def natural_key(col: Column) -> Column:
-    """Sortable key; digit runs compare as numbers and before text runs."""
+    """Sortable key; digit runs compare as numbers, of any length, and before text runs.
+
+    Without leading zeros the longer run is the larger number, and runs of one length compare as text.
+    """
     runs = F.regexp_extract_all(col, F.lit(r"(\d+|\D+)"), F.lit(1))
     digits = lambda run: run.rlike(r"^\d+\z")
     return F.transform(
         runs,
         lambda run: F.struct(
             F.when(digits(run), F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-            F.when(digits(run), run.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("number"),
-            F.when(digits(run), F.lit("")).otherwise(run).alias("text"),
+            F.when(digits(run), F.length(F.ltrim(run, F.lit("0")))).otherwise(F.lit(0)).alias("digits"),
+            F.when(digits(run), F.ltrim(run, F.lit("0"))).otherwise(run).alias("text"),
         ),
     )

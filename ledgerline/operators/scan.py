@@ -131,7 +131,7 @@ def secret_findings(text: Column, assignment: str = X.SECRET_ASSIGNMENT, names:
     assigned = F.transform(
         secret_assignments(text, assignment), lambda name: F.concat(F.lit("secret-like assignment "), name, F.lit("=<redacted>"))
     )
-    pinned = text.contains("==") & F.trim(text).rlike(X.PINNED_REQUIREMENT)
+    pinned = text.contains("==") & X.strip(text).rlike(X.PINNED_REQUIREMENT)
     exempt = text.contains(X.ALLOW_SECRET_MARKER) | pinned
     return F.when(exempt, empty).otherwise(
         F.concat(

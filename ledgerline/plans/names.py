@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import is_ipv4
 from ledgerline.functions.paths import has_format
+from ledgerline.functions.text import strip
 from ledgerline.operators import network as NW
 from ledgerline.sources.files import explode_list_map, explode_map
 from ledgerline.violations import violation
@@ -47,7 +48,7 @@ def check_documents(documents: DataFrame) -> DataFrame:
         documents.select("doc", F.explode(missing).alias("k")).select(*violation("missing key", F.col("doc"), F.col("k"))),
         documents.select("doc", F.explode(extra).alias("k")).select(*violation("unknown key", F.col("doc"), F.col("k"))),
         zones.where(~has_format(NW.trim_dots(F.col("key")), "dns_name")).select(*violation("invalid zone", F.col("doc"), F.col("key"))),
-        zones.where((F.trim("value") == "") | ~F.col("value").rlike(r"^[^\x00-\x1f]*\z")).select(
+        zones.where((strip(F.col("value")) == "") | ~F.col("value").rlike(r"^[^\x00-\x1f]*\z")).select(
             *violation("invalid forwarder", F.col("doc"), F.col("key"))
         ),
         records.where(~has_format(F.col("domain"), "dns_name")).select(*violation("invalid name", F.col("doc"), F.col("domain"))),

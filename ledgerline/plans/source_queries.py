@@ -7,17 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import LINE_BREAK
 from ledgerline.operators.integrity import ForeignKey, row_counts
 from ledgerline.plans.registry import query
-from ledgerline.session import scratch_path
+from ledgerline.session import durable, scratch_path
 from ledgerline.sources import files as S
 from ledgerline.sources import records as D
 from ledgerline.sources import snapshot as N
 
 
 def numbered_docs(t):
-    return t.documents.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), "lang", "n_chars")
+    return t.documents.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), "lang", "n_chars", "text")
 
 
 def write_lines(df, column, spark, name):
@@ -29,7 +28,8 @@ def write_lines(df, column, spark, name):
 FAULTS = """
 f AS (SELECT event_id, CASE WHEN event_type = 'error' AND value < 1 THEN 'invalid JSON' WHEN event_type = 'error' AND value < 2 THEN 'not an object'
   WHEN event_type = 'error' AND value < 3 THEN 'unknown fields: extra, more' WHEN event_type = 'error' AND value < 4 THEN 'invalid id'
-  WHEN event_type = 'error' AND value < 5 THEN 'value does not fit its column' END AS rule, event_type = 'click' AND value < 1 AS twin FROM events)"""
+  WHEN event_type = 'error' AND value < 7 THEN 'value does not fit its column' END AS rule,
+  CASE WHEN event_type = 'error' AND value >= 5 THEN CASE WHEN value < 6 THEN 'wrong type: user' WHEN value < 7 THEN 'wrong type: kind' END END AS type_rule, event_type = 'click' AND value < 1 AS twin FROM events)"""
 
 
 def faulty_lines(t):
@@ -42,7 +42,9 @@ def faulty_lines(t):
     line = (
         F.when(bad & (c("value") < 1), F.lit("{broken")).when(bad & (c("value") < 2), F.lit("[1]"))
         .when(bad & (c("value") < 3), good(more=1, extra=2)).when(bad & (c("value") < 4), F.to_json(F.struct(c("event_id").alias("id"))))
-        .when(bad & (c("value") < 5), F.to_json(F.struct(ident.alias("id"), F.lit("x").alias("user")))).otherwise(good())
+        .when(bad & (c("value") < 5), F.to_json(F.struct(ident.alias("id"), F.lit("x").alias("user"))))
+        .when(bad & (c("value") < 6), F.to_json(F.struct(ident.alias("id"), c("user_id").cast("string").alias("user"), c("event_type").alias("kind"))))
+        .when(bad & (c("value") < 7), F.to_json(F.struct(ident.alias("id"), c("user_id").alias("user"), F.lit(True).alias("kind")))).otherwise(good())
     )
     copies = F.when((c("event_type") == "click") & (c("value") < 1), 2).otherwise(1)
     return t.events.select(F.explode(F.array_repeat(line, copies)).alias("line"))
@@ -74,7 +76,7 @@ def snapshot_loose(t):
 
 @query(
     "snapshot_log",
-    f"""WITH {FAULTS} SELECT coalesce(CASE WHEN rule IN ('unknown fields: extra, more', 'invalid id', 'value does not fit its column') THEN 'fields do not match the schema' ELSE rule END, 'event') AS kind,
+    f"""WITH {FAULTS} SELECT coalesce(type_rule, CASE WHEN rule IN ('unknown fields: extra, more', 'invalid id', 'value does not fit its column') THEN 'fields do not match the schema' ELSE rule END, 'event') AS kind,
   count(*) + count(*) FILTER (WHERE twin) AS n FROM f GROUP BY 1""",
 )
 def snapshot_log(t):
@@ -84,7 +86,7 @@ def snapshot_log(t):
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snapshot_roundtrip", "SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, lang, n_chars FROM documents")
+@query("snapshot_roundtrip", "SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, lang, n_chars, text FROM documents")
 def snapshot_roundtrip(t):
     docs = numbered_docs(t)
     path = scratch_path(t.spark, "snapshot")
@@ -92,16 +94,21 @@ def snapshot_roundtrip(t):
     return N.read_table(t.spark, path, "documents", docs.schema)
 
 
-@query("snapshot_verify", "SELECT 'record count' AS rule, 'documents' AS name, count(*) > 0 AS found FROM documents")
+@query(
+    "snapshot_verify",
+    """SELECT 'after' AS state, rule, 'documents' AS "table", count(*) > 0 AS found FROM documents, (VALUES ('record count'), ('file added')) r(rule) GROUP BY rule""",
+)
 def snapshot_verify(t):
-    """A line added to a finished table file set shows as an extra file and a wrong count."""
+    """A fresh snapshot in small files has no finding; a line added to a finished table shows as an extra file and a wrong count."""
     path = scratch_path(t.spark, "snapshot")
     docs = numbered_docs(t)
-    N.write_snapshot({"documents": docs}, {}, path)
+    N.write_snapshot({"documents": docs}, {}, path, records_per_file=100)
+    fresh = durable(N.verify_snapshot(t.spark, path).select(F.lit("fresh").alias("state"), "rule", "name"))
     extra = docs.limit(1).select(F.to_json(F.struct("*")).alias("value"))
     extra.write.mode("append").text(f"{path}/tables/documents")
-    bad = N.verify_snapshot(t.spark, path)
-    return bad.where("rule <> 'file added'").groupBy("rule", "name").agg((F.count(F.lit(1)) > 0).alias("found"))
+    bad = fresh.unionByName(N.verify_snapshot(t.spark, path).select(F.lit("after").alias("state"), "rule", "name"))
+    table = F.regexp_extract("name", "^(?:tables/)?([^/]+)", 1).alias("table")
+    return bad.groupBy("state", "rule", table).agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
 @query("snapshot_manifest", "SELECT 'labels' AS \"table\", count(*) AS declared, 1 AS format_version FROM labels UNION ALL SELECT 'documents', count(*), 1 FROM documents")
@@ -115,71 +122,98 @@ def snapshot_manifest(t):
 @query(
     "snapshot_load",
     """
-SELECT 'orders' AS "table", count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys, 0 AS notes FROM orders
-UNION ALL SELECT 'lines', count(*), CAST(sum(l_orderkey) AS BIGINT), 0 FROM lineitem""",
+SELECT 'orders' AS "table", count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(length(o_orderpriority)) AS BIGINT) AS letters, 0 AS notes FROM orders
+UNION ALL SELECT 'lines', count(*), CAST(sum(l_orderkey) AS BIGINT), CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT), CAST(sum(length(l_returnflag)) AS BIGINT), 0 FROM lineitem""",
 )
 def snapshot_load(t):
     """Orders, then lines, into an empty target; the absent column comes out null."""
     target = scratch_path(t.spark, "load")
-    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
-    lines = t.lineitem.select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("order_id"))
-    columns = {"orders": {"id": "bigint", "customer": "bigint", "note": "string"}, "lines": {"id": "int", "order_id": "bigint", "note": "string"}}
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("kind"))
+    lines = t.lineitem.select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("kind"))
+    rest = {"price": "double", "kind": "string", "note": "string"}
+    columns = {"orders": {"id": "bigint", "customer": "bigint", **rest}, "lines": {"id": "int", "order_id": "bigint", **rest}}
     N.load_tables({"orders": orders, "lines": lines}, columns, target, ["orders", "lines"], [ForeignKey("lines", "order_id", "orders")])
     parts = [
-        t.spark.read.parquet(f"{target}/{name}").agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"), F.count("note").cast("int").alias("notes"))
+        t.spark.read.parquet(f"{target}/{name}").agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"), F.sum(F.round(F.col("price") * 100).cast("bigint")).alias("cents"), F.sum(F.length("kind")).alias("letters"), F.count("note").cast("int").alias("notes"))
         .withColumn("table", F.lit(name))
         for name, key in (("orders", "customer"), ("lines", "order_id"))
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def tree_level(name, below, depth):
+    """SQL of one level of the key tree; trees that are not as deep pass through."""
+    return f"""{name} AS (SELECT CASE WHEN max(d) > {depth} THEN substr(b, 1, {depth}) ELSE b END AS b, max(d) AS d, sum(n) AS n, sum(bytes) AS bytes,
+  CASE WHEN max(d) > {depth} THEN sha256(string_agg(g, chr(10) ORDER BY b0)) ELSE max(g) END AS g
+  FROM (SELECT b AS b0, CASE WHEN d > {depth} THEN substr(b, 1, {depth}) ELSE b END AS b, d, n, bytes, g FROM {below}) GROUP BY b)"""
+
+
 @query(
     "inventory_totals",
-    """
+    f"""
 WITH k AS (SELECT page_id || ' ' || url AS k, CAST(len(html) AS BIGINT) AS s, sha256(page_id || ' ' || url) AS h FROM pages),
-leaf AS (SELECT substr(h, 1, 4) AS b, count(*) AS n, sum(s) AS bytes, sha256(string_agg(k, chr(10) ORDER BY k) || chr(10)) AS d FROM k GROUP BY 1),
-node AS (SELECT substr(b, 1, 2) AS b2, sum(n) AS n, sum(bytes) AS bytes, sha256(string_agg(d, chr(10) ORDER BY b)) AS d FROM leaf GROUP BY 1),
-root AS (SELECT CAST(sum(n) AS BIGINT) AS object_count, CAST(sum(bytes) AS BIGINT) AS total_bytes, sha256(string_agg(d, chr(10) ORDER BY b2)) AS key_tree_sha256 FROM node)
-SELECT *, (SELECT sha256(string_agg(k, chr(10) ORDER BY k) || chr(10)) FROM k) AS key_list_sha256 FROM root""",
+depth AS (SELECT CASE WHEN count(*) <= 16 THEN 0 WHEN count(*) <= 256 THEN 1 WHEN count(*) <= 4096 THEN 2 WHEN count(*) <= 65536 THEN 3 ELSE 4 END AS d FROM k),
+leaf AS (SELECT substr(h, 1, d) AS b, max(d) AS d, count(*) AS n, sum(s) AS bytes, sha256(string_agg(k, chr(10) ORDER BY k) || chr(10)) AS g FROM k, depth GROUP BY 1),
+{tree_level("l3", "leaf", 3)}, {tree_level("l2", "l3", 2)}, {tree_level("l1", "l2", 1)}, {tree_level("l0", "l1", 0)}
+SELECT CAST(sum(n) AS BIGINT) AS object_count, CAST(sum(bytes) AS BIGINT) AS total_bytes, max(g) AS key_tree_sha256 FROM l0""",
 )
 def inventory_totals(t):
+    """Small leaves, so that even small tables have a tree."""
     inventory = t.pages.select(F.concat_ws(" ", "page_id", "url").alias("key"), F.length("html").alias("size"))
-    return S.inventory_totals(inventory)
+    return S.inventory_totals(inventory, leaf_keys=16)
+
+
+EXPORTED = """
+rows AS (SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, page_id % 20 AS part, regexp_replace(html, '[\\r\\n]+', ' ', 'g') || chr(10) AS value FROM pages),
+files AS (SELECT lang, part, string_agg(value, '' ORDER BY page_id) AS content FROM rows GROUP BY lang, part)"""
 
 
 def exported(t, name):
-    """Pages written as text, spread over files by language."""
+    """Pages written as text, one sorted file for each language and twentieth of the pages."""
     path = scratch_path(t.spark, name)
-    rows = t.pages.select(F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
-    rows.write.option("maxRecordsPerFile", 20000).partitionBy("lang").text(path)
+    lang = F.regexp_extract("url", "/([a-z]{2})/", 1)
+    rows = t.pages.select("page_id", lang.alias("lang"), (F.col("page_id") % 20).alias("part"), F.regexp_replace("html", r"[\r\n]+", " ").alias("value"))
+    placed = rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "page_id")
+    placed.select("lang", "part", "value").write.partitionBy("lang", "part").text(path)
     return path
 
 
-@query("snapshot_inventory", "SELECT DISTINCT regexp_extract(url, '/([a-z]{2})/', 1) AS lang, true AS has_bytes FROM pages")
+def named(rows, column):
+    """Language and part of a file by its path."""
+    return rows.withColumns({"lang": F.regexp_extract(column, "lang=([a-z]{2})/", 1), "part": F.regexp_extract(column, "part=([0-9]+)/", 1).cast("bigint")})
+
+
+@query("snapshot_inventory", f"WITH {EXPORTED} SELECT lang, part, CAST(strlen(content) AS BIGINT) AS size, true AS below FROM files")
 def snapshot_inventory(t):
-    """The listing alone tells which languages were written and that their files hold bytes."""
+    """Key and size of every file written."""
     listing = S.object_inventory(t.spark, exported(t, "inventory"))
-    data = listing.select(F.regexp_extract("key", "^lang=([a-z]{2})/", 1).alias("lang"), "size").where("lang <> ''")
-    return data.groupBy("lang").agg((F.sum("size") > 0).alias("has_bytes"))
+    files = named(listing.where(F.col("key").rlike(r"\.txt$")), "key")
+    return files.select("lang", "part", "size", F.col("key").rlike("^lang=[a-z]{2}/part=[0-9]+/part-[^/]+$").alias("below"))
 
 
-@query("snapshot_fingerprint", "SELECT DISTINCT regexp_extract(url, '/([a-z]{2})/', 1) AS lang, 64 AS digest_length FROM pages")
+@query("snapshot_fingerprint", f"WITH {EXPORTED} SELECT lang, part, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256 FROM files")
 def snapshot_fingerprint(t):
+    """Overlapping patterns; files above 20 kB are digested as a stream."""
     path = exported(t, "fingerprint")
-    prints = S.fingerprint(t.spark, [f"{path}/lang=*/part-*", f"{path}/lang=e*/*.txt"])
-    named = prints.select(F.regexp_extract("path", "lang=([a-z]{2})/", 1).alias("lang"), F.length("sha256").alias("digest_length"))
-    return named.groupBy("lang").agg(F.max("digest_length").alias("digest_length"))
+    prints = S.fingerprint(t.spark, [f"{path}/lang=*/part=*/part-*", f"{path}/lang=e*/part=1*/*.txt"], inline_bytes=20_000)
+    return named(prints, "path").select("lang", "part", "size", "sha256")
 
 
 @query(
     "snapshot_lines",
-    "SELECT page_id || ' ' || regexp_replace(html, '\\r\\n|[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', ' ', 'g') AS text FROM pages",
+    r"""
+WITH whole AS (SELECT page_id, regexp_replace(html || chr(10), '\r\n|[\r\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g') AS x FROM pages),
+pieces AS (SELECT page_id, string_split(x[:-2], chr(10)) AS p FROM whole),
+l AS (SELECT page_id, unnest(p) AS text, generate_subscripts(p, 1) AS place FROM pieces)
+SELECT page_id % 20 AS part, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id, place) AS line, text FROM l""",
 )
 def snapshot_lines(t):
-    """S7 from files: line numbers are checked by the numbered_lines query."""
-    flat = F.regexp_replace("html", LINE_BREAK, " ")
-    path = write_lines(t.pages.select(F.concat_ws(" ", "page_id", flat).alias("line")), "line", t.spark, "lines")
-    return S.read_lines(t.spark, f"{path}/part-*").select("text")
+    """S7 from files of many pages each: the numbers run through the file."""
+    path = scratch_path(t.spark, "lines")
+    rows = t.pages.select((F.col("page_id") % 20).alias("part"), "page_id", F.col("html").alias("value")).repartition("part").sortWithinPartitions("part", "page_id")
+    rows.select("part", "value").write.partitionBy("part").text(path)
+    lines = S.read_lines(t.spark, f"{path}/part=*/part-*")
+    return lines.select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("bigint").alias("part"), "line", "text")
 
 
 @query(
@@ -223,7 +257,7 @@ def snapshot_keyvalues(t):
 
 @query(
     "snapshot_keyvalue_violations",
-    f"""WITH {KV_LINES} SELECT CASE event_type WHEN 'error' THEN 'invalid value for ' || key || ': invalid quoting: No closing quotation' ELSE 'expected KEY=value or export KEY=value' END AS rule, count(*) AS n
+    f"""WITH {KV_LINES} SELECT CASE event_type WHEN 'error' THEN 'invalid value for ' || key || ': a quote or an escape is not closed' ELSE 'expected KEY=value or export KEY=value' END AS rule, count(*) AS n
 FROM l WHERE event_type IN ('error', 'purchase') GROUP BY 1""",
 )
 def snapshot_keyvalue_violations(t):

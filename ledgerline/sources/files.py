@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import shlex
+import hashlib
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerline.functions.text import split_lines
+from ledgerline.functions.text import split_lines, strip
 
 # Shape of a key/value line.
 KEY_VALUE_LINE = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)$"
-MAX_FILE_BYTES = 1 << 30
+#: Files up to this size are digested by the reader itself, larger ones as a stream; the digest is the same.
+INLINE_BYTES = 1 << 26
+#: Keys of one leaf of the inventory digest, on average.
+LEAF_KEYS = 1024
 
 
 def number_lines(df: DataFrame, path: Column, text: Column) -> DataFrame:
@@ -24,31 +27,57 @@ def number_lines(df: DataFrame, path: Column, text: Column) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Numbered lines of text files; files that are not UTF-8 are skipped."""
-    files = spark.read.format("binaryFile").load(paths)
-    text = F.col("content").cast("string")
-    return number_lines(files.where(F.is_valid_utf8(text)), F.col("path"), text)
+    """Numbered lines of text files of any size; files that are not UTF-8 are skipped.
 
+    Files are read in blocks.  A line's number is its place in its block after the lines of the
+    blocks before, so no task holds more than a block and no file has to fit in memory.
+    """
+    raw = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"),
+        F.col("value"),
+    )
+    unreadable = raw.where(~F.is_valid_utf8("value")).select("path").distinct()
+    pieces = raw.join(unreadable, "path", "left_anti").withColumn("_lines", split_lines(F.concat("value", F.lit("\n")))).drop("value")
+    blocks = pieces.groupBy("path", "_block").agg(F.sum(F.size("_lines").cast("bigint")).alias("_n"))
+    starts = blocks.withColumn("_start", F.sum("_n").over(Window.partitionBy("path").orderBy("_block")) - F.col("_n")).drop("_n")
+    own = Window.partitionBy("path", "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = pieces.withColumn("_upto", F.sum(F.size("_lines").cast("bigint")).over(own) - F.size("_lines")).join(starts, ["path", "_block"])
+    return placed.select("path", (F.col("_start") + F.col("_upto")).alias("_before"), F.posexplode("_lines").alias("_pos", "text")).select(
+        "path", (F.col("_before") + F.col("_pos") + 1).alias("line"), "text"
+    )
 
-_SCALAR_TYPE = T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())])
 
+# One piece of a shell word: plain characters, an escaped one, single or double quotes; or white space between words.
+SHELL_PIECE = r"""((?s)[^\s'"\\]+|\\.|'[^']*'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\s+)"""
 
-def _unquote(raw: str | None) -> tuple[str | None, str | None]:
-    try:
-        parts = shlex.split(raw or "", posix=True, comments=False)
-    except ValueError as error:
-        return None, f"invalid quoting: {error}"
-    if len(parts) != 1:
-        return None, "expected exactly one scalar value"
-    if "\x00" in parts[0]:
-        return None, "value contains a NUL byte"
-    return parts[0], None
 
+def unquote(raw: Column) -> Column:
+    """struct(value, error) of one shell-quoted scalar.
 
-@F.pandas_udf(_SCALAR_TYPE)
-def unquote(values: pd.Series) -> pd.DataFrame:
-    """Shell unquoting of one scalar, in Arrow batches."""
-    return pd.DataFrame([_unquote(value) for value in values], columns=["value", "error"])
+    The text is cut into pieces; what the pieces do not cover is an open quote or a lone escape, white space between
+    two of them means several words.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(strip(raw), F.lit("")), F.lit(SHELL_PIECE), F.lit(1))
+
+    def plain(piece: Column) -> Column:
+        inner = F.substr(piece, F.lit(2), F.length(piece) - 2)
+        return (
+            F.when(piece.startswith("'"), inner)
+            .when(piece.startswith('"'), F.regexp_replace(inner, r'\\(["\\])', "$1"))
+            .when(piece.startswith("\\"), F.substring(piece, 2, 1))
+            .otherwise(piece)
+        )
+
+    value = F.array_join(F.transform(pieces, plain), "")
+    covered = F.length(F.array_join(pieces, "")) == F.length(F.coalesce(strip(raw), F.lit("")))
+    error = (
+        F.when(~covered, F.lit("a quote or an escape is not closed"))
+        .when((F.size(pieces) == 0) | F.exists(pieces, lambda piece: piece.rlike(r"^\s")), F.lit("not exactly one value"))
+        .when(F.contains(value, F.lit("\x00")), F.lit("a NUL byte in the value"))
+    )
+    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
 def parse_keyvalues(lines: DataFrame, allowed: list[str] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +86,7 @@ def parse_keyvalues(lines: DataFrame, allowed: list[str] | None = None, strict:
     Comments and blanks are skipped.  With ``strict`` other lines and keys outside
     ``allowed`` are violations; without it they are left out.
     """
-    body = F.trim("text")
+    body = strip(F.col("text"))
     kept = lines.where((body != "") & ~body.startswith("#"))
     matched = kept.withColumn("_ok", F.col("text").rlike(KEY_VALUE_LINE))
     pairs = matched.where("_ok").select(
@@ -75,13 +104,9 @@ def parse_keyvalues(lines: DataFrame, allowed: list[str] | None = None, strict:
                 unknown.select("path", "line", F.concat(F.lit("unsupported key "), F.col("key")).alias("rule"))
             )
         pairs = pairs.where(F.col("key").isin(allowed))
-    # the plain form needs no unquoting, so Python sees only quoted or escaped values
-    plain = F.col("_raw").rlike(r"^[^\s'\"\\\x00]+\z")
-    simple = pairs.where(plain).select("path", "line", "key", F.col("_raw").alias("value"), F.lit(None).cast("string").alias("error"))
-    quoted = pairs.where(~plain).withColumn("_u", unquote("_raw")).select(
+    values = pairs.withColumn("_u", unquote(F.col("_raw"))).select(
         "path", "line", "key", F.col("_u.value").alias("value"), F.col("_u.error").alias("error")
     )
-    values = simple.unionByName(quoted)
     invalid = values.where(F.col("error").isNotNull()).select(
         "path", "line", F.concat(F.lit("invalid value for "), F.col("key"), F.lit(": "), F.col("error")).alias("rule")
     )
@@ -102,7 +127,7 @@ def read_keyvalues(spark: SparkSession, paths: str | list[str], allowed: list[st
 
 def read_checksums(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows (name, digest), violations) of ``digest  name`` lists; a leading ``*`` is dropped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("text"))
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("text"))
     digest = F.regexp_extract("text", r"^(\S+)\s+(.+)$", 1)
     name = F.ltrim(F.regexp_extract("text", r"^(\S+)\s+(.+)$", 2), F.lit("*"))
     parsed = lines.select("text", digest.alias("digest"), name.alias("name"))
@@ -125,52 +150,62 @@ def _quote(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def fingerprint(spark: SparkSession, globs: list[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, size, sha256) of the distinct files behind several patterns.
+def _stream_digests(batches):
+    """(path, size, sha256) of files read a mebibyte at a time."""
+    for batch in batches:
+        digests = []
+        for path in batch.column(0).to_pylist():
+            local = path.startswith("file:")
+            system, name = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while block := stream.read(1 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string())], names=["path", "size", "sha256"])
+
 
-    Content is read only for files up to ``max_bytes``; larger ones keep a null digest,
-    so a caller sees them instead of losing them.
+def fingerprint(spark: SparkSession, globs: list[str], inline_bytes: int = INLINE_BYTES) -> DataFrame:
+    """(path, size, sha256) of the distinct files behind several patterns, of any size.
+
+    The listing does not read contents.  Files over ``inline_bytes`` are streamed by the task, which
+    never holds more than a block of them; their store has to be one that Arrow opens.
     """
     files = spark.read.format("binaryFile").load(globs)
-    small = files.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > max_bytes).select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large).distinct()
+    small = files.where(F.col("length") <= inline_bytes).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > inline_bytes).select("path", F.col("length").alias("size")).distinct().repartition("path")
+    return small.distinct().unionByName(large.mapInArrow(_stream_digests, "path string, size bigint, sha256 string"))
 
 
-def inventory_totals(inventory: DataFrame, key: str = "key", size: str = "size", flat_limit: int = 100_000, digits: int = 4) -> DataFrame:
-    """A2: object count, total bytes and digests of the sorted key list (one row).
+def inventory_totals(inventory: DataFrame, key: str = "key", size: str = "size", leaf_keys: int = LEAF_KEYS) -> DataFrame:
+    """A2: object count, total bytes and ``key_tree_sha256``, a digest of the key list (one row).
 
-    ``key_list_sha256`` is the digest of all keys, each followed by a line break; it
-    needs the list in one place, so it is given only up to ``flat_limit`` keys.
-    ``key_tree_sha256`` works at any size: keys fall into 16^digits buckets by the digest
-    of the key (even by construction, whatever the keys), every bucket hashes its sorted
-    keys, and each level above hashes the digests of 256 groups below it.  Take more
-    digits beyond a billion keys; digests compare only at equal digits.
+    The digest is one and the same function of the keys at every size: keys fall into
+    16^depth leaves by the digest of the key, a leaf hashes its sorted keys, and each level above
+    hashes the digests of its (at most 16) children.  The depth follows the number of distinct keys, so that
+    a leaf has about ``leaf_keys`` of them.  A key listed several times counts as one line with its number.
     """
-    keys = inventory.select(F.col(key).alias("k"), F.col(size).cast("bigint").alias("s"), F.sha2(F.col(key), 256).alias("h"))
-    level = keys.groupBy(F.left("h", F.lit(digits)).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"),
+    keys = inventory.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(size).cast("bigint")).alias("s"))
+    depth, leaves = 0, 1
+    distinct = keys.count()
+    while leaves * leaf_keys < distinct:
+        depth, leaves = depth + 1, leaves * 16
+    line = F.when(F.col("n") > 1, F.concat_ws("\t", "k", "n")).otherwise(F.col("k"))
+    level = keys.groupBy(F.left(F.sha2("k", 256), F.lit(depth)).alias("bucket")).agg(
+        F.sum("n").alias("n"),
         F.sum("s").alias("bytes"),
-        F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("k")), "\n"), F.lit("\n")), 256).alias("digest"),
+        F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")), 256).alias("digest"),
     )
     below = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"])
-    joined = F.sha2(F.array_join(below, "\n"), 256)
-    for width in range(digits - 2, 0, -2):
+    for width in range(depth - 1, -1, -1):
         level = level.groupBy(F.left("bucket", F.lit(width)).alias("_up")).agg(
-            F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), joined.alias("digest")
+            F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(below, "\n"), 256).alias("digest")
         ).withColumnRenamed("_up", "bucket")
-    root = level.agg(
+    return level.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("object_count"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"),
-        joined.alias("key_tree_sha256"),
-    )
-    total = inventory.agg(F.count(F.lit(1))).scalar()
-    flat = inventory.where(total <= flat_limit).agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.col(key))).alias("ks")
+        F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("key_tree_sha256"),
     )
-    text = F.when(F.size("ks") > 0, F.concat(F.array_join("ks", "\n"), F.lit("\n"))).otherwise(F.lit(""))
-    flat_digest = flat.select(F.when((F.col("n") > 0) | (total == 0), F.sha2(text, 256))).scalar()
-    return root.withColumn("key_list_sha256", flat_digest)
 
 
 def explode_map(df: DataFrame, col: str, value_type: str = "string", keep: list[str] | None = None) -> DataFrame:

@@ -37,6 +37,14 @@ def test_log_finds_torn_line(spark, rows, tmp_path, ending, torn):
     assert len(rows(good)) == 2 and [r[0] for r in rows(bad, "rule")] == torn
 
 
+def test_log_rejects_wrong_types(spark, rows, tmp_path):
+    lines = ['{"id": "x", "seq": "oops", "code": true, "on": true, "tags": ["a"]}', '{"id": 5, "seq": 1, "code": 2, "on": 1, "tags": ["a", 1]}', '{"id": null, "seq": 1, "code": null, "on": false, "tags": []}']
+    (tmp_path / "log").write_text("\n".join(lines) + "\n")
+    good, bad = D.read_log(spark, str(tmp_path / "log"), "id string, seq bigint, code int, on boolean, tags array<string>")
+    assert rows(good) == [(None, 1, None, False, [])]
+    assert rows(bad, "rule") == [("wrong type: code, seq",), ("wrong type: id, on, tags",)]
+
+
 def test_log_requires_exact_fields(spark, rows, tmp_path):
     (tmp_path / "log").write_text('{"a": 1}\n{"a": 1, "b": "x", "c": 0}\n\n')
     _, bad = D.read_log(spark, str(tmp_path / "log"), "a int, b string")
@@ -61,6 +69,21 @@ def test_lines_skip_undecodable_files(spark, rows, tmp_path):
     assert rows(S.read_lines(spark, str(tmp_path)), "line", "text") == [(1, "a"), (2, "b")]
 
 
+def test_line_numbers_run_through_blocks(spark, tmp_path):
+    lines = [f"{i} " + "x" * (i % 90) + ("\x0bsecond" if i % 7 == 0 else "") + ("\r" if i % 5 == 0 else "") for i in range(400)]
+    text = "\n".join(lines) + "\n\nlast"
+    (tmp_path / "long").write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = S.read_lines(spark, str(tmp_path / "long"))
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path / "long")).rdd.getNumPartitions() > 1
+        got = sorted((r.line, r.text) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(enumerate(text.splitlines(), 1))
+
+
 def test_inventory_fingerprint_and_totals(spark, rows, tmp_path):
     root = tmp_path / "objects"
     (root / "x").mkdir(parents=True)
@@ -70,13 +93,35 @@ def test_inventory_fingerprint_and_totals(spark, rows, tmp_path):
     assert rows(inventory) == [("a", 1), ("x/b", 2)]
     total = S.inventory_totals(inventory).collect()[0]
     assert (total["object_count"], total["total_bytes"]) == (2, 3)
-    assert total["key_list_sha256"] == hashlib.sha256(b"a\nx/b\n").hexdigest()
-    assert S.inventory_totals(inventory, flat_limit=1).collect()[0]["key_list_sha256"] is None
+    assert total["key_tree_sha256"] == hashlib.sha256(b"a\nx/b\n").hexdigest()
     empty = S.inventory_totals(inventory.where("size > 9")).collect()[0]
-    assert empty["object_count"] == 0 and empty["key_list_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert empty["object_count"] == 0 and empty["key_tree_sha256"] == hashlib.sha256(b"").hexdigest()
     prints = S.fingerprint(spark, [f"{root}/*", f"{root}/a", f"{root}/x/*"])
     assert sorted(r[0] for r in rows(prints, "sha256")) == sorted(hashlib.sha256(b).hexdigest() for b in (b"1", b"22"))
-    assert {r[0] for r in rows(S.fingerprint(spark, [f"{root}/a"], max_bytes=0), "sha256")} == {None}
+    assert rows(S.fingerprint(spark, [f"{root}/*", f"{root}/a", f"{root}/x/*"], inline_bytes=0)) == rows(prints)
+
+
+@pytest.mark.parametrize("count, leaf", [(10, 16), (300, 16), (5000, 16), (5000, 1024)])
+def test_inventory_digest_is_one_function_at_every_size(spark, count, leaf):
+    keys = [f"k{i}" for i in range(count)]
+    depth = 0
+    while 16**depth * leaf < count:
+        depth += 1
+
+    def node(prefix):
+        own = sorted(k for k in keys if hashlib.sha256(k.encode()).hexdigest().startswith(prefix))
+        if not own:
+            return None
+        if len(prefix) == depth:
+            return hashlib.sha256(("\n".join(own) + "\n").encode()).hexdigest()
+        return hashlib.sha256("\n".join(filter(None, (node(prefix + c) for c in "0123456789abcdef"))).encode()).hexdigest()
+
+    frame = spark.createDataFrame([(k, 1) for k in keys], "key string, size int")
+    first = S.inventory_totals(frame, leaf_keys=leaf).collect()[0]
+    assert (first["object_count"], first["total_bytes"], first["key_tree_sha256"]) == (count, count, node(""))
+    assert S.inventory_totals(frame.repartition(7).orderBy(F.desc("key")), leaf_keys=leaf).collect()[0] == first
+    twice = S.inventory_totals(frame.unionByName(frame.limit(1)), leaf_keys=leaf).collect()[0]
+    assert twice["object_count"] == count + 1 and twice["key_tree_sha256"] != first["key_tree_sha256"]
 
 
 def test_checksum_list(spark, rows, tmp_path):

@@ -154,7 +154,7 @@ def natural(tag):
 
 
 def test_natural_order_matches_brute_force(spark):
-    tags = ["1.10", "1.9", "1.9-rc1", "v2", "2", "10", "1", "1.9.0", "1.09", "a", "1a", "99999999999999999999999", "1." + "9" * 30]
+    tags = ["1.10", "1.9", "1.9-rc1", "v2", "2", "10", "1", "1.9.0", "1.09", "a", "1a", "99999999999999999999999", "1." + "9" * 30, "1" * 41, "2" + "0" * 40, "0" * 50 + "3"]
     frame = spark.createDataFrame([(t,) for t in tags], "tag string")
     got = [r["tag"] for r in frame.orderBy(X.natural_key(F.col("tag")), "tag").collect()]
     assert got == sorted(tags, key=lambda t: (natural(t), t))
@@ -230,6 +230,9 @@ def test_times(spark):
     assert utc("2024-01-01T00:00:00.5Z") == "2024-01-01T00:00:00.500000Z"
     assert utc("2024-01-01") == "2024-01-01T00:00:00Z"
     assert utc("soon") is None
+    assert utc("2024-01-01T00:00:00.123456789Z") == "2024-01-01T00:00:00.123456Z"
+    assert utc("2024-01-01T01:00:00+0100") == utc("2024-01-01T01:00+01") == utc("20240101T000000Z") == "2024-01-01T00:00:00Z"
+    assert utc("2024-0101") is None and utc("2024-01-01T") is None and utc("2024-01-01T00:00:00,5") == "2024-01-01T00:00:00.500000Z"
 
 
 def test_normalize_json_rejects_non_finite(spark):
