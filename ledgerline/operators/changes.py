@@ -65,16 +65,20 @@ def attach_owners(changes: DataFrame, registry: DataFrame, address: str = "addre
 
 
 def latest_evidence(
-    backups: DataFrame, service: str, mtime: str, name: str, now: Column, excluded: Column, max_age_hours: int = MAX_BACKUP_AGE_HOURS
+    backups: DataFrame, service: str, mtime: str, name: str, now: Column, excluded: Column, max_age_hours: int = MAX_BACKUP_AGE_HOURS, services: DataFrame | None = None
 ) -> DataFrame:
     """Newest backup per service and the first check it fails.
 
     Checks, in order: archive missing (all excluded), checksum missing, checksum
     mismatch, wrong target or kind, too old.  Expects the columns expected_sha256,
-    sha256, manifest_target and archive_kind.
+    sha256, manifest_target and archive_kind.  ``services`` names services that are judged even
+    if they have no backup row at all.
     """
     usable = F.when(~excluded, F.struct(F.col(mtime).alias("mtime"), F.col(name).alias("name"), "expected_sha256", "sha256", "manifest_target", "archive_kind"))
-    newest = backups.groupBy(service).agg(F.max(usable).alias("b"))
+    known = backups.select(F.col(service), usable.alias("b"))
+    if services is not None:
+        known = known.unionByName(services.select(F.col(service), F.lit(None).cast(known.schema["b"].dataType).alias("b")))
+    newest = known.groupBy(service).agg(F.max("b").alias("b"))
     age_limit = F.make_dt_interval(F.lit(0), F.lit(max_age_hours))
     error = first_reason(
         [

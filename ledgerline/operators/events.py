@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import age_text, decode_status, duration_text, to_utc
-from ledgerline.skew import attach, hot_keys
+from ledgerline.skew import attach
 from ledgerline.violations import failed_rules
 
 # Schema version, event types, recipes, failure codes, mutation boundaries.
@@ -114,21 +116,31 @@ def check_event_ids(events: DataFrame) -> DataFrame:
 def check_lifecycle(events: DataFrame, part: list[str], seq: str, is_start: Column, is_terminal: Column) -> DataFrame:
     """A command may start once; a terminal needs its start open.
 
-    With a single start allowed, the only valid terminal is the first one after it, so
-    two aggregates decide every row.  Returns (part, seq, rule).
+    With a single start allowed, the only valid terminal is the first one after it.  One aggregate
+    by command knows the first start, the smallest and largest start and terminal and how many
+    there are; a command of one start and one later terminal is sound, and only the others'
+    rows are looked at again.  Returns (part, seq, rule).
     """
     marked = events.select(*part, seq, is_start.alias("_s"), is_terminal.alias("_t")).where("_s OR _t")
-    hot = hot_keys(marked, part)
-    starts = marked.groupBy(*part).agg(F.min(F.when(F.col("_s"), F.col(seq))).alias("_first_start"))
-    with_start = attach(marked, starts, part, "left", hot=hot)
-    closes = with_start.groupBy(*part).agg(
-        F.min(F.when(F.col("_t") & (F.col(seq) > F.col("_first_start")), F.col(seq))).alias("_close")
+    facts = marked.groupBy(*part).agg(
+        F.min(F.when(F.col("_s"), F.col(seq))).alias("_first_start"),
+        F.min(F.when(F.col("_t"), F.col(seq))).alias("_first_end"),
+        F.count_if("_s").alias("_starts"),
+        F.count_if("_t").alias("_ends"),
     )
-    judged = attach(with_start, closes, part, "left", hot=hot)
+    sound = (F.col("_starts") == 1) & ((F.col("_ends") == 0) | ((F.col("_ends") == 1) & (F.col("_first_end") > F.col("_first_start"))))
+    suspects = attach(marked, facts.where(~F.coalesce(sound, F.lit(False))).select(*part, "_first_start"), part, "inner")
+    after = F.col("_t") & (F.col(seq) > F.col("_first_start"))
+    key = F.concat_ws("\x00", *[F.col(name).cast("string") for name in part])
+    # grouped by one text, so that the join above stays free to be split
+    closes = suspects.where(after).groupBy(key.alias("_key")).agg(F.min(seq).alias("_close"))
+    judged = attach(suspects.withColumn("_key", key), closes, ["_key"], "left")
     rule = F.when(F.col("_s") & (F.col(seq) > F.col("_first_start")), F.lit("command id is reused")).when(
         F.col("_t") & ~F.coalesce(F.col(seq) == F.col("_close"), F.lit(False)), F.lit("terminal without open start")
     )
-    return judged.withColumn("rule", rule).where(F.col("rule").isNotNull()).select(*part, seq, "rule")
+    found = judged.withColumn("rule", rule).where(F.col("rule").isNotNull()).select(*part, seq, "rule")
+    nameless = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in part])
+    return found.unionByName(marked.where(F.col("_t") & nameless).select(*part, seq, F.lit("terminal without open start").alias("rule")))
 
 
 def pair_events(

@@ -23,10 +23,12 @@ def longest_suffix(names: DataFrame, zones: DataFrame, name: str = "name", zone:
 
 def longest_suffix_within(names: DataFrame, zones: DataFrame, scope: list[str], name: str = "name", zone: str = "zone") -> DataFrame:
     """J6 where only zones with the same ``scope`` columns count; keeps all columns of ``names``."""
-    exploded = names.withColumn("_suffix", F.explode(suffixes(F.col(name))))
+    counted = names.groupBy(*names.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    exploded = counted.withColumn("_suffix", F.explode(suffixes(F.col(name))))
     known = zones.select(*scope, F.col(zone).alias("_suffix")).distinct().withColumn("_zone", F.col("_suffix"))
     matched = attach(exploded, known, [*scope, "_suffix"], "left")
-    return matched.groupBy(*names.columns).agg(F.max_by("_zone", F.length("_zone")).alias(zone))
+    best = matched.groupBy(*names.columns, "_rows").agg(F.max_by("_zone", F.length("_zone")).alias(zone))
+    return best.withColumn("_rows", F.explode(F.sequence(F.lit(1).cast("bigint"), "_rows"))).drop("_rows")
 
 
 def trim_dots(col: Column) -> Column:

@@ -62,10 +62,15 @@ def attested(artifacts: DataFrame, bundles: DataFrame, publisher: dict[str, str]
     return artifacts.join(proven, ["filename", "sha256"], "left_semi")
 
 
+# Fixed value: shape of a commit id.
+COMMIT_ID = r"^[0-9a-f]{40}\z"
+
+
 def resolve_pointer(refs: DataFrame, objects: DataFrame, name: str = "name") -> DataFrame:
     """Commit behind each reference; a tag is followed exactly once.
 
-    ``refs`` has (name, type, target), ``objects`` has (id, type, target) with a unique id.
+    ``refs`` has (name, type, target), ``objects`` has (id, type, target) with a unique id.  What is
+    not a full commit id is an error.
     """
     tags = objects.select(F.col("id").alias("target"), F.col("type").alias("_type2"), F.col("target").alias("_target2"))
     joined = attach(refs, tags, ["target"], "left")
@@ -76,7 +81,8 @@ def resolve_pointer(refs: DataFrame, objects: DataFrame, name: str = "name") ->
         .when(is_tag & (F.col("_type2") != "commit"), F.lit("annotated tag does not resolve to a commit"))
         .when(F.coalesce(~F.col("type").isin("tag", "commit"), F.lit(True)), F.lit("does not resolve to a commit"))
     )
-    return joined.select(name, commit.alias("commit"), error.alias("error"))
+    error = F.coalesce(error, F.when(~F.coalesce(commit.rlike(COMMIT_ID), F.lit(False)), F.lit("commit is not 40 hex digits")))
+    return joined.select(name, F.when(error.isNull(), commit).alias("commit"), error.alias("error"))
 
 
 def rollbacks(df: DataFrame, current: str, selected: str) -> DataFrame:

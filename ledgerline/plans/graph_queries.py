@@ -24,25 +24,17 @@ def missing_refs(t):
 
 
 LINKS = """
-links AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey
-  JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount >= 0.1 AND l_quantity >= 46)"""
+links AS (SELECT DISTINCT l_suppkey AS src, CAST(l_partkey % 120 AS BIGINT) AS dst FROM lineitem)"""
 
 
 def links(t):
-    """Customer nation to supplier nation of large discounted lines."""
-    lines = t.lineitem.where("l_discount >= 0.1 AND l_quantity >= 46").select("l_orderkey", "l_suppkey")
-    return (
-        lines.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
-        .join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
-        .join(t.customer.select("c_custkey", F.col("c_nationkey").alias("src")), "c_custkey")
-        .select("src", "dst")
-        .distinct()
-    )
-
-
-@query("conflict_pairs", f"WITH {LINKS}, s AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)) SELECT src, dst FROM links WHERE src IN (SELECT * FROM s) AND dst IN (SELECT * FROM s)")
+    """Every line's supplier names the number that its part has within a hundred and twenty."""
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 120).cast("bigint").alias("dst"))
+
+
+@query("conflict_pairs", f"WITH {LINKS}, s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) SELECT src, dst FROM links WHERE src IN (SELECT * FROM s) AND dst IN (SELECT * FROM s)")
 def conflict_pairs(t):
-    selected = t.nation.where("n_regionkey IN (1, 3)").select(F.col("n_nationkey").alias("node"))
+    selected = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("node"))
     return G.conflict_pairs(links(t), selected)
 
 
@@ -74,14 +66,14 @@ def cycles(t):
     "cycles_users",
     """
 WITH RECURSIVE edges AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1
-  WHERE a.event_type = 'error' AND b.event_type = 'purchase' AND a.value < 20),
+  WHERE a.event_type = 'error' AND b.event_type = 'purchase'),
 reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
 mutual AS (SELECT a.src AS node, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src)
 SELECT node, max(other) AS component FROM mutual GROUP BY node""",
 )
 def cycles_users(t):
     """Users whose errors are followed by purchases of others, in a circle."""
-    bad = t.events.where("event_type = 'error' AND value < 20").select((F.col("event_id") + 1).alias("event_id"), F.col("user_id").alias("src"))
+    bad = t.events.where("event_type = 'error'").select((F.col("event_id") + 1).alias("event_id"), F.col("user_id").alias("src"))
     good = t.events.where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("dst"))
     return G.find_cycles(bad.join(good, "event_id").select("src", "dst"))
 

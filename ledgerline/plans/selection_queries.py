@@ -88,8 +88,9 @@ def stateful_targets(t):
 EVIDENCE_NOW = "2024-01-31 00:00:00"
 
 
-def backups(t):
-    return t.events.select(
+def backups(t, kept="true"):
+    """A backup per event; ``kept`` tells which events."""
+    return t.events.where(kept).select(
         F.col("user_id").alias("service"), F.col("ts").alias("mtime"), F.concat(F.lit("state-"), "event_id").alias("name"),
         F.when(F.col("value") < 2, F.lit(None)).otherwise(F.sha2("props", 256)).alias("expected_sha256"),
         F.when(F.col("event_type") == "click", F.sha2(F.lit("other"), 256)).otherwise(F.sha2("props", 256)).alias("sha256"),
@@ -115,36 +116,67 @@ def latest_evidence(t):
     return C.latest_evidence(backups(t), "service", "mtime", "name", now, F.col("excluded"))
 
 
+GATE_SERVICES = f"""{OWNED},
+gb AS (SELECT n_name AS service, n_nationkey AS nk, ts, 'state-' || event_id AS name, value, event_type, sha256(props) AS digest
+  FROM events JOIN nation ON n_nationkey = user_id % 25 WHERE n_nationkey % 5 <> 3),
+svc AS (SELECT DISTINCT service FROM owned),
+named AS (SELECT service FROM gb UNION SELECT service FROM svc),
+usable AS (SELECT * FROM gb WHERE event_type <> 'error' AND nk <> 6)"""
+
+
+def gate_sql(name, rows):
+    """SQL of the evidence of every service, from some of the backups."""
+    return f"""
+{name} AS (SELECT service, n.name, CASE WHEN event_type = 'click' THEN sha256('other') ELSE digest END AS sha,
+  CASE WHEN n.name IS NULL THEN 'backup archive is missing' WHEN value < 2 THEN 'backup checksum is missing' WHEN event_type = 'click' THEN 'backup checksum does not match'
+       WHEN event_type = 'view' THEN 'backup manifest target or kind is invalid'
+       WHEN TIMESTAMP '{EVIDENCE_NOW}' - ts > INTERVAL 24 HOURS THEN 'backup is older than 24 hours' END AS error
+  FROM named LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC, name DESC) AS rn FROM usable {rows}) n USING (service) WHERE rn IS NULL OR rn = 1)"""
+
+
+def gate_evidence(t, services, kept="true"):
+    """Evidence of the named services and of every nation that backs up; some have only excluded archives, some none at all."""
+    owner = t.nation.where("n_nationkey % 5 <> 3").select(F.col("n_nationkey").alias("_key"), F.col("n_name").alias("_name"))
+    every = backups(t).select((F.col("service") % 25).alias("_key")).distinct().join(owner, "_key").select(F.col("_name").alias("service"))
+    rows = backups(t, kept).withColumn("_key", F.col("service") % 25).join(owner, "_key").withColumn("service", F.col("_name"))
+    rows = rows.withColumn("excluded", F.col("excluded") | (F.col("_key") == 6))
+    rows = rows.withColumn("manifest_target", F.when(F.col("manifest_target") == "wrong", F.lit("wrong")).otherwise(F.col("service")))
+    now = F.lit(EVIDENCE_NOW).cast("timestamp_ntz")
+    known = services.unionByName(every).distinct()
+    return C.latest_evidence(rows, "service", "mtime", "name", now, F.col("excluded"), services=known)
+
+
 @query(
     "change_gate",
     f"""
-WITH {OWNED},
-bad AS (SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'error')
-   WHERE rn = 1 AND (value < 2 OR event_type IN ('click', 'view') OR TIMESTAMP '{EVIDENCE_NOW}' - ts > INTERVAL 24 HOURS)),
-counts AS (SELECT 1 AS rule_no, 'inputs changed' AS reason,
-     (SELECT count(*) FROM customer WHERE c_acctbal <= 0) AS offending
-  UNION ALL SELECT 2, 'destructive changes', (SELECT count(*) FROM kinds WHERE destructive)
-  UNION ALL SELECT 3, 'several stateful targets', (SELECT CASE WHEN count(DISTINCT module) > 1 THEN count(DISTINCT module) ELSE 0 END FROM owned)
-  UNION ALL SELECT 4, 'backup evidence is invalid', (SELECT count(*) FROM bad))
+WITH {GATE_SERVICES},{gate_sql("now_all", "")},{gate_sql("before_all", "WHERE event_type <> 'signup'")},
+before AS (SELECT * FROM before_all WHERE NOT ends_with(service, '1')),
+kept AS (SELECT * FROM before SEMI JOIN svc USING (service)),
+counts AS (
+  SELECT 1 AS rule_no, 'plan is expired' AS reason, (SELECT CASE WHEN (SELECT max(l_shipdate) FROM lineitem) > (SELECT max(o_orderdate) FROM orders) THEN 1 ELSE 0 END) AS offending
+  UNION ALL SELECT 2, 'plan changed', 0
+  UNION ALL SELECT 3, 'plan inputs changed', (SELECT count(*) FROM customer WHERE c_acctbal <= 0)
+  UNION ALL SELECT 4, 'commit changed', 1
+  UNION ALL SELECT 5, 'plan is destructive', (SELECT count(*) FROM kinds WHERE destructive)
+  UNION ALL SELECT 6, 'plan changes several stateful targets', (SELECT CASE WHEN count(DISTINCT module) > 1 THEN count(DISTINCT module) ELSE 0 END FROM owned)
+  UNION ALL SELECT 7, 'backup evidence does not cover the services', (SELECT count(*) FROM svc FULL JOIN before ON svc.service = before.service WHERE svc.service IS NULL OR before.service IS NULL)
+  UNION ALL SELECT 8, 'no current verified backup', (SELECT count(*) FROM kept WHERE error IS NOT NULL)
+  UNION ALL SELECT 9, 'backup evidence changed', (SELECT count(*) FROM kept k FULL JOIN (SELECT * FROM now_all SEMI JOIN svc USING (service)) n ON k.service = n.service
+     WHERE k.service IS NULL OR n.service IS NULL OR (k.name, k.sha, k.error) IS DISTINCT FROM (n.name, n.sha, n.error)))
 SELECT rule_no, reason, offending = 0 AS passed, offending FROM counts""",
 )
 def change_gate(t):
-    """Inputs, destructive changes, batch rule and backup evidence, as one table of rules."""
-    from ledgerline.operators.integrity import fingerprint_diff
-
-    prints = t.customer.select("c_custkey", F.sha2("c_name", 256).alias("digest"))
-    later = t.customer.where("c_acctbal > 0").select("c_custkey", F.sha2("c_name", 256).alias("digest"))
-    targets = owned(t).select("module").distinct()
-    several = targets.where(targets.agg(F.count(F.lit(1))).scalar() > 1)
-    now = F.lit(EVIDENCE_NOW).cast("timestamp_ntz")
-    evidence = C.latest_evidence(backups(t), "service", "mtime", "name", now, F.col("excluded"))
-    rules = [
-        (1, "inputs changed", fingerprint_diff(prints, later, "c_custkey", "digest")),
-        (2, "destructive changes", plan(t).where(C.is_destructive(F.col("actions")))),
-        (3, "several stateful targets", several),
-        (4, "backup evidence is invalid", evidence.where("error IS NOT NULL AND error <> 'backup archive is missing'")),
-    ]
-    return C.gate_results(rules)
+    """All nine rules over a saved plan; missing archives and services without any backup count."""
+    prints = t.customer.select(F.col("c_custkey").cast("string").alias("path"), F.sha2("c_name", 256).alias("sha256"))
+    later = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("path"), F.sha2("c_name", 256).alias("sha256"))
+    state = lambda day, commit: [day.alias("day"), F.sha2(F.count(F.lit(1)).cast("string"), 256).alias("plan_sha256"), F.md5(F.lit(commit)).alias("git_commit")]
+    saved = t.orders.agg(*state(F.max("o_orderdate").cast("timestamp"), "before")).withColumnRenamed("day", "expires_at")
+    shipped = t.lineitem.agg(F.max("l_shipdate").cast("timestamp").alias("now"))
+    current = t.orders.agg(*state(F.max("o_orderdate"), "after")).drop("day").join(F.broadcast(shipped))
+    risky = owned(t)
+    services = risky.select("service").distinct()
+    before = gate_evidence(t, services, "event_type <> 'signup'").where(~F.col("service").endswith("1"))
+    return C.change_gate(saved, current, prints, later, plan(t), risky, before, gate_evidence(t, services))
 
 
 RELEASE_NOW = "2001-08-01 00:00:00"
@@ -306,17 +338,18 @@ def attested(t):
 @query(
     "resolve_pointer",
     """
-SELECT o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'c' || o_custkey WHEN o_orderstatus = 'P' AND c_acctbal > 0 THEN 'n' || c_nationkey END AS "commit",
+SELECT o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN sha256('c' || o_custkey)[:40] WHEN o_orderstatus = 'P' AND c_acctbal > 0 AND c_nationkey % 5 > 0 THEN sha256('n' || c_nationkey)[:40] END AS "commit",
   CASE WHEN o_orderstatus = 'P' AND c_custkey IS NULL THEN 'tag object is missing' WHEN o_orderstatus = 'P' AND c_acctbal <= 0 THEN 'annotated tag does not resolve to a commit'
-       WHEN o_orderstatus = 'O' THEN 'does not resolve to a commit' END AS error
+       WHEN o_orderstatus = 'P' AND c_nationkey % 5 = 0 THEN 'commit is not 40 hex digits' WHEN o_orderstatus = 'O' THEN 'does not resolve to a commit' END AS error
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'""",
 )
 def resolve_pointer(t):
-    """Orders point at customers: finished ones directly, pending ones through a tag."""
+    """Orders point at customers: finished ones directly, pending ones through a tag; some tags name no full commit id."""
+    name = lambda letter, key: F.left(F.sha2(F.concat(F.lit(letter), key), 256), F.lit(40))
     kind = F.when(F.col("o_orderstatus") == "F", "commit").when(F.col("o_orderstatus") == "P", "tag").otherwise("tree")
-    refs = t.orders.select(F.col("o_orderkey").alias("name"), kind.alias("type"), F.concat(F.lit("c"), "o_custkey").alias("target"))
+    refs = t.orders.select(F.col("o_orderkey").alias("name"), kind.alias("type"), name("c", "o_custkey").alias("target"))
     objects = t.customer.where("c_mktsegment <> 'BUILDING'").select(
-        F.concat(F.lit("c"), "c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "commit").otherwise("tag").alias("type"),
-        F.concat(F.lit("n"), "c_nationkey").alias("target"),
+        name("c", "c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "commit").otherwise("tag").alias("type"),
+        F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("n"), "c_nationkey")).otherwise(name("n", "c_nationkey")).alias("target"),
     )
     return L.resolve_pointer(refs, objects)

@@ -1,11 +1,15 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
 ``attach`` is the work horse: a fact side, whose keys may be very uneven, gets the
-columns of a side that has one row per key.  Hot keys come from a map-side-combined
-count.  A hot key holds more than 1/HOT_KEYS of all rows, so there are fewer than
-HOT_KEYS of them whatever the data size, and that list is what is broadcast.  Rows of a
-hot key are spread over one reducer per ROWS_PER_COPY rows, and its lookup row is copied
-to each: the copies grow with the data, a reducer's share does not.
+columns of a side that has one row per key.  By default that is a plain join, whose hot
+partitions adaptive execution splits; it reads either side once.  Adaptive execution does
+not split a join whose output is grouped by the same key.  There a caller passes the hot keys:
+rows of a hot key are spread over one reducer per ROWS_PER_COPY rows, and its lookup row is copied
+to each, so the copies grow with the data and a reducer's share does not.
+
+Hot keys come from one map-side-combined count.  A hot key holds more than 1/HOT_KEYS of all
+rows, so there are fewer than HOT_KEYS of them whatever the data size, and that list is
+what is broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ ROWS_PER_COPY = 500_000
 def hot_keys(rows: DataFrame, keys: list[str], rows_per_copy: int = ROWS_PER_COPY) -> DataFrame:
     """Keys with more than 1/HOT_KEYS of all rows and more than one copy's worth, with their ``_copies``."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("_rows")).scalar()
     hot = counts.where((F.col("_rows") > rows_per_copy) & (F.col("_rows") * HOT_KEYS > total))
     return hot.select(*keys, F.ceil(F.col("_rows") / rows_per_copy).cast("int").alias("_copies"))
 
@@ -37,17 +41,18 @@ def attach(
     lookup: DataFrame,
     keys: list[str],
     how: str = "left",
-    rows_per_copy: int = ROWS_PER_COPY,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` (uneven keys allowed) to ``lookup`` (one row per key).
 
-    ``how`` is inner, left, left_semi or left_anti.  The salt depends on nothing random,
+    ``how`` is inner, left, left_semi or left_anti.  With ``hot`` (see ``hot_keys``, best of
+    the base table) the join is salted.  The salt depends on nothing random,
     so a retried task sends its rows where the first try did.  Rows with a null key match
-    nothing and are spread too.  A caller that attaches twice on the same keys passes the
-    ``hot_keys`` it already has.
+    nothing and are spread too.
     """
-    found = F.broadcast(hot_keys(rows, keys, rows_per_copy) if hot is None else hot)
+    if hot is None:
+        return rows.join(lookup, keys, how)
+    found = F.broadcast(hot)
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()

@@ -28,7 +28,7 @@ def test_attach_equals_plain_join_with_hot_and_null_keys(spark, rows, how):
     facts = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int").repartition(7)
     lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 300, 2)], "k int, v string")
     assert rows(hot_keys(facts, ["k"], 100).where("k = 0")) == [(0, 4)]
-    assert rows(attach(facts, lookup, ["k"], how, rows_per_copy=5)) == rows(facts.join(lookup, "k", how))
+    assert rows(attach(facts, lookup, ["k"], how, hot=hot_keys(facts, ["k"], 5))) == rows(facts.join(lookup, "k", how))
 
 
 def test_hot_keys_are_bounded_by_their_share(spark):
@@ -183,12 +183,17 @@ def test_attestation_requires_publisher_name_and_digest(spark, rows):
     assert rows(L.attested(artifacts, bundles, {"kind": "ci", "repository": "org/app"})) == [("x.whl", "d1")]
 
 
+C1, C2 = "a1" * 20, "b2" * 20
+
+
 def test_pointer_follows_one_hop(spark, rows):
-    refs = spark.createDataFrame([("a", "commit", "c1"), ("b", "tag", "t1"), ("c", "tag", "t2"), ("d", "tree", "x"), ("e", "tag", "t9")], "name string, type string, target string")
-    objects = spark.createDataFrame([("t1", "commit", "c2"), ("t2", "tag", "t1")], "id string, type string, target string")
+    refs = [("a", "commit", C1), ("b", "tag", "t1"), ("c", "tag", "t2"), ("d", "tree", "x"), ("e", "tag", "t9"), ("f", "commit", C1.upper()), ("g", "commit", C1[:39]), ("h", "commit", None)]
+    refs = spark.createDataFrame(refs, "name string, type string, target string")
+    objects = spark.createDataFrame([("t1", "commit", C2), ("t2", "tag", "t1")], "id string, type string, target string")
     assert rows(L.resolve_pointer(refs, objects)) == [
-        ("a", "c1", None), ("b", "c2", None), ("c", None, "annotated tag does not resolve to a commit"),
+        ("a", C1, None), ("b", C2, None), ("c", None, "annotated tag does not resolve to a commit"),
         ("d", None, "does not resolve to a commit"), ("e", None, "tag object is missing"),
+        *[(name, None, "commit is not 40 hex digits") for name in "fgh"],
     ]
 
 
