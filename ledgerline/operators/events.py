@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import age_text, decode_status, duration_text, to_utc
+from ledgerline.session import durable
 from ledgerline.skew import attach
 from ledgerline.violations import failed_rules
 
@@ -113,6 +114,42 @@ def check_event_ids(events: DataFrame) -> DataFrame:
     return events.where(~F.col("event_id").eqNullSafe(derived)).select("episode_id", "sequence", "event_id")
 
 
+def check_journal(events: DataFrame) -> DataFrame:
+    """F8, W2, W6 for a whole journal: (episode_id, sequence, rule) of every broken rule.
+
+    Numbers run from 1 without gap or repeat, the first event opens the episode, ids follow from the numbers, a command
+    starts once and ends once after that, and all rules on single events and on start and end hold.
+    """
+    command = F.col("command_id").isNotNull()
+    found = [
+        check_sequence(events, ["episode_id"], "sequence", ("event_type", "episode_started")),
+        check_event_ids(events).select("episode_id", "sequence", F.lit("event id does not follow from the number").alias("rule")),
+        check_lifecycle(
+            events.where(command), ["episode_id", "command_id"], "sequence", F.col("event_type") == "command_started", F.col("event_type").isin(TERMINAL_TYPES)
+        ).select("episode_id", "sequence", "rule"),
+        check_events(events),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def assign_sequence(events: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """ST4: every event with its ``sequence`` in its part, from 1, and the ``event_id`` that follows from it.
+
+    Events are sorted over all partitions, so a part that holds most events lies in many of them.  A
+    number is the place within the partition after the part's events in the partitions before.
+    """
+    placed = durable(
+        events.repartitionByRange(part, *order).sortWithinPartitions(part, *order).withColumns({"_pid": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    )
+    pieces = placed.groupBy(part, "_pid").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(part).orderBy("_pid")) - F.col("_n")
+    starts = pieces.withColumn("_before", before).select(part, "_pid", "_first", "_before")
+    numbered = placed.join(starts, [part, "_pid"]).withColumn("sequence", F.col("_before") + F.col("_place") - F.col("_first") + 1)
+    digits = F.col("sequence").cast("string")
+    text = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+    return numbered.withColumn("event_id", F.concat(F.col(part).cast("string"), F.lit("-"), text)).drop("_pid", "_place", "_first", "_before")
+
+
 def check_lifecycle(events: DataFrame, part: list[str], seq: str, is_start: Column, is_terminal: Column) -> DataFrame:
     """A command may start once; a terminal needs its start open.
 

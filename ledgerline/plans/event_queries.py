@@ -187,6 +187,41 @@ def journal_check(t):
     return E.check_events(journal(t))
 
 
+@query(
+    "journal_full_check",
+    """
+WITH numbered AS (SELECT *, strftime(ts, '%Y%m%d') || '-' || user_id AS episode, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events),
+j AS (SELECT episode, n, event_type, value, event_id // 40 AS cmd, CASE WHEN value > 60 THEN 'deploy' ELSE 'update' END AS recipe,
+   event_type IN ('click', 'error', 'purchase') AS ends FROM numbered WHERE NOT (value >= 30 AND value < 33)),
+c AS (SELECT *, min(n) FILTER (WHERE event_type = 'view') OVER (PARTITION BY episode, cmd) AS opened FROM j WHERE event_type <> 'signup'),
+d AS (SELECT *, min(n) FILTER (WHERE ends AND n > opened) OVER (PARTITION BY episode, cmd) AS closed FROM c),
+s AS (SELECT episode, cmd, arg_min(recipe, n) AS started FROM j WHERE event_type = 'view' GROUP BY ALL)
+SELECT episode AS episode_id, n AS sequence, 'gap before' AS rule FROM j WHERE n <> 1 AND (episode, n - 1) NOT IN (SELECT episode, n FROM j)
+UNION ALL SELECT episode, n, 'first event type' FROM j WHERE n = 1 AND event_type <> 'signup'
+UNION ALL SELECT episode, n, 'event id does not follow from the number' FROM j WHERE value >= 35 AND value < 38
+UNION ALL SELECT episode, n, CASE WHEN event_type = 'view' THEN 'command id is reused' ELSE 'terminal without open start' END FROM d
+  WHERE (event_type = 'view' AND n > opened) OR (ends AND n IS DISTINCT FROM closed)
+UNION ALL SELECT episode, n, rule FROM j, (VALUES ('command has recipe'), ('evidence paths are relative'), ('episode_started'), ('exit code agrees with status'),
+         ('interrupt signal'), ('failure code'), ('command_started')) r(rule)
+WHERE (rule = 'command has recipe' AND event_type <> 'signup' AND value > 60)
+   OR (rule = 'evidence paths are relative' AND value > 50)
+   OR (rule = 'episode_started' AND event_type = 'signup')
+   OR (rule = 'command_started' AND event_type = 'view' AND value > 60)
+   OR (rule = 'exit code agrees with status' AND event_type = 'click' AND value >= 9 AND value < 10)
+   OR (rule = 'interrupt signal' AND event_type = 'error' AND value <= 2)
+   OR (rule = 'failure code' AND ends AND value > 40 AND NOT (event_type = 'click' AND value < 10))
+UNION ALL SELECT j.episode, j.n, 'terminal agrees with start' FROM j LEFT JOIN s ON s.episode = j.episode AND s.cmd = j.cmd WHERE j.ends AND s.started IS DISTINCT FROM j.recipe""",
+)
+def journal_full_check(t):
+    """Events numbered by episode, then some lost and some ids spoilt: sequence, ids, life cycle and all rules at once."""
+    values = t.events.select(F.col("event_id").alias("_order"), F.col("value").alias("_value"))
+    made = journal(t).withColumnRenamed("sequence", "_order").drop("event_id").join(values, "_order")
+    numbered = E.assign_sequence(made, "episode_id", ["_order"]).drop("_order")
+    kept = numbered.where(~((F.col("_value") >= 30) & (F.col("_value") < 33)))
+    spoilt = F.when((F.col("_value") >= 35) & (F.col("_value") < 38), F.lit("x")).otherwise(F.col("event_id"))
+    return E.check_journal(kept.withColumn("event_id", spoilt).drop("_value"))
+
+
 DAY_COMMANDS = """
 cmds AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id AS seq, CAST(event_id AS VARCHAR) AS event_id,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'incomplete' ELSE 'passed' END AS status,

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import events as E
 from ledgerline.plans.registry import query
 from ledgerline.plans.text_queries import redact_sql
 from ledgerline.session import scratch_path
 from ledgerline.streaming import logs as L
 
 
-def event_stream(t, df, name):
-    """The rows as a stream of Parquet files."""
+def event_stream(t, df, name, files=None):
+    """The rows as a stream of Parquet files, some at each trigger."""
     path = scratch_path(t.spark, name)
     df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    reader = t.spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def finish(t, stream, name):
@@ -36,20 +38,46 @@ def stream_redact(t):
     return finish(t, L.stream_redact(stream, "text"), "redacted")
 
 
-@query("stream_dedupe", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+@query(
+    "stream_dedupe",
+    """
+SELECT strftime(ts, '%Y%m%d') || '-' || user_id AS episode_id, row_number() OVER same AS sequence,
+  strftime(ts, '%Y%m%d') || '-' || user_id || '-' || lpad(CAST(row_number() OVER same AS VARCHAR), 6, '0') AS event_id, event_id AS delivery, event_type
+FROM events WINDOW same AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id)""",
+)
 def stream_dedupe(t):
-    """Every (order, line) pair passes once, however often it is delivered."""
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("2001-01-01 00:00:00").cast("timestamp").alias("seen"))
-    stream = event_stream(t, rows, "dedupe")
-    return finish(t, L.stream_dedupe(stream, ["l_orderkey", "l_linenumber"], "seen"), "deduped").drop("seen")
+    """Every event is delivered again with the last hour's events, most of them days late; each is appended once and numbered."""
+    episode = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), "user_id")
+    rows = t.events.select(F.col("event_id").alias("delivery"), episode.alias("episode_id"), "event_type")
+    stream = event_stream(t, rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).orderBy("copy", "delivery"), "dedupe", files=4)
+    appended = finish(t, L.stream_dedupe(stream, ["delivery"]), "deduped").drop("copy")
+    return E.assign_sequence(appended, "episode_id", ["delivery"])
+
 
+CHANGE_CUT = "2024-01-04 00:00:00"
 
-@query("stream_changes", "SELECT user_id AS key, arg_max(event_type, (ts, event_type)) AS state, CASE WHEN arg_max(event_type, (ts, event_type)) IN ('error', 'purchase') THEN 'terminal' ELSE 'change' END AS outcome FROM events GROUP BY user_id")
+
+@query(
+    "stream_changes",
+    f"""
+WITH b AS (SELECT user_id AS key, ts >= TIMESTAMP '{CHANGE_CUT}' AS late, arg_max(event_type, (ts, event_type)) AS state, max(ts) AS ts FROM events GROUP BY ALL),
+one AS (SELECT *, state IN ('error', 'purchase') AS done FROM b WHERE NOT late),
+two AS (SELECT b.*, coalesce(one.done, false) AS was_done, one.state AS before FROM b LEFT JOIN one USING (key) WHERE b.late),
+last AS (SELECT key, coalesce(two.state, one.state) AS state, greatest(coalesce(two.ts, one.ts), coalesce(one.ts, two.ts)) AS ts,
+   coalesce(one.done, false) OR coalesce(two.state IN ('error', 'purchase'), false) AS done FROM one FULL JOIN two USING (key))
+SELECT key, state, CASE WHEN done THEN 'terminal' ELSE 'change' END AS outcome FROM one
+UNION ALL SELECT key, state, CASE WHEN state IN ('error', 'purchase') THEN 'terminal' ELSE 'change' END FROM two WHERE NOT was_done AND state IS DISTINCT FROM before
+UNION ALL SELECT key, state, 'timeout' FROM last WHERE NOT done AND ts + INTERVAL 2 HOURS <= (SELECT max(ts) FROM events)""",
+)
 def stream_changes(t):
-    """One trigger over all files reports the newest state of every user."""
+    """Two triggers, before and after a cut; users without news for two hours time out."""
     rows = t.events.select("user_id", utc("ts").alias("ts"), "event_type")
-    stream = event_stream(t, rows, "changes")
-    reported = L.stream_changes(stream, "user_id", "ts", "event_type", ["error", "purchase"], timeout_ms=365 * 86400 * 1000)
+    early = F.col("ts") < F.lit(CHANGE_CUT).cast("timestamp")
+    path = scratch_path(t.spark, "changes")
+    for part in (rows.where(early), rows.where(~early)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    reported = L.stream_changes(stream, "user_id", "ts", "event_type", ["error", "purchase"], timeout_ms=2 * 3600 * 1000)
     return finish(t, reported, "changed").select("key", "state", "outcome")
 
 
@@ -60,19 +88,19 @@ e AS (SELECT event_id - 1 AS command, ts, event_type FROM events WHERE event_typ
 
 @query(
     "stream_pairs",
-    f"""WITH {PAIR_ROWS}, last AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM e)) AS mark)
+    f"""WITH {PAIR_ROWS}
 SELECT s.command, CASE WHEN e.command IS NULL THEN 'incomplete' WHEN e.event_type = 'error' THEN 'failed' ELSE 'passed' END AS status
-FROM s LEFT JOIN e ON e.command = s.command AND e.ts <= s.ts + INTERVAL 10 MINUTES
-WHERE e.command IS NOT NULL OR s.ts + INTERVAL 10 MINUTES < (SELECT mark FROM last)""",
+FROM s LEFT JOIN e ON e.command = s.command AND e.ts <= s.ts + INTERVAL 10 MINUTES""",
 )
 def stream_pairs(t):
-    """A view starts a command; the next event ends it if it is a click or an error within ten minutes."""
+    """A view starts a command; the next event ends it if it is a click or an error within ten minutes.  Then the log ends."""
     kind = F.col("event_type")
     command = F.when(kind == "view", F.col("event_id")).otherwise(F.col("event_id") - 1)
     status = F.when(kind == "error", "failed").otherwise("passed")
     rows = t.events.select(command.alias("command"), utc("ts").alias("ts"), "event_type", status.alias("status"))
     stream = event_stream(t, rows, "pairs")
     paired = L.stream_pairs(stream, "command", "ts", kind == "view", kind.isin("click", "error"), "status", "10 MINUTES")
-    return finish(t, paired, "paired").select("command", "status")
+    starts = rows.where(kind == "view")
+    return L.end_of_log(starts, finish(t, paired, "paired"), "command", "ts").select("command", "status")
 
 

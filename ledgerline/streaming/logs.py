@@ -29,6 +29,13 @@ def stream_pairs(events: DataFrame, command: str, ts: str, is_start: Column, is_
     )
 
 
+def end_of_log(starts: DataFrame, paired: DataFrame, command: str, ts: str) -> DataFrame:
+    """ST1 once a log has ended: what ``stream_pairs`` gave, and every start that it still holds open as incomplete."""
+    left = starts.select(command, F.col(ts).alias("started_at")).join(paired.select(command), command, "left_anti")
+    missing = left.withColumns({"completed_at": F.lit(None).cast("timestamp"), "status": F.lit("incomplete")})
+    return paired.unionByName(missing.select(*paired.columns))
+
+
 def stream_changes(events: DataFrame, key: str, ts: str, state: str, terminal: list[str], timeout_ms: int, delay: str = "0 seconds") -> DataFrame:
     """ST2: each trigger reports the newest state of a key if its text differs from the last one reported.
 
@@ -81,12 +88,15 @@ def stream_redact(lines: DataFrame, col: str) -> DataFrame:
     return lines.withColumn(col, redact(F.col(col)))
 
 
-def stream_dedupe(events: DataFrame, ids: list[str], ts: str, delay: str = "1 hour", salts: int = 16) -> DataFrame:
-    """ST4: each id passes once; state is dropped when the watermark passes.
+def stream_dedupe(events: DataFrame, ids: list[str], ts: str | None = None, delay: str = "1 hour", salts: int = 16) -> DataFrame:
+    """ST4: each id passes once, for ever; with a time column only until the watermark has passed it by ``delay``.
 
     The first stage removes copies per (id, salt), which spreads an id that is delivered
     very often; the second one, which sees at most ``salts`` copies, decides.
     """
+    if ts is None:
+        spread = events.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        return spread.dropDuplicates([*ids, "_salt"]).drop("_salt").dropDuplicates(ids)
     salted = events.withWatermark(ts, delay).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     return salted.dropDuplicatesWithinWatermark([*ids, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(ids)
 
