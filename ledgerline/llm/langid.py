@@ -25,7 +25,7 @@ SEQUENCES = 1_200
 STEPS = 60
 LEAST_COUNT = 3
 #: Words that a worker remembers before it begins anew, words in a block, and blocks that are worked on at a time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 BLOCK = 128
 BLOCKS = 4_096
 UNDETERMINED = "und"
@@ -313,11 +313,24 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data = packed.value
         labeller = once(("langid", zlib.crc32(data)), lambda: Labeller(pickle.loads(zlib.decompress(data))))
-        done = list(labeller.label(batch.column(1).to_pylist()))
+        done = list(labeller.label([text or "" for text in batch.column(batch.num_columns - 1).to_pylist()]))
         runs = [[{"lang": a, "words": b} for a, b in zip(x[2], x[3], strict=True)] for x in done]
         kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
         columns = [batch.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.float64()), pa.array(runs, kind)]
         return pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "score", "runs"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_batches(rows, work, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, runs array<struct<lang:string,words:bigint>>")
+    # a text that is carried goes to the worker and back once, in front as a part of its row
+    own = [name for name in carry if name != text_col]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{name}`") for name in own]).alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    found = "lang_pred string, score double, runs array<struct<lang:string,words:bigint>>"
+    if text_col not in carry:
+        return map_batches(rows, work, f"row {kind}, {found}").withColumn("row", F.struct(*[F.col(f"row.`{name}`") for name in carry]))
+
+    def work_on_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = work(batch)
+        return pa.RecordBatch.from_arrays([*made.columns, batch.column(1)], names=[*made.schema.names, "text"])
+
+    made = map_batches(rows, work_on_text, f"row {kind}, {found}, text string")
+    row = F.struct(*[(F.col("text") if name == text_col else F.col(f"row.`{name}`")).alias(name) for name in carry])
+    return made.select(row.alias("row"), "lang_pred", "score", "runs")

@@ -79,7 +79,7 @@ PORTION = 4 << 20
 
 def portions(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose last column, a text, has about ``most`` bytes each."""
-    sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
     start = held = 0
     for at, size in enumerate(sizes):
         if held and held + size > most:
@@ -90,7 +90,7 @@ def portions(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBa
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work`` on portions of every Arrow batch, whose last column is a text that is not null."""
+    """``work`` on portions of every Arrow batch, whose last column is a text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
