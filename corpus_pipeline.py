@@ -22,10 +22,17 @@ LEAST_LANGUAGE_SCORE = 0.4
 SHINGLE_WORDS, RADIUS = 3, 3
 MIX_WEIGHTS, MIX_SEED = [5, 2, 1], 42
 VOCABULARY = "byte_bpe_50k.json"
+ROWS_PER_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole rows go through Python workers here, so fewer of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the field learns from two thirds of those that name one."""
+    small_batches(spark)
     learn = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1, F.lit(True))
     found = langid.identify(docs, learn, carry=docs.columns)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
@@ -48,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document taken, packed as little-endian 32-bit integers, and the digest of the text they decode to."""
+    small_batches(spark)
     done = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
     return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
