@@ -78,6 +78,18 @@ def cycles_users(t):
     return G.find_cycles(bad.join(good, "event_id").select("src", "dst"))
 
 
+@query(
+    "cycles_chain",
+    """
+SELECT p_partkey AS node, p_partkey // 97 * 97 + 96 AS component FROM part WHERE p_partkey // 97 * 97 + 96 IN (SELECT p_partkey FROM part)""",
+)
+def cycles_chain(t):
+    """Long chains: every part needs the next one, and each ninety-seventh the one that many before; the last chain stays open."""
+    key = F.col("p_partkey")
+    needs = F.when(key % 97 == 96, key - 96).otherwise(key + 1)
+    return G.find_cycles(t.part.select(key.alias("src"), needs.alias("dst")))
+
+
 def service_graph(t):
     """Suppliers as services: each needs the one with an eighth of its key; pairs share a resource."""
     key = F.col("s_suppkey")

@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "ledgerline", master: str | None = None, conf: dict | None = None) -> SparkSession:
-    """UTC session with ANSI mode and adaptive execution on; ``conf`` wins over the defaults."""
+    """UTC session with ANSI mode and adaptive execution on; ``conf`` wins over the defaults.
+
+    Checkpoints are deleted once nothing refers to them.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
+    if not (master or "").startswith("local"):
+        # many partitions to begin with; adaptive execution joins small ones
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "20000"
     settings.update(conf or {})
     builder = SparkSession.builder.appName(app)
     if master:

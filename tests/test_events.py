@@ -102,6 +102,17 @@ def brute_lifecycle(kinds):
     return out
 
 
+def test_sequence_is_assigned_over_partitions(spark, rows):
+    data = [(f"e{i % 3 if i % 2 else 0}", i) for i in range(200)]
+    frame = spark.createDataFrame(data, "episode string, delivery int").repartition(9)
+    got = rows(E.assign_sequence(frame, "episode", ["delivery"]), "episode", "delivery", "sequence", "event_id")
+    want, seen = [], {}
+    for episode, delivery in sorted(data):
+        seen[episode] = seen.get(episode, 0) + 1
+        want.append((episode, delivery, seen[episode], f"{episode}-{seen[episode]:06d}"))
+    assert got == sorted(want, key=repr)
+
+
 def test_lifecycle_against_brute_force(spark, rows):
     histories = ["".join(h) for size in range(1, 6) for h in itertools.product("st", repeat=size)]
     data = [(h, n, kind) for h in histories for n, kind in enumerate(h)]

@@ -319,6 +319,14 @@ def test_cycles_against_brute_force(spark, rows, seed):
     assert dict(rows(G.find_cycles(frame))) == brute_components(edges)
 
 
+def test_long_chains_and_rings(spark, rows):
+    chain = [(i, i + 1) for i in range(100)] + [(40, 200), (200, 20)]
+    ring = [(i, 300 + (i + 1 - 300) % 37) for i in range(300, 337)]
+    edges = chain + ring + [(500, 500), (None, 1), (5, None)]
+    found = dict(rows(G.find_cycles(spark.createDataFrame(edges, "src int, dst int"))))
+    assert found == {i: 200 for i in range(20, 41)} | {200: 200} | {i: 336 for i in range(300, 337)} | {500: 500}
+
+
 def test_conflicts(spark, rows):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("e", "e")], "src string, dst string")
     selected = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")

@@ -185,6 +185,21 @@ def test_stream_changes_report_once_per_state(spark, rows, tmp_path):
     assert len([g for g in got if g[0] == "r"]) == 2
 
 
+def test_end_of_log_reports_open_starts(spark, rows, tmp_path):
+    events = [("a", "2024-01-01 00:00:00", "s", None), ("a", "2024-01-01 00:01:00", "t", "passed"), ("b", "2024-01-01 00:02:00", "s", None)]
+    stream = source(spark, str(tmp_path / "in"), events)
+    paired = finish(spark, L.stream_pairs(stream, "command", "ts", F.col("kind") == "s", F.col("kind") == "t", "status", "10 MINUTES"), tmp_path)
+    starts = spark.createDataFrame(events, "command string, ts string, kind string, status string").where("kind = 's'").withColumn("ts", F.to_timestamp("ts"))
+    assert rows(L.end_of_log(starts, paired, "command", "ts"), "command", "status") == [("a", "passed"), ("b", "incomplete")]
+
+
+def test_copies_are_refused_for_ever(spark, rows, tmp_path):
+    one = [("a", "2024-01-01 00:00:00", "x", "1"), ("a", "2024-01-01 00:00:00", "x", "1")]
+    much_later = [("a", "2024-03-01 00:00:00", "x", "1"), ("b", "2024-03-01 00:00:02", "x", "2")]
+    stream = source(spark, str(tmp_path / "in"), one, much_later, one)
+    assert rows(finish(spark, L.stream_dedupe(stream, ["command"]), tmp_path), "command") == [("a",), ("b",)]
+
+
 def test_stream_redact_and_dedupe(spark, rows, tmp_path):
     one = [("a", "2024-01-01 00:00:00", "x", "at 10.0.0.1"), ("a", "2024-01-01 00:00:00", "x", "at 10.0.0.1")]
     two = [("a", "2024-01-01 00:00:01", "x", "again"), ("b", "2024-01-01 00:00:02", "x", "me@example.com")]
