@@ -428,11 +428,11 @@ def normalize_json(t):
 @query(
     "vector_literal",
     """
-SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS VARCHAR)), ',') || ']' AS text FROM embeddings""",
+SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) / 1000 AS VARCHAR)), ',') || ']' AS text FROM embeddings""",
 )
 def vector_literal(t):
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double"))
-    return t.embeddings.select("vec_id", N.vector_literal(whole).alias("text"))
+    short = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("double") / 1000)
+    return t.embeddings.select("vec_id", N.vector_literal(short).alias("text"))
 
 
 @query(

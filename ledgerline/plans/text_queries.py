@@ -91,7 +91,7 @@ def secrets_sql(lines: str, flags: str = "") -> str:
     holder = " OR ".join(f"contains(bare, '{mark}')" for mark in marks)
     return f"""
 WITH open_lines AS (SELECT * FROM ({lines}) WHERE NOT contains(text, 'public-safety: allow-secret')
-  AND NOT regexp_full_match(trim(text), '[A-Za-z0-9_.-]+==[A-Za-z0-9_.!+-]+')),
+  AND NOT regexp_full_match(text, '\\s*[A-Za-z0-9_.-]+==[A-Za-z0-9_.!+-]+\\s*')),
 pairs AS (SELECT path, line, unnest(regexp_extract_all(text, '{flags}\\b{name}\\s*[=:]\\s*([^\\s#]+)', 1)) AS k,
                  unnest(regexp_extract_all(text, '{flags}\\b{name}\\s*[=:]\\s*([^\\s#]+)', 2)) AS v FROM open_lines),
 cleaned AS (SELECT *, trim(v, '"''') AS bare, trim(v, '"'') ,:') AS plain FROM pairs)
@@ -104,9 +104,58 @@ UNION ALL SELECT path, line, 'secret-like assignment ' || k || '=<redacted>' FRO
     AND plain NOT IN ('str', 'None', '{{') AND bare <> '' AND NOT ({holder})"""
 
 
-@query("scan_secrets", secrets_sql(lines_sql("documents", "doc_id", "text")))
+# A line per page with something planted: real and exempt assignments, pinned packages, addresses of both families, a folder name.
+PLANTED = """
+SELECT 'page/' || page_id AS path, 1 AS line, CASE page_id % 12
+  WHEN 0 THEN 'API_TOKEN=' || md5(url) WHEN 1 THEN 'export DB_PASSWORD: "' || md5(url) || '",' WHEN 2 THEN 'MAIN_SECRET={{ vault }}'
+  WHEN 3 THEN chr(9) || 'NAME_TOKEN==1.0' WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 5 THEN 'use ghp_' || md5(url)
+  WHEN 6 THEN 'at 2606:4700::6810:' || page_id WHEN 7 THEN 'at 2001:db8::' || page_id || ' and ::1 or 12:30:45'
+  WHEN 8 THEN 'at 10.1.2.' || page_id % 256 WHEN 9 THEN 'at FE80:0::0:' || page_id WHEN 10 THEN 'see private/' || page_id ELSE url END AS text FROM pages"""
+
+
+def planted(t):
+    c = F.col
+    kind, key, digest = c("page_id") % 12, c("page_id").cast("string"), F.md5("url")
+    line = (
+        F.when(kind == 0, F.concat(F.lit("API_TOKEN="), digest)).when(kind == 1, F.concat(F.lit('export DB_PASSWORD: "'), digest, F.lit('",')))
+        .when(kind == 2, F.lit("MAIN_SECRET={{ vault }}")).when(kind == 3, F.lit("\tNAME_TOKEN==1.0")).when(kind == 4, F.lit("-----BEGIN RSA PRIVATE KEY-----"))
+        .when(kind == 5, F.concat(F.lit("use ghp_"), digest)).when(kind == 6, F.concat(F.lit("at 2606:4700::6810:"), key))
+        .when(kind == 7, F.concat(F.lit("at 2001:db8::"), key, F.lit(" and ::1 or 12:30:45"))).when(kind == 8, F.concat(F.lit("at 10.1.2."), c("page_id") % 256))
+        .when(kind == 9, F.concat(F.lit("at FE80:0::0:"), key)).when(kind == 10, F.concat(F.lit("see private/"), key)).otherwise(c("url"))
+    )
+    return t.pages.select(F.concat(F.lit("page/"), key).alias("path"), F.lit(1).alias("line"), line.alias("text"))
+
+
+DOCUMENT_AND_PLANTED = f"SELECT path, line, text FROM ({lines_sql('documents', 'doc_id', 'text')}) UNION ALL SELECT * FROM ({PLANTED})"
+
+
+@query("scan_secrets", secrets_sql(DOCUMENT_AND_PLANTED))
 def scan_secrets(t):
-    return S.scan_secrets(doc_lines(t))
+    """Documents hold lower-case names only, which are no finding; the planted lines hold real and exempt ones."""
+    return S.scan_secrets(doc_lines(t).unionByName(planted(t)))
+
+
+# Known answers for the planted IPv6 addresses: canonical text, documentation range left out.
+IPV6_FINDINGS = """
+SELECT 'page/' || page_id AS path, 1 AS line, 'non-example IP literal 2606:4700::6810:' || page_id AS message FROM pages WHERE page_id % 12 = 6
+UNION ALL SELECT 'page/' || page_id, 1, 'non-example IP literal fe80::' || page_id FROM pages WHERE page_id % 12 = 9
+UNION ALL SELECT 'page/' || page_id, 1, 'non-example IP literal ::1' FROM pages WHERE page_id % 12 = 7 AND LOOPBACK"""
+
+
+@query("scan_ips_planted", f"{ipv4_sql(PLANTED)} UNION ALL {IPV6_FINDINGS.replace('LOOPBACK', str('::1' not in X.ALLOWED_IPS).lower())}")
+def scan_ips_planted(t):
+    return S.scan_ips(planted(t))
+
+
+@query(
+    "full_scan_planted",
+    f"""SELECT * FROM ({ipv4_sql(PLANTED)}) UNION ALL {IPV6_FINDINGS.replace('LOOPBACK', str('::1' not in X.ALLOWED_IPS).lower())}
+UNION ALL SELECT * FROM ({secrets_sql(PLANTED)})
+UNION ALL SELECT path, line, '{S.SENSITIVE_MESSAGE}' FROM ({PLANTED}) WHERE contains(text, '{S.SENSITIVE_REFERENCE}')""",
+)
+def full_scan_planted(t):
+    """Everything that a full scan looks for, with known answers."""
+    return S.scan(planted(t))
 
 
 @query("scan_secrets_any_case", secrets_sql(lines_sql("documents", "doc_id", "text"), "(?i)"))
