@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import check_required, check_vector
 from ledgerline.functions.text import signature
+from ledgerline.functions.normalize import all_cidr, is_cidr
 from ledgerline.operators import integrity as I
 from ledgerline.operators import winners as W
 from ledgerline.plans.registry import query
@@ -300,6 +301,20 @@ def parity(t):
     return I.parity(a, b, ["nation"])
 
 
+@query(
+    "cidr_rules",
+    """
+WITH a AS (SELECT c_custkey, c_custkey % 300 AS octet, c_custkey % 37 AS prefix FROM customer)
+SELECT c_custkey, rule FROM a, (VALUES ('address block'), ('all allowed blocks')) r(rule)
+WHERE (rule = 'address block' AND (octet > 255 OR prefix > 32)) OR (rule = 'all allowed blocks' AND prefix > 32)""",
+)
+def cidr_rules(t):
+    """Blocks with octets and prefixes that run beyond their range, alone and in a list."""
+    block = F.concat(F.lit("10.0."), F.col("c_custkey") % 300, F.lit(".0/"), F.col("c_custkey") % 37)
+    allowed = F.array(F.lit("192.0.2.0/24"), F.concat(F.lit("10.0.0.0/"), F.col("c_custkey") % 37))
+    return I.check_values(t.customer, "c_custkey", {"address block": is_cidr(block), "all allowed blocks": all_cidr(allowed)})
+
+
 @query(
     "value_rules",
     """

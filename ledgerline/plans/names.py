@@ -41,6 +41,7 @@ def check_documents(documents: DataFrame) -> DataFrame:
     missing = F.array_except(F.array(*[F.lit(key) for key in REQUIRED_KEYS]), keys)
     extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(key) for key in ALLOWED_KEYS])))
     zones = explode_list_map(_part(documents, "zones"), "part", ["doc"])
+    lists = explode_map(_part(documents, "zones"), "part", "array<string>", ["doc"])
     records = desired_records(documents)
     bad_value = F.when(F.col("type") == "A", ~is_ipv4(F.col("value"))).otherwise(~has_format(F.col("value"), "dns_name"))
     both = records.where("type = 'A'").select("doc", "domain").intersect(records.where("type = 'CNAME'").select("doc", "domain"))
@@ -51,6 +52,7 @@ def check_documents(documents: DataFrame) -> DataFrame:
         zones.where((strip(F.col("value")) == "") | ~F.col("value").rlike(r"^[^\x00-\x1f]*\z")).select(
             *violation("invalid forwarder", F.col("doc"), F.col("key"))
         ),
+        lists.where(F.coalesce(F.size("value") == 0, F.lit(True))).select(*violation("zone without forwarders", F.col("doc"), F.col("key"))),
         records.where(~has_format(F.col("domain"), "dns_name")).select(*violation("invalid name", F.col("doc"), F.col("domain"))),
         records.where(F.coalesce(bad_value, F.lit(True))).select(*violation("invalid value", F.col("doc"), F.col("domain"))),
         both.select(*violation("address and alias for one name", F.col("doc"), F.col("domain"))),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import changes as C
 from ledgerline.operators import ranking as R
 from ledgerline.operators import releases as L
-from ledgerline.plans.registry import query
+from ledgerline.plans.registry import ORACLES, query
 from ledgerline.skew import spread
 
 def plan(t):
@@ -179,6 +179,12 @@ def change_gate(t):
     return C.change_gate(saved, current, prints, later, plan(t), risky, before, gate_evidence(t, services))
 
 
+@query("gate_first_failure", f"SELECT rule_no, reason FROM ({ORACLES['change_gate']}) WHERE NOT passed ORDER BY rule_no LIMIT 1")
+def gate_first_failure(t):
+    """The reason at which a run over the saved plan stops."""
+    return C.first_failure(change_gate(t))
+
+
 RELEASE_NOW = "2001-08-01 00:00:00"
 
 
