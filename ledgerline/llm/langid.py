@@ -25,7 +25,7 @@ SEQUENCES = 1_200
 STEPS = 60
 LEAST_COUNT = 3
 #: Words that a worker remembers before it begins anew, words in a block, and blocks that are worked on at a time.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 BLOCK = 128
 BLOCKS = 4_096
 UNDETERMINED = "und"

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -13,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 import ledgerline
+from ledgerline.session import scratch_path
 
 
 class Cache(dict):
@@ -55,16 +55,24 @@ _SHIPPED: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that workers find it wherever they run."""
+    """Send this package to the executors, once for each application, so that workers find it wherever they run.
+
+    The archive lies in the shared folder.
+    """
     application = spark.sparkContext.applicationId
     if application in _SHIPPED:
         return
     root = Path(ledgerline.__file__).parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="code-"), "ledgerline.zip")
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as target:
         for source in sorted(root.rglob("*.py")):
-            target.write(source, source.relative_to(root.parent))
-    spark.sparkContext.addPyFile(archive)
+            target.writestr(str(source.relative_to(root.parent)), source.read_bytes())
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'code')}/ledgerline.zip")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(path)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(store.makeQualified(path).toString())
     _SHIPPED.add(application)
 
 
@@ -74,7 +82,7 @@ def share(spark: SparkSession, value):
 
 
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 
 def portions(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBatch]:
