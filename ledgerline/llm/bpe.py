@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.workers import Cache, map_batches, once, share
 
 #: Pieces whose ids a worker remembers (at most twice as many), and checked pairs of tokens.
-CACHE_PIECES = 200_000
-CACHE_PAIRS = 200_000
+CACHE_PIECES = 120_000
+CACHE_PAIRS = 100_000
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A blank that is followed by white space or ends the text: such texts are cut by CUT instead of at every blank.

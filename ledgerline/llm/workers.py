@@ -44,11 +44,11 @@ _MADE: dict = {}
 
 
 def once(key, make: Callable):
-    """The object that ``make`` gave in this worker for ``key``; one object is held at a time for each kind."""
-    kind, version = key
-    if _MADE.get(kind, (None, None))[0] != version:
-        _MADE[kind] = (version, make())
-    return _MADE[kind][1]
+    """The object that ``make`` gave in this worker for ``key``; a worker that goes on to another one lets it go."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
 
 
 _SHIPPED: set[str] = set()
