@@ -11,7 +11,7 @@ from ledgerline.functions import text as X
 from ledgerline.operators import ranking as R
 from ledgerline.operators import releases as L
 from ledgerline.operators import scan as S
-from ledgerline.sources.files import number_lines
+from ledgerline.sources.files import number_lines, unquote
 
 
 def value(spark, column):
@@ -239,3 +239,36 @@ def test_normalize_json_rejects_non_finite(spark):
     call = lambda t: value(spark, N.normalize_json(F.lit(t)))
     assert call('{"b": [{"tb": "x", "id": {"String": "7"}}], "a": 1}')["value"] == '{"a":1,"b":["7"]}'
     assert call('{"a": NaN}')["error"] == "non-finite numeric value"
+
+
+@pytest.mark.parametrize("text, good", [('["a,null,b"]', True), ('["a", null]', False), ("[]", True), ('["a", 1]', False), ('"a"', False), ('{"a": 1}', False), (None, True)])
+def test_string_arrays(spark, text, good):
+    assert value(spark, N.is_string_array(F.parse_json(F.lit(text).cast("string")))) == good
+
+
+@pytest.mark.parametrize(
+    "text, good",
+    [("10.0.0.0/8", True), ("10.0.0.0/32", True), ("0.0.0.0/0", True), ("10.0.0.0/33", False), ("10.0.0.256/8", False), ("10.0.0.0", False), ("10.0.0.0/", False), ("10.0.0.0/08", False), (None, False)],
+)
+def test_address_blocks(spark, text, good):
+    assert value(spark, N.is_cidr(F.lit(text).cast("string"))) == good
+
+
+def test_vector_literal_with_exponents(spark):
+    assert value(spark, N.vector_literal(F.array(F.lit(1e-10), F.lit(0.1), F.lit(1e20)))) == "[1.0E-10,0.1,1.0E20]"
+
+
+def test_strip_takes_all_white_space(spark):
+    assert value(spark, X.strip(F.lit("\t\u00a0 a b\x0b\u3000\n"))) == "a b"
+
+
+@pytest.mark.parametrize(
+    "raw, want, error",
+    [
+        ("a", "a", None), ("'two words'", "two words", None), ('"x\\"y"', 'x"y', None), ('"a\\b"', "a\\b", None), ("a\\ b", "a b", None), ("''", "", None), ("a'b'\"c\"", "abc", None),
+        ("'open", None, "a quote or an escape is not closed"), ("a b", None, "not exactly one value"), ("", None, "not exactly one value"), ("a\\", None, "a quote or an escape is not closed"),
+    ],
+)
+def test_unquoting(spark, raw, want, error):
+    found = value(spark, unquote(F.lit(raw)))
+    assert (found["value"], found["error"]) == (want, error)
