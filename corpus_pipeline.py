@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ledgerline.llm import bpe, exactdedup, langid, mixing, simhash
 from ledgerline.session import scratch_path
 
-#: A document goes if no language is found or its mean probability is below this.
-LEAST_LANGUAGE_SCORE = 0.4
 SHINGLE_WORDS, RADIUS = 3, 3
 MIX_WEIGHTS, MIX_SEED = [5, 2, 1], 42
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,11 +29,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the field learns from two thirds of those that name one."""
+    """Documents with a language; the field learns from two thirds of those that name one.
+
+    Only ``und`` goes.  The score is not asked: it says how much of a text is in one language, so it is low in clean mixed texts.
+    """
     small_batches(spark)
     learn = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1, F.lit(True))
     found = langid.identify(docs, learn, carry=docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

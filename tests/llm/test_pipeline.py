@@ -1,5 +1,6 @@
 import corpus_pipeline as P
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm import langid
@@ -55,3 +56,15 @@ def test_run_reads_documents(spark, documents, prose, tmp_path, monkeypatch):
     monkeypatch.setattr(langid, "SEQUENCES", 300)
     documents(corpus(prose)[1]).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 50
+
+
+def test_mixed_short_and_unknown_texts_keep_their_place(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(langid, "SEQUENCES", 300)
+    clean, _ = corpus(prose)
+    mixed = " ".join(prose(language, 40, 800) for language in ("xx", "yy", "zz"))
+    odd = [(900, mixed, None, "s0"), (901, "ka pa", None, "s1"), (902, "中文 字", None, "s2"), (903, "12 34", None, "s0")]
+    docs = documents(clean + odd)
+    scores = {r.doc_id: r.score for r in langid.identify(docs, F.lit(True)).select("row.doc_id", "score").collect()}
+    assert scores[900] < 0.4 and scores[902] < 0.4
+    kept = P.keep_known_languages(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([r[0] for r in clean] + [900, 901, 902])
