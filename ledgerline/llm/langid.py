@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.workers import map_batches, once, share
 
-#: The sample that the model is fitted on: rows per language, words per row, languages (the most frequent ones).
+#: The sample that the model is fitted on: rows per language, words per row.  Beyond so many languages each has fewer
+#: rows, LEAST_ROWS or more, and there are more sequences; every language is a label.
 SAMPLE_ROWS = 400
 SAMPLE_WORDS = 200
 LANGUAGES = 100
+LEAST_ROWS = 40
 #: Words per training sequence, sequences, gradient steps, and in how many words a feature has to occur.
 SEQUENCE = 96
 SEQUENCES = 1_200
@@ -28,6 +30,8 @@ LEAST_COUNT = 3
 CACHE_WORDS = 100_000
 BLOCK = 128
 BLOCKS = 4_096
+#: Numbers in an array of one step: with many labels fewer blocks or sequences are worked on at a time.
+CELLS = 10_000_000
 UNDETERMINED = "und"
 
 
@@ -105,24 +109,35 @@ class Chain:
         index = np.concatenate([index, np.full(count * BLOCK - total, len(emission), index.dtype)]).reshape(count, BLOCK)
         first = np.concatenate([first, np.ones(count * BLOCK - total, bool)]).reshape(count, BLOCK)
         emission = np.vstack([emission, np.ones(self.size)])
-        ranges = [(i, min(i + BLOCKS, count)) for i in range(0, count, BLOCKS)]
-        product = np.empty((count, self.size, self.size))
-        for lo, hi in ranges:
+        step = max(1, min(BLOCKS, CELLS // max(self.size**2, self.size * BLOCK)))
+        ranges = [(i, min(i + step, count)) for i in range(0, count, step)]
+        held = {}
+
+        def products(lo: int, hi: int) -> np.ndarray:
+            """The products of a range's blocks; kept as long as all of them are few, else made anew for the way back."""
+            if lo in held:
+                return held[lo]
             carried = np.broadcast_to(np.eye(self.size), (hi - lo, self.size, self.size)).copy()
             for t in range(BLOCK):
                 carried = self._step(carried, emission[index[lo:hi, t]], first[lo:hi, t])
-            product[lo:hi] = carried
+            if count * self.size**2 <= CELLS:
+                held[lo] = carried
+            return carried
+
         ahead, behind = np.empty((count, self.size)), np.empty((count, self.size))
         message = np.full(self.size, 1 / self.size)
-        for i in range(count):
-            ahead[i] = message
-            message = message @ product[i]
-            message /= message.sum()
+        for lo, hi in ranges:
+            for i, product in enumerate(products(lo, hi), lo):
+                ahead[i] = message
+                message = message @ product
+                message /= message.sum()
         message = np.full(self.size, 1 / self.size)
-        for i in range(count - 1, -1, -1):
-            behind[i] = message
-            message = product[i] @ message
-            message /= message.sum()
+        for lo, hi in reversed(ranges):
+            product = products(lo, hi)
+            for i in range(hi - 1, lo - 1, -1):
+                behind[i] = message
+                message = product[i - lo] @ message
+                message /= message.sum()
         for lo, hi in ranges:
             emit, begins = emission[index[lo:hi]], first[lo:hi]
             forward = np.empty_like(emit)
@@ -144,7 +159,8 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     """A model from (language, words) samples.
 
     Training sequences switch between languages: spans of samples are laid end to end, so
-    the transitions learn both to stay and to change.  Weights are the conditional likelihood's, by full
+    the transitions learn both to stay and to change.  Their number grows with the languages beyond LANGUAGES, so that
+    each is drawn as often.  Weights are the conditional likelihood's, by full
     gradients from forward-backward with an L2 penalty.
     """
     random = np.random.default_rng(seed)
@@ -153,7 +169,8 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     by_label = [[words for language, words in samples if language == label and words] for label in labels]
     by_label = [x or [[""]] for x in by_label]
     words, gold = [], []
-    for _ in range(SEQUENCES):
+    sequences = SEQUENCES * max(size, LANGUAGES) // LANGUAGES
+    for _ in range(sequences):
         line, marks = [], []
         while len(line) < SEQUENCE:
             label = int(random.integers(size))
@@ -166,8 +183,8 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model:
         words += line[:SEQUENCE]
         gold += marks[:SEQUENCE]
     kinds = {word: i for i, word in enumerate(dict.fromkeys(words))}
-    index = np.array([kinds[w] for w in words]).reshape(SEQUENCES, SEQUENCE)
-    gold_at = np.array(gold).reshape(SEQUENCES, SEQUENCE)
+    index = np.array([kinds[w] for w in words]).reshape(sequences, SEQUENCE)
+    gold_at = np.array(gold).reshape(sequences, SEQUENCE)
     found = [features(core(word)) for word in kinds]
     counts = Counter(f for x in found for f in x)
     rows = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= LEAST_COUNT))}
@@ -184,32 +201,37 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     observed_start = np.bincount(gold_at[:, 0], minlength=size).astype(float)
     params = [weights, move, start]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    several = max(1, CELLS // (SEQUENCE * size))
     for step in range(1, STEPS + 1):
-        emit = _positive(summed(weights, lists))[index]
-        moves, forward = np.exp(move), np.empty(index.shape + (size,))
-        now = np.exp(start) * emit[:, 0]
-        for t in range(SEQUENCE):
-            if t:
-                now = (now @ moves) * emit[:, t]
-            now /= now.sum(axis=1, keepdims=True)
-            forward[:, t] = now
-        expected_move = np.zeros((size, size))
-        marginal, now = np.empty_like(forward), np.ones((SEQUENCES, size))
-        for t in range(SEQUENCE - 1, -1, -1):
-            both = forward[:, t] * now
-            marginal[:, t] = both / both.sum(axis=1, keepdims=True)
-            if t:
-                right = emit[:, t] * now
-                pair = forward[:, t - 1, :, None] * moves * right[:, None, :]
-                expected_move += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                now = right @ moves.T
+        emission, moves = _positive(summed(weights, lists)), np.exp(move)
+        expected, expected_move, expected_start = np.zeros((len(kinds), size)), np.zeros((size, size)), np.zeros(size)
+        for lo in range(0, sequences, several):
+            at = index[lo : lo + several]
+            emit = emission[at]
+            forward = np.empty(emit.shape)
+            now = np.exp(start) * emit[:, 0]
+            for t in range(SEQUENCE):
+                if t:
+                    now = (now @ moves) * emit[:, t]
                 now /= now.sum(axis=1, keepdims=True)
-        expected = np.stack([np.bincount(index.ravel(), marginal[..., k].ravel(), len(kinds)) for k in range(size)], axis=1)
+                forward[:, t] = now
+            marginal, now = np.empty_like(forward), np.ones((len(at), size))
+            for t in range(SEQUENCE - 1, -1, -1):
+                both = forward[:, t] * now
+                marginal[:, t] = both / both.sum(axis=1, keepdims=True)
+                if t:
+                    right = emit[:, t] * now
+                    weight = ((forward[:, t - 1] @ moves) * right).sum(axis=1, keepdims=True)
+                    expected_move += moves * ((forward[:, t - 1] / weight).T @ right)
+                    now = right @ moves.T
+                    now /= now.sum(axis=1, keepdims=True)
+            expected += np.stack([np.bincount(at.ravel(), marginal[..., k].ravel(), len(kinds)) for k in range(size)], axis=1)
+            expected_start += marginal[:, 0].sum(axis=0)
         left = observed - expected
         gradient = [
             np.stack([np.bincount(flat, left[owner, k], len(rows)) for k in range(size)], axis=1) - 0.5 * weights,
             observed_move - expected_move - 0.5 * move,
-            observed_start - marginal[:, 0].sum(axis=0) - 0.5 * start,
+            observed_start - expected_start - 0.5 * start,
         ]
         for p, g, m, v in zip(params, gradient, means, squares, strict=True):
             m += 0.1 * (g - m)
@@ -221,19 +243,31 @@ def fit(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model:
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
     """(language, words) of about ``rows`` labelled rows per language, ``words`` successive words of each.
 
-    Rows are chosen by a hash of id and text.  At most ``2 * rows * LANGUAGES`` rows of ``words`` words come to the driver.
+    Rows are chosen by a hash of id and text.  With more than LANGUAGES languages each has fewer, but LEAST_ROWS.
+    A language that none was drawn of gives one text, so that none is left out.  At most twice the rows asked for
+    come to the driver, and one for each language.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), learn.alias("learn"), F.xxhash64(id_col, text_col).alias("draw"))
     known = known.where(F.col("learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return []
+    if len(counts) > LANGUAGES:
+        rows = max(min(rows, LEAST_ROWS), rows * LANGUAGES // len(counts))
     share_of = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
     drawn = known.where(F.pmod("draw", F.lit(1 << 30)) < share_of[F.col("lang")] * float(1 << 30))
     parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     at = F.pmod(F.shiftright("draw", 20), F.greatest(F.size("parts") - words + 1, F.lit(1))) + 1
-    cut = drawn.withColumn("parts", parts).select("lang", "draw", F.slice("parts", at.cast("int"), words).alias("words"))
-    picked = sorted(((r["lang"], r["draw"], r["words"]) for r in cut.limit(2 * rows * LANGUAGES).collect()), key=lambda x: x[:2])
+
+    def cut(some: DataFrame) -> DataFrame:
+        return some.withColumn("parts", parts).select("lang", "draw", F.slice("parts", at.cast("int"), words).alias("words"))
+
+    found = cut(drawn).limit(2 * rows * max(LANGUAGES, len(counts))).collect()
+    missed = sorted({r["lang"] for r in counts} - {r["lang"] for r in found})
+    if missed:
+        rest = cut(known.where(F.col("lang").isin(missed)))
+        found += rest.groupBy("lang").agg(F.min(F.struct("draw", "words")).alias("one")).select("lang", "one.*").collect()
+    picked = sorted(((r["lang"], r["draw"], r["words"]) for r in found), key=lambda x: x[:2])
     return [(lang, parts) for lang, _, parts in picked]
 
 
@@ -296,7 +330,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     """Language of every whole text: row (a struct of ``carry``, by default the id), lang_pred, score, runs.
 
     ``learn`` says from which rows of ``docs`` text and language may be learnt.  The field is fitted on a
-    bounded sample of them (SAMPLE_ROWS per language); its labels are the sample's languages.  Words are
+    sample of them, bounded per language (SAMPLE_ROWS); its labels are all languages that can be learnt.  Words are
     the runs between white space.  ``runs`` is an array of (lang, words): how many successive words
     have one label.  ``lang_pred`` is the label with the largest mean marginal probability over the words with known features,
     ``score`` that mean.

@@ -73,3 +73,35 @@ def test_nothing_to_learn_and_empty(documents):
     docs = documents([(1, "some words", None, "s"), (2, None, "en", "s")])
     assert {(r.lang_pred, r.score) for r in L.identify(docs, F.lit(True)).collect()} == {("und", 0.0)}
     assert L.identify(documents([]), F.lit(True)).count() == 0
+
+
+def test_every_language_is_a_label(documents, prose, monkeypatch):
+    monkeypatch.setattr(L, "SEQUENCES", 300)
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    rows = [(i, prose("xx" if i % 2 else "yy", 60, i), "xx" if i % 2 else "yy", "s") for i in range(60)]
+    rows += [(100 + i, prose("zz", 60, i), "zz", "s") for i in range(8)]
+    docs = documents(rows + [(1000 + i, prose("zz", 40, 500 + i), None, "s") for i in range(5)])
+    found = L.identify(docs, F.lit(True)).select("row.doc_id", "lang_pred").collect()
+    assert {r.lang_pred for r in found if r.doc_id >= 100} == {"zz"}
+    # a sample that misses a language takes one text of it
+    few = L.training_sample(docs, F.lit(True), "doc_id", "text", "lang", rows=0)
+    assert sorted(lang for lang, _ in few) == ["xx", "yy", "zz"] and all(len(words) == 60 for _, words in few)
+
+
+def test_many_labels_in_small_steps(documents, monkeypatch):
+    names = [f"l{i:03d}" for i in range(130)]
+    words = {name: " ".join(chr(0x4E00 + 40 * i) + chr(0x4E01 + 40 * i) + chr(0x4E02 + 40 * i + k) for k in range(5)) for i, name in enumerate(names)}
+    docs = documents([(i, " ".join([words[name]] * 6), name, "s") for i, name in enumerate(names)])
+    samples = L.training_sample(docs, F.lit(True), "doc_id", "text", "lang")
+    assert sorted(lang for lang, _ in samples) == names
+    monkeypatch.setattr(L, "STEPS", 10)
+    monkeypatch.setattr(L, "SEQUENCES", 200)
+    whole = L.fit(samples)
+    assert whole.labels == names
+    texts = [" ".join([words[name]] * 4) for name in names]
+    found = [x[:2] for x in L.Labeller(whole).label(texts)]
+    assert [lang for lang, _ in found] == names
+    monkeypatch.setattr(L, "CELLS", 130 * 130 * 2)
+    assert np.allclose(L.fit(samples).weights, whole.weights)
+    again = [x[:2] for x in L.Labeller(whole).label(texts)]
+    assert [lang for lang, _ in again] == names and np.allclose([x for _, x in again], [x for _, x in found])
