@@ -23,30 +23,46 @@ def word_count(text: Column) -> Column:
     return F.char_length(F.regexp_replace(marked, r"[\x20\x09-\x0D]", "")).cast("bigint")
 
 
+def _sums_before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with the sums over all rows that come before in ``order``, which has no ties.
+
+    Rows are sorted over all partitions; a sum is that of the partitions before and of the rows before in the own one.
+    """
+    placed = durable(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    )
+    pieces = placed.groupBy("_pid").agg(*[F.sum(value).alias(f"_{name}") for name, value in sums.items()])
+    upto = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    earlier, own = upto(Window.orderBy("_pid")), upto(Window.partitionBy("_pid").orderBy("_at"))
+    starts = pieces.select("_pid", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
+    known = placed.join(F.broadcast(starts), "_pid")
+    known = known.withColumns({name: F.col(f"_{name}") + F.coalesce(F.sum(value).over(own), F.lit(0)) for name, value in sums.items()})
+    return known.drop("_pid", "_at", *[f"_{name}" for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights: list[float], max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, source_rows, target) from one row per source.
 
     Sources by code point, null last, take the weights in turn and share the size of all.  A
     target stops at ``max_repeats`` times its source's size; what is cut goes to the others by
     weight.  In order of cap over weight the capped sources come first, and running sums tell
-    where they end, so no round of resharing is needed.  The table has one row per source.
+    where they end, so no round of resharing is needed.  The table has one row per source and
+    is sorted over many tasks.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.row_number().over(by_name) - 1
+    rows = _sums_before(sizes, [F.col("source").asc_nulls_last()], place=F.lit(1))
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sizes.withColumn("weight", F.element_at(turn, (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    rows = rows.withColumn("weight", F.element_at(turn, (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
     rows = rows.withColumn("cap", F.col("source_size") * float(max_repeats))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    rows = (
-        rows.withColumn("total", F.sum(F.col("source_size").cast("double")).over(every))
-        .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("capped", F.col("cap") * F.col("open") <= F.col("weight") * (F.col("total") - F.col("full")))
-        .withColumn("given", F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(0.0))).over(every))
-        .withColumn("left", F.sum(F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("weight"))).over(every))
+    rows = _sums_before(rows, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], full=F.col("cap"), closed=F.col("weight"))
+    whole = rows.agg(F.sum(F.col("source_size").cast("double")).alias("total"), F.sum("weight").alias("weights"))
+    open_from = F.col("weights") - F.col("closed")
+    capped = F.col("cap") * open_from <= F.col("weight") * (F.col("total") - F.col("full"))
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("capped", capped)
+    rest = rows.agg(
+        F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(0.0))).alias("given"),
+        F.sum(F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("weight"))).alias("left"),
     )
+    rows = rows.crossJoin(F.broadcast(rest))
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * (F.col("total") - F.col("given")) / F.col("left"))
     return rows.select("source", "source_size", "source_rows", target.alias("target"))
 

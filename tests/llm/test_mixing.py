@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import mixing as M
 
@@ -78,3 +79,18 @@ def test_word_count(documents, spark):
     texts = [None, "", " ", "a", " a\tb\n", "a\x0bb\x0cc\rd", "a\x1cb", "a\u00a0b", "x " * 50_000]
     found = documents([(i, t) for i, t in enumerate(texts)]).select("doc_id", M.word_count(F.col("text")).alias("n")).collect()
     assert [r.n for r in sorted(found, key=lambda r: r.doc_id)] == [0, 0, 0, 1, 2, 4, 1, 1, 50_000]
+
+
+def test_many_sources_are_sorted_in_many_tasks(spark):
+    sizes = {f"s{i:04d}": i * 37 % 1009 for i in range(1500)} | {None: 40_000}
+    table = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size bigint, source_rows bigint").repartition(4)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        found = M.source_targets(table, [5, 2, 1]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len({r.task for r in found}) > 1
+    want = level(sizes, [5, 2, 1])
+    assert len(found) == len(want) and all(r.target == pytest.approx(want[r.source]) for r in found)
