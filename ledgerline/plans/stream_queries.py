@@ -73,12 +73,20 @@ def stream_changes(t):
     """Two triggers, before and after a cut; users without news for two hours time out."""
     rows = t.events.select("user_id", utc("ts").alias("ts"), "event_type")
     early = F.col("ts") < F.lit(CHANGE_CUT).cast("timestamp")
-    path = scratch_path(t.spark, "changes")
-    for part in (rows.where(early), rows.where(~early)):
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    reported = L.stream_changes(stream, "user_id", "ts", "event_type", ["error", "purchase"], timeout_ms=2 * 3600 * 1000)
-    return finish(t, reported, "changed").select("key", "state", "outcome")
+    path, out, progress = (scratch_path(t.spark, name) for name in ("changes", "changed", "changed-progress"))
+    stream = t.spark.readStream.schema(rows.schema).parquet
+    # a run ends with a trigger without rows, in which users would time out whose late events are still to come
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = t.spark.conf.get(idle)
+    for part, ends in ((rows.where(early), False), (rows.where(~early), True)):
+        part.write.mode("append").parquet(path)
+        reported = L.stream_changes(stream(path), "user_id", "ts", "event_type", ["error", "purchase"], timeout_ms=2 * 3600 * 1000)
+        t.spark.conf.set(idle, before if ends else "false")
+        try:
+            L.run_to_parquet(reported, out, progress)
+        finally:
+            t.spark.conf.set(idle, before)
+    return t.spark.read.schema(reported.schema).parquet(out).select("key", "state", "outcome")
 
 
 PAIR_ROWS = """

@@ -45,3 +45,24 @@ def test_query(spark, db, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 3
+
+
+def test_changes_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from ledgerline.plans import stream_queries
+
+    made = {}
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, name: made.setdefault(name, str(tmp_path / name)))
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "tables/events.parquet"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20k")
+    try:
+        got = entry.queries()["stream_changes"](spark, str(tmp_path / "tables")).collect()
+    finally:
+        spark.conf.set(name, before)
+    view = duckdb.connect()
+    view.sql(f"create view events as select * from '{FOLDER}/events.parquet'")
+    assert ordered(["key", "state", "outcome"], map(tuple, got)) == ordered(["key", "state", "outcome"], view.sql(entry.oracle_sql()["stream_changes"]).fetchall())
+    assert len(list((tmp_path / "changes").glob("part-*"))) > 2
+    assert [p.name for p in sorted((tmp_path / "changed-progress/commits").glob("[0-9]*"))] == ["0", "1", "2"]
