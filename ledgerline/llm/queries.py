@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, langid, maxscore, mixing, simhash, tokencount, toxicity, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, langid, maxscore, mixing, packing, simhash, tokencount, toxicity, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,7 @@ URL_RULES = [
 TOKEN_LIMIT = 4096
 MIX_WEIGHTS = [5, 2, 1]
 MIX_SEED = 42
+SEQUENCE_TOKENS = 2048
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -191,3 +192,8 @@ def op7_toxicity(t):
     held_out = F.coalesce(bucket("doc_id", 4) == 2, F.lit(False))
     found = toxicity.score(t.documents, t.labels, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_best_fit_packing")
+def op11_best_fit_packing(t):
+    return packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
