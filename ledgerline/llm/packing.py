@@ -19,18 +19,18 @@ from ledgerline.llm.bpe import byte_letters, read_vocabulary
 from ledgerline.llm.workers import Cache, map_batches, once, share
 from ledgerline.session import durable
 
-#: Pieces between blanks and words whose ids a worker remembers (at most twice as many).
-CACHE_PIECES = 80_000
-CACHE_WORDS = 80_000
+#: Words, and pieces between blanks that go to the library, whose ids a worker remembers (at most twice as many).
+CACHE_WORDS = 400_000
+CACHE_PIECES = 20_000
 #: Characters of a text that are split at a time.
 BLOCK = 1 << 20
-#: Pieces that hold nothing else are split and lower-cased here; the library takes all others whole.
-SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+#: Texts of these characters are split and lower-cased here; of others the library takes the pieces between blanks that hold another one.
+USUAL = re.compile(r"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
 #: Fixed settings of the tokenizer files that are supported.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
-#: The pattern for lower-case text of SIMPLE characters.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The pattern for lower-case text without unusual characters.
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\ra-zß-öø-ÿ0-9]+")
 #: Ranks stay under this in the lookup of runs.
 RANKS = 1 << 44
 
@@ -38,10 +38,9 @@ RANKS = 1 << 44
 class WordTokens:
     """Packed ids (little-endian, unsigned, 32 bits) of texts by a tokenizer file with word ends.
 
-    White space only parts words and no token crosses it, so a text is the sequence of its pieces
-    between blanks, and a piece that comes again is looked up.  What misses is split into words, whose ids the
-    library's model gives; pieces with other than plain Latin characters, or with what may be
-    an added token, go through the library as a whole.
+    White space only parts words and no token crosses it or a word's border.  So a text is split into words by the file's pattern, a word
+    that comes again is looked up, and the library's model gives the ids of the others.  Pieces with other than plain
+    Latin characters, or with what may be an added token, go through the library as a whole.
     """
 
     def __init__(self, content: str):
@@ -53,20 +52,26 @@ class WordTokens:
         known = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and steps[0].get("pattern") == {"Regex": PATTERN}
         if not known or [x.get("type") for x in steps] != ["Split", "ByteLevel"] or not all("<|" in x["content"] for x in spec["added_tokens"]):
             raise ValueError("not a file of lower-case words with plain normalising")
+        self.model = self.library.model
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.words = Cache(self._word, CACHE_WORDS)
         self.pieces = Cache(self._piece, CACHE_PIECES)
 
     def _word(self, word: str) -> bytes:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = [token.id for token in self.library.model.tokenize(letters)]
+        ids = [token.id for token in self.model.tokenize(letters)]
         return pack(f"<{len(ids)}I", *ids)
 
+    def _simple(self, text: str) -> bytes | None:
+        """Ids of a text without unusual characters and added tokens, None for others."""
+        if USUAL.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.words.__getitem__, PARTS.findall(text.lower())))
+        return None
+
     def _piece(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        if SIMPLE.fullmatch(piece) and "<|" not in piece:
-            return b"".join(map(self.words.__getitem__, PARTS.findall(piece.lower())))
+        done = self._simple(piece)
+        if done is not None:
+            return done
         ids = self.library.encode(piece, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
@@ -75,8 +80,9 @@ class WordTokens:
         while at < len(text):
             end = len(text) if len(text) - at <= BLOCK else text.find(" ", at + BLOCK)
             end = len(text) if end < 0 else end
-            block = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            out += map(self.pieces.__getitem__, block.split(" "))
+            block = text[at:end]
+            done = self._simple(block)
+            out += map(self.pieces.__getitem__, block.replace("\n", " ").split(" ")) if done is None else [done]
             at = end
         return b"".join(out)
 
