@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, langid, maxscore, mixing, packing, simhash, tokencount, toxicity, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, hardneg, langid, maxscore, mixing, packing, simhash, tokencount, toxicity, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,7 @@ TOKEN_LIMIT = 4096
 MIX_WEIGHTS = [5, 2, 1]
 MIX_SEED = 42
 SEQUENCE_TOKENS = 2048
+NEGATIVE_FACTOR = 256
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -197,3 +198,25 @@ def op7_toxicity(t):
 @query("op11_best_fit_packing")
 def op11_best_fit_packing(t):
     return packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
+
+
+@query(
+    "op12_hard_negatives",
+    """WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, list_inner_product(a.vector, c.vector)::BIGINT AS score
+  FROM sound a JOIN sound c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN scored n USING (anchor_id) WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10""",
+)
+def op12_hard_negatives(t):
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = t.embeddings.select("vec_id", moved.alias("label"), hardneg.whole_vector(F.col("embedding"), NEGATIVE_FACTOR).alias("vector"))
+    return hardneg.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
