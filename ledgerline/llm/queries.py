@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, chat, exactdedup, hardneg, langid, maxscore, mixing, packing, simhash, tokencount, toxicity, urlfilter
+from ledgerline.llm import bpe, chat, exactdedup, hardneg, langid, maxscore, mixing, packing, simhash, spelling, tokencount, toxicity, urlfilter
 from ledgerline.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,7 @@ MIX_WEIGHTS = [5, 2, 1]
 MIX_SEED = 42
 SEQUENCE_TOKENS = 2048
 NEGATIVE_FACTOR = 256
+DROP_MODULUS = 97
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -220,3 +222,8 @@ def op12_hard_negatives(t):
     moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     rows = t.embeddings.select("vec_id", moved.alias("label"), hardneg.whole_vector(F.col("embedding"), NEGATIVE_FACTOR).alias("vector"))
     return hardneg.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(t):
+    return spelling.spelling_variants(t.documents, partial(spelling.drop_letter, modulus=DROP_MODULUS))

@@ -97,14 +97,19 @@ def portions(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBa
     yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str, state: Callable | None = None) -> DataFrame:
-    """``work`` on portions of every Arrow batch, whose last column is a text; with ``state``, also on what it made for the task."""
+def map_batches(df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str, state: Callable | None = None, rest: Callable | None = None) -> DataFrame:
+    """``work`` on portions of every Arrow batch, whose last column is a text.
+
+    With ``state``, ``work`` also gets what that made for the task, and ``rest`` turns it into a last batch.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [state()] if state else []
         for batch in batches:
             if batch.num_rows:
                 yield from (work(portion, *own) for portion in portions(batch))
+        if rest:
+            yield rest(*own)
 
     ship_code(df.sparkSession)
     return df.mapInArrow(run, schema)
