@@ -1,6 +1,11 @@
 """Whole runs: snapshot import, change gate, service registry, record planning."""
 
 import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +14,7 @@ from ledgerline.operators import changes as C
 from ledgerline.plans import migration as M
 from ledgerline.plans import names as D
 from ledgerline.plans import services as V
+from ledgerline.session import discard, scratch_path, scratch_scope
 from ledgerline.violations import ValidationError
 from tests.test_migration import ENTITY, chunk, content, edge, job, run
 
@@ -126,3 +132,29 @@ def test_records(spark, rows):
     actual = spark.createDataFrame([("sub.example.com", "a.sub.example.com.", "A", "192.0.2.1"), ("example.com", "b.example.com", "CNAME", "old")], "zone string, domain string, type string, value string")
     planned = rows(D.plan_records(docs.where("doc = 'good'"), actual), "zone", "domain", "action")
     assert planned == [("example.com", "b.example.com", "upsert"), ("sub.example.com", "a.sub.example.com", "unchanged")]
+
+
+@pytest.mark.parametrize("gone", [["ledgerline/llm"], ["ledgerline/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_training_data_part(tmp_path, gone):
+    here = Path(__file__).parent.parent
+    shutil.copytree(here / "ledgerline", tmp_path / "ledgerline", ignore=lambda folder, names: {"llm", "__pycache__"} & set(names) if "ledgerline/llm" in gone else set())
+    for name in {"__spark_entry__.py", "corpus_pipeline.py"} - set(gone):
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 160 and set(e.oracle_sql()) <= set(q) and not any(x.startswith('op1_') or x == 'pipeline' for x in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_scratch_scope_deletes_after_success_only(spark):
+    kept = scratch_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with scratch_scope(spark):
+        gone = scratch_path(spark, "gone")
+        spark.range(3).write.parquet(gone)
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        failed = scratch_path(spark, "failed")
+        spark.range(3).write.parquet(failed)
+        1 / 0
+    assert [os.path.exists(x) for x in (kept, gone, failed)] == [True, False, True]
+    discard(spark, kept, failed, gone)
+    assert not os.path.exists(kept) and not os.path.exists(failed)
