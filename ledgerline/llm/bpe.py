@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Sequence
 from functools import lru_cache
+from hashlib import sha256
 from itertools import pairwise
 from pathlib import Path
 from struct import pack
@@ -19,11 +21,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.workers import Cache, map_batches, once, share
 
-#: Pieces whose ids a worker remembers (at most twice as many), and checked pairs of tokens.
-CACHE_PIECES = 120_000
-CACHE_PAIRS = 100_000
+#: Pre-tokens, and pieces between blanks of unusual texts, whose ids a worker remembers (at most twice as many), and checked pairs of tokens.
+CACHE_WORDS = 250_000
+CACHE_PIECES = 20_000
+CACHE_PAIRS = 300_000
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Texts of these characters are split by USUAL_SPLIT, which is the pattern above for them.
+USUAL = re.compile(r"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
+USUAL_SPLIT = re.compile(r""" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^ \t\n\r0-9A-Za-zÀ-ÖØ-öø-ÿ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+""")
 #: A blank that is followed by white space or ends the text: such texts are cut by CUT instead of at every blank.
 LOOSE_BLANK = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r"(?= \S)")
@@ -87,6 +93,7 @@ class Encoder:
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.fits = Cache(self._fits, CACHE_PAIRS)
+        self.words_seen = Cache(self._word, CACHE_WORDS)
         self.pieces = Cache(self._piece, CACHE_PIECES)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
@@ -152,12 +159,13 @@ class Encoder:
                 token = self._next_shorter(back)
         return taken
 
-    def _words(self, text: str) -> bytes:
-        ids: list[int] = []
-        for word in [text] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else SPLIT.findall(text):
-            ids += self.encode_word(word.encode().decode("latin-1"))
+    def _word(self, word: str) -> bytes:
+        ids = self.encode_word(word.encode().decode("latin-1"))
         return pack(f"<{len(ids)}I", *ids)
 
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.words_seen.__getitem__, SPLIT.findall(text)))
+
     def _piece(self, piece: str) -> bytes:
         """Packed ids of a piece: without white space it stands for itself after a blank, else as it is."""
         if line := LINE.fullmatch(piece):  # a line break between words stands alone
@@ -165,9 +173,11 @@ class Encoder:
         return self._words(piece if piece[0].isspace() else f" {piece}")
 
     def _plain(self, text: str) -> bytes:
-        """A pre-token begins at every blank before a character that is no white space, so texts are cut there."""
+        """Usual texts are split as a whole; others are cut at every blank before a character that is no white space, where a pre-token begins."""
         if not text:
             return b""
+        if USUAL.fullmatch(text):
+            return b"".join(map(self.words_seen.__getitem__, USUAL_SPLIT.findall(text)))
         if LOOSE_BLANK.search(text):
             return b"".join(map(self._words, CUT.split(text)))
         first, _, rest = text.partition(" ")
@@ -201,26 +211,36 @@ def encoder(packed: bytes) -> Encoder:
     return once(("bpe", zlib.crc32(packed)), lambda: Encoder(zlib.decompress(packed).decode()))
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts and decode the ids again: id, n_tokens, ids (packed, little-endian), decoded.
+#: What ``round_trip`` can give: Arrow type, and the value from (packed ids, decode).
+OUTPUTS = {
+    "n_tokens": ("bigint", pa.int64(), lambda ids, text: len(ids) // 4),
+    "ids": ("binary", pa.binary(), lambda ids, text: ids),
+    "ids_sha256": ("string", pa.string(), lambda ids, text: sha256(ids).hexdigest()),
+    "decoded": ("string", pa.string(), lambda ids, text: text),
+    "decoded_sha256": ("string", pa.string(), lambda ids, text: sha256(text.encode()).hexdigest()),
+}
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: Sequence[str] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """Encode whole texts and decode the ids again: id and ``outputs``, any of n_tokens, ids (packed, little-endian), decoded, and digests of both.
 
-    Every row is worked on by itself where it is read; nothing is shuffled.  The file is read by the
-    driver and broadcast, which its size bounds.  Null texts count as empty and give no tokens.
-    Repeated rows and null ids keep their rows, other columns are not read.
+    Every row is worked on by itself where it is read; nothing is shuffled.  Digests are taken there, so texts and ids go
+    back only if they are asked for.  The file is read by the driver and broadcast, which its size bounds.  Null
+    texts count as empty and give no tokens.  Repeated rows and null ids keep their rows, other columns are not read.
     """
     packed = share(docs.sparkSession, read_vocabulary(path))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = encoder(packed.value)
-        ids = [model.encode(text) for text in batch.column(1).to_pylist()]
-        columns = [
-            batch.column(0),
-            pa.array([len(x) // 4 for x in ids], pa.int64()),
-            pa.array(ids, pa.binary()),
-            pa.array([model.decode(x) for x in ids], pa.string()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "decoded"])
+        found: list[list] = [[] for _ in outputs]
+        for text in batch.column(1).to_pylist():
+            ids = model.encode(text)
+            decoded = model.decode(ids)
+            for values, name in zip(found, outputs, strict=True):
+                values.append(OUTPUTS[name][2](ids, decoded))
+        columns = [pa.array(values, OUTPUTS[name][1]) for values, name in zip(found, outputs, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *outputs])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows, work, f"id {kind}, n_tokens bigint, ids binary, decoded string").withColumnRenamed("id", id_col)
+    kinds = [f"id {rows.schema['id'].dataType.simpleString()}", *[f"{name} {OUTPUTS[name][0]}" for name in outputs]]
+    return map_batches(rows, work, ", ".join(kinds)).withColumnRenamed("id", id_col)

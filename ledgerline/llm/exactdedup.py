@@ -19,7 +19,7 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # what all stores of an executor hold in memory outside the heap; the rest is on disk
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 STATE = "digest {digest}, keep {id}, keep_file string, keep_place bigint, rows bigint"
 

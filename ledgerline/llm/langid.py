@@ -355,7 +355,8 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
     # a text that is carried goes to the worker and back once, in front as a part of its row
     own = [name for name in carry if name != text_col]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{name}`") for name in own]).alias("row"), F.col(text_col).alias("text"))
+    row = F.struct(*[F.col(f"`{name}`") for name in own]) if own else F.struct(F.lit(0))
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     found = "lang_pred string, score double, runs array<struct<lang:string,words:bigint>>"
     if text_col not in carry:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
+import sys
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -12,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 import ledgerline
-from ledgerline.session import scratch_path
+from ledgerline.session import shared_root
 
 
 class Cache(dict):
@@ -41,6 +45,7 @@ class Cache(dict):
 
 
 _MADE: dict = {}
+_OWNER: list[str] = []
 
 
 def once(key, make: Callable):
@@ -51,13 +56,25 @@ def once(key, make: Callable):
     return _MADE[key]
 
 
+def enter(owner: str) -> None:
+    """A worker that goes on to other work lets go of what the work before has made, and gives its memory back."""
+    if _OWNER == [owner]:
+        return
+    _OWNER[:] = [owner]
+    if _MADE:
+        _MADE.clear()
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that workers find it wherever they run.
 
-    The archive lies in the shared folder.
+    The archive stays in the shared folder, where executors that start later find it.
     """
     application = spark.sparkContext.applicationId
     if application in _SHIPPED:
@@ -67,7 +84,7 @@ def ship_code(spark: SparkSession) -> None:
     with zipfile.ZipFile(archive, "w") as target:
         for source in sorted(root.rglob("*.py")):
             target.writestr(str(source.relative_to(root.parent)), source.read_bytes())
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'code')}/ledgerline.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/code-{uuid.uuid4().hex}/ledgerline.zip")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = store.create(path)
     out.write(bytearray(archive.getvalue()))
@@ -104,6 +121,7 @@ def map_batches(df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str,
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(f"{work.__module__}.{work.__qualname__}")
         own = [state()] if state else []
         for batch in batches:
             if batch.num_rows:

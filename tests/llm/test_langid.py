@@ -105,3 +105,11 @@ def test_many_labels_in_small_steps(documents, monkeypatch):
     assert np.allclose(L.fit(samples).weights, whole.weights)
     again = [x[:2] for x in L.Labeller(whole).label(texts)]
     assert [lang for lang, _ in again] == names and np.allclose([x for _, x in again], [x for _, x in found])
+
+
+def test_a_column_named_as_a_placeholder(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(L, "SEQUENCES", 100)
+    docs = documents([(i, prose(["xx", "yy"][i % 2], 60, i), ["xx", "yy"][i % 2], "s") for i in range(20)]).withColumns({"_": F.lit(7), "row": F.lit("r"), "col1": F.lit(1)})
+    found = L.identify(docs, F.lit(True), carry=docs.columns)
+    assert {(r.row["_"], r.row["row"], r.lang_pred == r.row.lang) for r in found.collect()} == {(7, "r", True)}
+    assert L.identify(docs, F.lit(True), carry=["text"]).count() == 20

@@ -127,3 +127,20 @@ def test_query_digests(spark, documents, tmp_path):
     assert rows[2].n_tokens == 0 and rows[2].ids_sha256 == hashlib.sha256(b"").hexdigest()
     limits = {r.doc_id: r.over_limit for r in queries.QUERIES["op1_token_counts"](spark, str(tmp_path)).collect()}
     assert limits == {1: False, 2: False}
+
+
+def test_usual_texts_are_split_alike():
+    draw = random.Random(4)
+    letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xF8, 0x100)]] + list("  \n\t\r''sdtrevml  \n")
+    for _ in range(4000):
+        text = "".join(draw.choices(letters, k=draw.randint(0, 40)))
+        assert bpe.USUAL.fullmatch(text) and bpe.USUAL_SPLIT.findall(text) == bpe.SPLIT.findall(text)
+
+
+def test_outputs_of_the_round_trip(spark, documents):
+    rows = documents([(1, "Hello there"), (2, None)])
+    names = ["decoded_sha256", "ids_sha256", "ids", "decoded", "n_tokens"]
+    found = bpe.round_trip(rows, BPE_FILE, outputs=names)
+    assert found.columns == ["doc_id", *names]
+    for r in found.collect():
+        assert r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
