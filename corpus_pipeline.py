@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, exactdedup, langid, mixing, simhash
-from ledgerline.session import scratch_path
+from ledgerline.session import discard, scratch_path, scratch_scope
 
 SHINGLE_WORDS, RADIUS = 3, 3
 MIX_WEIGHTS, MIX_SEED = [5, 2, 1], 42
 VOCABULARY = "byte_bpe_50k.json"
-ROWS_PER_BATCH = 1_000
+BATCH_ROWS, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole rows go through Python workers here, so fewer of them at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """Whole rows go through Python workers here, so fewer of them at a time.  ``run`` puts the setting back."""
+    spark.conf.set(BATCH_ROWS, ROWS_PER_BATCH)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document taken, packed as little-endian 32-bit integers, and the digest of the text they decode to."""
     small_batches(spark)
-    done = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
-    return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), outputs=["n_tokens", "ids", "decoded_sha256"])
 
 
 STAGES = [
@@ -74,11 +73,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        done = stage(spark, rows, sf_dir)
-        done.write.parquet(path)
-        rows = spark.read.schema(done.schema).parquet(path)
+    """All stages over the documents of a folder.
+
+    A stage's rows, and whatever it kept in the shared folder, are deleted once the next stage is written; the last
+    rows stay, since the result reads them.  The session's batch size is put back.
+    """
+    rows, before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
+    batch_rows = spark.conf.get(BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"pipeline-{name}")
+            with scratch_scope(spark):
+                done = stage(spark, rows, sf_dir)
+                done.write.parquet(path)
+            if before:
+                discard(spark, before)
+            rows, before = spark.read.schema(done.schema).parquet(path), path
+    finally:
+        spark.conf.set(BATCH_ROWS, batch_rows)
     return rows
