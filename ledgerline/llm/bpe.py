@@ -25,6 +25,8 @@ from ledgerline.llm.workers import Cache, map_batches, once, share
 CACHE_WORDS = 250_000
 CACHE_PIECES = 20_000
 CACHE_PAIRS = 300_000
+#: Rests of words whose longest first token a worker remembers.
+CACHE_REST = 100_000
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Texts of these characters are split by USUAL_SPLIT, which is the pattern above for them.
@@ -89,7 +91,9 @@ class Encoder:
         for content_, i in self.special.items():
             texts[i] = content_.encode()
         self.longest = max(map(len, self.words))
-        self.shorter: dict[int, int] = {}
+        self.lengths = list(map(len, self.words))
+        self.shorter = [self._prefix(word, len(word) - 1) for word in self.words]
+        self.first = Cache(lambda rest: self._prefix(rest, self.longest), CACHE_REST, longest=32)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.fits = Cache(self._fits, CACHE_PAIRS)
@@ -105,6 +109,8 @@ class Encoder:
         merged from left to right, so the right side is undone first and a tie goes to the border.
         """
         a, b = pair
+        if a < 0:  # nothing stands before
+            return True
         until = len(self.merged)
         while True:
             if self.merged.get((a, b), until) < until:
@@ -124,39 +130,30 @@ class Encoder:
                 return found
         return -1
 
-    def _next_shorter(self, token: int) -> int:
-        found = self.shorter.get(token)
-        if found is None:
-            word = self.words[token]
-            found = self.shorter[token] = self._prefix(word, len(word) - 1)
-        return found
-
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token, given as Latin-1 letters for its bytes."""
         found = [token for _, token in self.matcher.iter_long(word)]
-        fits, words = self.fits, self.words
+        fits = self.fits
         pairs = list(map(fits.__getitem__, pairwise(found)))
         if False not in pairs:
             return found
+        lengths, shorter, first, longest, size = self.lengths, self.shorter, self.first, self.longest, len(word)
         sound = pairs.index(False) + 1
-        closed = bytearray(len(word) + 1)
-        taken, token = found[:sound], found[sound]
-        at = sum(len(words[x]) for x in taken)
-        while at < len(word):
-            while token >= 0:
-                end = at + len(words[token])
-                if not closed[end] and (not taken or fits[taken[-1], token]):
-                    break
-                token = self._next_shorter(token)
+        taken, token, last = found[:sound], found[sound], found[sound - 1]
+        closed = bytearray(size + 1)
+        at = sum(map(lengths.__getitem__, taken))
+        while at < size:
+            while token >= 0 and (closed[at + lengths[token]] or not fits[last, token]):
+                token = shorter[token]
             if token >= 0:
                 taken.append(token)
-                at = end
-                token = self._prefix(word[at : at + self.longest], self.longest)
+                at += lengths[token]
+                last, token = token, first[word[at : at + longest]]
             else:
                 closed[at] = 1
-                back = taken.pop()
-                at -= len(words[back])
-                token = self._next_shorter(back)
+                at -= lengths[last]
+                token = shorter[taken.pop()]
+                last = taken[-1] if taken else -1
         return taken
 
     def _word(self, word: str) -> bytes:

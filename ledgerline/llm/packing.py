@@ -20,7 +20,7 @@ from ledgerline.llm.workers import Cache, map_batches, once, share
 from ledgerline.session import durable
 
 #: Words, and pieces between blanks that go to the library, whose ids a worker remembers (at most twice as many).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHE_PIECES = 20_000
 #: Characters of a text that are split at a time.
 BLOCK = 1 << 20
@@ -29,6 +29,8 @@ USUAL = re.compile(r"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
 #: Fixed settings of the tokenizer files that are supported.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Lines of letters, blanks and single stops and commas, which blanks part as well.
+PLAIN = re.compile(r"(?:[a-zß-öø-ÿ \t\r]++|[.,](?![.,]))*+")
 #: The pattern for lower-case text without unusual characters.
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\ra-zß-öø-ÿ0-9]+")
 #: Ranks stay under this in the lookup of runs.
@@ -64,9 +66,12 @@ class WordTokens:
 
     def _simple(self, text: str) -> bytes | None:
         """Ids of a text without unusual characters and added tokens, None for others."""
-        if USUAL.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.words.__getitem__, PARTS.findall(text.lower())))
-        return None
+        if not USUAL.fullmatch(text) or "<|" in text:
+            return None
+        words: list[str] = []
+        for line in text.lower().split("\n"):
+            words += line.replace(".", " . ").replace(",", " , ").split() if PLAIN.fullmatch(line) else PARTS.findall(line)
+        return b"".join(map(self.words.__getitem__, words))
 
     def _piece(self, piece: str) -> bytes:
         done = self._simple(piece)
