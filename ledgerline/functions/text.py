@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,9 +129,102 @@ def leaks(col: Column) -> Column:
     return let(col, found)
 
 
+def number_text(value: Column, kind: T.DataType) -> Column:
+    """A float or double as JSON text: the fewest digits that read back as the same number.
+
+    It is written out from 0.0001 up to below 1e16, always with a decimal point, and else with an exponent of a sign and two
+    digits or more (``1e+16``).  The JVM's own text may have a digit too many; a digit goes as long as the rounded number is read
+    back as the same.  Of several texts with 17 digits for one number, JVMs before 19 do not always take the nearest; ``canonical_json`` mends
+    that.  Infinities and NaN are text as before.
+    """
+    name = kind.simpleString()
+
+    def shorter(state: Column) -> Column:
+        digits, power = F.call_function("div", state["digits"] + 5, F.lit(10)), state["power"] + 1
+        same = F.concat(digits.cast("string"), F.lit("E"), power.cast("string")).cast(name) == state["size"]
+        return F.struct(F.when(same, digits).otherwise(state["digits"]).alias("digits"), F.when(same, power).otherwise(state["power"]).alias("power"), state["size"].alias("size"))
+
+    def read(text: Column) -> Column:
+        fraction = F.regexp_extract(text, r"\.([0-9]+)", 1)
+        digits = F.concat(F.regexp_extract(text, r"([0-9]+)\.", 1), fraction).cast("bigint")
+        power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0)) - F.length(fraction)
+        return F.struct(digits.alias("digits"), power.alias("power"), F.regexp_replace(text, "^-", "").cast(name).alias("size"))
+
+    def laid_out(state: Column) -> Column:
+        whole = state["digits"].cast("string")
+        digits = F.regexp_replace(whole, "0+$", "")
+        point = F.length(whole) + state["power"]  # digits before the decimal point
+        n = F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+        large = F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0"))
+        mixed = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n))
+        power = point - 1
+        size = F.abs(power).cast("string")
+        exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size))
+        long = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), exponent)
+        fixed = F.when(point <= 0, small).when(n <= point, large).otherwise(mixed)
+        return F.when(state["digits"] == 0, F.lit("0.0")).when(power.between(-4, 15), fixed).otherwise(long)
+
+    def shown(text: Column) -> Column:
+        number = let(let(let(let(read(text), shorter), shorter), shorter), laid_out)
+        plain = F.concat(F.when(text.startswith("-"), "-").otherwise(""), number)
+        return F.when(text.isin("NaN", "Infinity", "-Infinity"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(plain)
+
+    return let(value.cast("string"), shown)
+
+
+def _holds(kind: T.DataType, wanted: tuple[type, ...]) -> bool:
+    """Whether a type is or holds one of the wanted ones."""
+    if isinstance(kind, T.StructType):
+        return any(_holds(field.dataType, wanted) for field in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, wanted)
+    return _holds(kind.valueType, wanted) if isinstance(kind, T.MapType) else isinstance(kind, wanted)
+
+
 def canonical_json(value: Column, schema: T.DataType) -> Column:
-    """JSON text with keys sorted at every level and no spaces; null fields are kept."""
-    return F.to_json(_sorted(value, schema), {"ignoreNullFields": "false"})
+    """JSON text with keys sorted at every level and no spaces; null fields are kept, numbers are as in ``number_text``.
+
+    Lines that hold a number of 17 digits, and only those, go through an Arrow batch that takes the nearest text for each.
+    """
+    text = F.when(value.isNotNull(), _json(value, schema))
+    if not _holds(schema, (T.DoubleType,)) or _holds(schema, (T.DecimalType,)):
+        return text
+    long = text.rlike(r"[0-9][0-9.]{17}")
+    return F.when(long, _nearest_texts(F.when(long, text))).otherwise(text)
+
+
+_NUMBER_OR_TEXT = re.compile(r'"(?:[^"\\]|\\.)*"|-?[0-9]+\.[0-9]+(?:e[+-][0-9]+)?|-?[0-9]+e[+-][0-9]+')
+
+
+@F.pandas_udf(T.StringType())
+def _nearest_texts(lines: pd.Series) -> pd.Series:
+    """JSON lines with the nearest shortest text for every float."""
+    one = lambda match: match[0] if match[0][0] == '"' else repr(float(match[0]))
+    return lines.map(lambda line: _NUMBER_OR_TEXT.sub(one, line), na_action="ignore")
+
+
+def _json(value: Column, kind: T.DataType) -> Column:
+    """The text of a value: only what holds floats is put together here, the rest is written by Spark."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = number_text(value, kind)
+    elif not _holds(kind, (T.DoubleType, T.FloatType)):
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            text = F.to_json(_sorted(value, kind), {"ignoreNullFields": "false"})
+        else:  # to_json takes no plain values
+            whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+            text = F.substring(whole, F.lit(6), F.length(whole) - 6)
+    elif isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda field: field.name)
+        parts = [x for field in fields for x in (F.lit("," + json.dumps(field.name, ensure_ascii=False) + ":"), _json(value.getField(field.name), field.dataType))]
+        text = F.concat(F.lit("{" + json.dumps(fields[0].name, ensure_ascii=False) + ":"), *parts[1:], F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda item: _json(item, kind.elementType)), ","), F.lit("]"))
+    else:
+        keys = F.array_sort(F.map_keys(value))
+        entry = lambda key: F.concat(_json(key.cast("string"), T.StringType()), F.lit(":"), _json(value[key], kind.valueType))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(keys, entry), ","), F.lit("}"))
+    return F.when(value.isNull(), F.lit("null")).otherwise(text)
 
 
 def _sorted(value: Column, kind: T.DataType) -> Column:

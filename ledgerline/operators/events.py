@@ -132,6 +132,13 @@ def check_journal(events: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def event_id(part: str, sequence: Column) -> Column:
+    """ST4: a part's name and the number in it, of six digits at least."""
+    digits = sequence.cast("string")
+    text = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+    return F.concat(F.col(part).cast("string"), F.lit("-"), text)
+
+
 def assign_sequence(events: DataFrame, part: str, order: list[str]) -> DataFrame:
     """ST4: every event with its ``sequence`` in its part, from 1, and the ``event_id`` that follows from it.
 
@@ -145,9 +152,7 @@ def assign_sequence(events: DataFrame, part: str, order: list[str]) -> DataFrame
     before = F.sum("_n").over(Window.partitionBy(part).orderBy("_pid")) - F.col("_n")
     starts = pieces.withColumn("_before", before).select(part, "_pid", "_first", "_before")
     numbered = placed.join(starts, [part, "_pid"]).withColumn("sequence", F.col("_before") + F.col("_place") - F.col("_first") + 1)
-    digits = F.col("sequence").cast("string")
-    text = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
-    return numbered.withColumn("event_id", F.concat(F.col(part).cast("string"), F.lit("-"), text)).drop("_pid", "_place", "_first", "_before")
+    return numbered.withColumn("event_id", event_id(part, F.col("sequence"))).drop("_pid", "_place", "_first", "_before")
 
 
 def check_lifecycle(events: DataFrame, part: list[str], seq: str, is_start: Column, is_terminal: Column) -> DataFrame:

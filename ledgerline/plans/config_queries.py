@@ -425,6 +425,27 @@ def normalize_json(t):
     return t.events.select("event_id", N.normalize_json(nested).alias("j")).select("event_id", "j.*")
 
 
+@query(
+    "normalize_numbers",
+    """
+SELECT o_orderkey, CASE o_orderkey % 4
+    WHEN 0 THEN '{"a":' || o_orderkey || '.0,"long":' || repeat('1234567890', 5) || o_orderkey || '}'
+    WHEN 1 THEN '{"deep":[{"x":' || CAST(o_totalprice * 1e12::DOUBLE AS VARCHAR) || '}]}'
+    WHEN 2 THEN '{"x":' || CAST(o_totalprice / 1e9::DOUBLE AS VARCHAR) || ',"y":' || CAST(o_totalprice AS VARCHAR) || '}' END AS value,
+  CASE o_orderkey % 4 WHEN 3 THEN 'non-finite numeric value' END AS error FROM orders""",
+)
+def normalize_numbers(t):
+    """P4 on whole numbers of over 50 digits, doubles of any size in other notations, and numbers beyond a double."""
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice")
+    long = F.concat(F.lit('{"long": '), F.repeat(F.lit("1234567890"), 5), key, F.lit(', "a": '), key, F.lit(".0}"))
+    large = F.concat(F.lit('{"deep": [{"x": '), (price * F.lit(1e12)).cast("string"), F.lit("}]}"))
+    small = F.concat(F.lit('{"y": '), price.cast("string"), F.lit(', "x": '), (price / F.lit(1e9)).cast("string"), F.lit("}"))
+    beyond = F.concat(F.lit('{"x": '), key, F.lit("e400}"))
+    kind = F.col("o_orderkey") % 4
+    text = F.when(kind == 0, long).when(kind == 1, large).when(kind == 2, small).otherwise(beyond)
+    return t.orders.select("o_orderkey", N.normalize_json(text).alias("j")).select("o_orderkey", "j.*")
+
+
 @query(
     "vector_literal",
     """

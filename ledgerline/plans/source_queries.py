@@ -11,6 +11,7 @@ from ledgerline.operators.integrity import ForeignKey, row_counts
 from ledgerline.plans.registry import query
 from ledgerline.session import durable, scratch_path
 from ledgerline.sources import files as S
+from ledgerline.sources import generations as G
 from ledgerline.sources import records as D
 from ledgerline.sources import snapshot as N
 
@@ -269,3 +270,45 @@ def snapshot_keyvalue_violations(t):
 @query("relational_scan", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
 def relational_scan(t):
     return D.read_relational(t.spark, t.folder, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name")
+
+
+@query(
+    "load_recovery",
+    """
+WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus = 'F' AS first FROM orders),
+l AS (SELECT l_orderkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, first FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+one AS (SELECT 'orders' AS "table", count(*) AS n, sum(cents) AS cents FROM o WHERE first UNION ALL SELECT 'lines', count(*), sum(cents) FROM l WHERE first),
+two AS (SELECT 'orders' AS "table", count(*) AS n, sum(cents) AS cents FROM o UNION ALL SELECT 'lines', count(*), sum(l.cents) FROM l)
+SELECT step, "table", n, CAST(cents AS BIGINT) AS cents FROM (SELECT 'first' AS step, * FROM one UNION ALL SELECT 'broken off', * FROM one UNION ALL SELECT 'resumed', * FROM two UNION ALL SELECT 'rolled back', * FROM one)""",
+)
+def load_recovery(t):
+    """A load of some orders; a larger one that dies between two tables, is gone on with, and is taken back."""
+    spark, target = t.spark, scratch_path(t.spark, "generations")
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("kind"))
+    lines = t.lineitem.select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("order_id"), F.col("l_extendedprice").alias("price"))
+    closed = orders.where(F.col("kind") == "F")
+    columns = {"orders": {"id": "bigint", "price": "double", "kind": "string", "note": "string"}, "lines": {"id": "int", "order_id": "bigint", "price": "double"}}
+    fks, order = [ForeignKey("lines", "order_id", "orders")], ["orders", "lines"]
+
+    def state(step):
+        folder = G.current_path(spark, target)
+        return [
+            spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("price") * 100).cast("bigint")).alias("cents")).select(F.lit(step).alias("step"), F.lit(name).alias("table"), "n", "cents")
+            for name in order
+        ]
+
+    some = {"orders": closed, "lines": lines.join(closed.select(F.col("id").alias("order_id")), "order_id", "left_semi")}
+    G.load_generation(some, columns, target, order, fks, "closed orders")
+    found = state("first")
+    broken = lines.withColumn("price", F.when(F.col("id") > 0, F.raise_error(F.lit("lost input"))).otherwise(F.col("price")))
+    try:
+        G.load_generation({"orders": orders, "lines": broken}, columns, target, order, fks, "all orders")
+    except Exception as error:  # noqa: BLE001  Spark's own error for the failed job
+        if "lost input" not in str(error):
+            raise
+    found += state("broken off")
+    G.load_generation({"orders": orders, "lines": lines}, columns, target, order, fks, "all orders")
+    found += state("resumed")
+    G.roll_back(spark, target)
+    found += state("rolled back")
+    return reduce(DataFrame.unionByName, found)

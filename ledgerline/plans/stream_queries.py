@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import events as E
 from ledgerline.plans.registry import query
 from ledgerline.plans.text_queries import redact_sql
-from ledgerline.session import scratch_path
+from ledgerline.session import discard, file_names, scratch_path
 from ledgerline.streaming import logs as L
+from ledgerline.streaming.numbering import NumberedLog, append_numbered
+from ledgerline.streaming.tail import open_store, tail
 
 
 def event_stream(t, df, name, files=None):
@@ -112,3 +116,65 @@ def stream_pairs(t):
     return L.end_of_log(starts, finish(t, paired, "paired"), "command", "ts").select("command", "status")
 
 
+
+
+@query(
+    "stream_numbering",
+    """
+WITH d AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 1 WHEN event_id % 3 = 0 THEN 2 ELSE 3 END AS delivery, strftime(ts, '%Y%m%d') || '-' || user_id AS episode_id FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY delivery, event_id) AS sequence FROM d)
+SELECT event_id AS delivered, episode_id, sequence, episode_id || '-' || lpad(CAST(sequence AS VARCHAR), 6, '0') AS event_id, event_type, delivery, 0 AS changed FROM n""",
+)
+def stream_numbering(t):
+    """Three deliveries, the later ones with smaller keys and with events again; the second batch's commit is lost, so it is replayed."""
+    spark = t.spark
+    episode = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), "user_id")
+    turn = F.when(F.col("event_id") % 2 == 0, 1).when(F.col("event_id") % 3 == 0, 2).otherwise(3)
+    rows = t.events.select(F.col("event_id").alias("delivered"), episode.alias("episode_id"), "event_type", turn.alias("delivery"))
+    inbox, progress = scratch_path(spark, "inbox"), scratch_path(spark, "numbering-progress")
+    log = NumberedLog(spark, scratch_path(spark, "numbered"), "episode_id", ["delivered"], compact_every=2)
+    given = []
+    for number in (1, 2, 3):
+        rows.where(F.col("delivery") <= number).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        append_numbered(L.stream_dedupe(stream, ["delivered"]), log, progress)
+        if number == 2:
+            last = max(file_names(spark, f"{progress}/commits"), key=int)
+            discard(spark, f"{progress}/commits/{last}", f"{progress}/commits/.{last}.crc")
+        given.append(log.rows().select("delivered", F.col("event_id").alias("given")))
+    earlier = given[0].unionByName(given[1])
+    moved = earlier.join(given[2].withColumnRenamed("given", "now"), "delivered").groupBy("delivered").agg(F.count_if(F.col("given") != F.col("now")).cast("int").alias("changed"))
+    return log.rows().drop("batch").join(moved, "delivered", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+
+
+@query(
+    "log_tail",
+    """SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS delivery, 1 AS times FROM events""",
+)
+def log_tail(t):
+    """Log files that grow: half of the lines and a torn one, then the rest; the stream is started again and reads every line once."""
+    spark = t.spark
+    folder, out, progress = (scratch_path(spark, name) for name in ("log", "log-read", "log-progress"))
+    file = F.floor(F.pmod("event_id", F.lit(16)) / 2)
+    rows = t.events.select("event_id", "event_type", file.alias("file"), (F.col("event_id") % 2).alias("half"))
+
+    def writer(whole):
+        def write(part):
+            part = part.sort_values(["half", "event_id"])
+            lines = [json.dumps({"event_id": int(i), "event_type": kind}).encode() + b"\n" for i, kind in zip(part["event_id"], part["event_type"], strict=True)]
+            first = int((part["half"] == 0).sum())
+            text = b"".join(lines if whole else lines[:first]) + (b"" if whole else b"".join(lines[first : first + 1])[:9])
+            store, place = open_store(folder)
+            store.create_dir(place, recursive=True)
+            with store.open_output_stream(f"{place}/{part['file'].iloc[0]}.jsonl") as file:
+                file.write(text)
+            return part[["event_id"]]
+
+        return write
+
+    for number, whole in ((1, False), (2, True)):
+        rows.groupBy("file").applyInPandas(writer(whole), "event_id bigint").write.format("noop").mode("overwrite").save()
+        L.run_to_parquet(tail(spark, folder, split=4096).withColumn("delivery", F.lit(number)), out, progress)
+    read = spark.read.schema("file string, offset bigint, line string, delivery int").parquet(out)
+    found = read.withColumn("row", F.from_json("line", "event_id bigint, event_type string"))
+    return found.groupBy(F.col("row.event_id").alias("event_id"), F.col("row.event_type").alias("event_type"), "delivery").agg(F.count(F.lit(1)).cast("int").alias("times"))

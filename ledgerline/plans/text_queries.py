@@ -289,6 +289,24 @@ def canonical_json(t):
     return rows.select("c_custkey", X.canonical_json(F.struct(*rows.columns), rows.schema).alias("line"))
 
 
+@query(
+    "canonical_numbers",
+    """
+WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice *
+    (CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN 1e12 WHEN 1 THEN 1e-9 WHEN 2 THEN 1e22 WHEN 3 THEN -1e5 WHEN 4 THEN 1e-7 WHEN 5 THEN 1e300 WHEN 6 THEN 1 ELSE 0 END)::DOUBLE AS price FROM lineitem)
+SELECT l_orderkey, l_linenumber, '{"at":[' || CAST(price AS VARCHAR) || ',null],"key":' || l_orderkey || ',"quantity":' || CAST(l_quantity AS VARCHAR) || '}' AS line FROM v""",
+)
+def canonical_numbers(t):
+    """C7 on doubles from 1e-8 to 1e305, in an array and beside other fields."""
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    factor = F.lit(0.0)
+    for at, by in enumerate((1e12, 1e-9, 1e22, -1e5, 1e-7, 1e300, 1.0)):
+        factor = F.when(kind == at, F.lit(by)).otherwise(factor)
+    price = F.array(F.col("l_extendedprice") * factor, F.lit(None).cast("double"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.struct(F.col("l_quantity").alias("quantity"), F.col("l_orderkey").alias("key"), price.alias("at")).alias("row"))
+    return rows.select("l_orderkey", "l_linenumber", X.canonical_json(F.col("row"), rows.schema["row"].dataType).alias("line"))
+
+
 @query(
     "digest_check",
     """

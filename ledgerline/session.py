@@ -66,11 +66,54 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path with its scheme."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, store.makeQualified(place)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place)
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it does not exist; hidden files are left out."""
+    store, place = _store(spark, folder)
+    found = [status.getPath().getName() for status in store.listStatus(place)] if store.exists(place) else []
+    return [name for name in found if name[0] not in "._"]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete folders that are no longer read; those that do not exist are passed over."""
+    """Delete files and folders that are no longer read; those that do not exist are passed over."""
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        store, place = _store(spark, path)
+        store.delete(place, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, in one step."""
+    store, place = _store(spark, path)
+    store.create(place, True).close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: written aside, then renamed over the old one, so that readers see one or the other."""
+    jvm = spark._jvm
+    store, place = _store(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{place.toString()}.{uuid.uuid4().hex}")
+    out = store.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, place, options)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 @contextmanager

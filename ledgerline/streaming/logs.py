@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -101,9 +102,30 @@ def stream_dedupe(events: DataFrame, ids: list[str], ts: str | None = None, dela
     return salted.dropDuplicatesWithinWatermark([*ids, "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(ids)
 
 
+#: State of streams on disk, with a bound on what an executor holds of it in memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB."""
+    old = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all input that is available now and stop."""
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    """Process all input that is available now and stop; state is on disk."""
+    with rocksdb(stream.sparkSession):
+        writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
