@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ledgerline.functions import addresses as A
 from ledgerline.functions import text as X
 from ledgerline.functions.normalize import ipv4_to_long, is_ipv4
 from ledgerline.skew import attach
@@ -41,26 +40,13 @@ def ipv4_allowed(address: Column) -> Column:
     return allowed
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6_finding(candidates: pd.Series) -> pd.Series:
-    """Canonical text of a valid IPv6 literal that is not allowed, else null."""
-    network = ipaddress.ip_network(X.DOCUMENTATION_IPV6)
-    listed = {ipaddress.ip_address(ip) for ip in X.ALLOWED_IPS}
-
-    def one(text):
-        if text is None:
-            return None
-        try:
-            address = ipaddress.IPv6Address(text)
-        except ValueError:
-            return None
-        return None if address in listed or address in network else str(address)
-
-    return candidates.map(one)
-
-
-# Marked so that a filter on the result does not make Spark run the function twice.
-ipv6_finding = _ipv6_finding.asNondeterministic()
+def ipv6_allowed(address: Column) -> Column:
+    """struct(high, low) is one of the listed addresses, or in the documentation range."""
+    allowed = A.ipv6_in(address, X.DOCUMENTATION_IPV6)
+    for ip in X.ALLOWED_IPS:
+        if ":" in ip:
+            allowed = allowed | A.ipv6_equals(address, ip)
+    return allowed
 
 
 def _candidates(text: Column, pattern: str, needed: str) -> Column:
@@ -75,10 +61,11 @@ def ipv4_findings(text: Column) -> Column:
     return F.transform(hits, lambda ip: F.concat(F.lit("non-example IP literal "), ip))
 
 
-def _judge_ipv6(hits: DataFrame) -> DataFrame:
-    """Findings for candidates in column ``_candidate``; Python sees only these strings."""
-    judged = hits.withColumn("address", ipv6_finding("_candidate")).where(F.col("address").isNotNull())
-    return judged.select("path", "line", F.concat(F.lit("non-example IP literal "), F.col("address")).alias("message"))
+def ipv6_findings(text: Column) -> Column:
+    """Messages with the canonical text of the IPv6 literals of a line that are valid and not allowed."""
+    found = F.transform(_candidates(text, X.IPV6_CANDIDATE, ":"), A.ipv6_to_longs)
+    refused = F.filter(found, lambda address: address.isNotNull() & ~ipv6_allowed(address))
+    return F.transform(refused, lambda address: F.concat(F.lit("non-example IP literal "), A.ipv6_text(address)))
 
 
 def scan_ipv4(lines: DataFrame) -> DataFrame:
@@ -90,7 +77,7 @@ def scan_ipv4(lines: DataFrame) -> DataFrame:
 def scan_ipv6(lines: DataFrame) -> DataFrame:
     """C2, IPv6 part."""
     kept = without_marker(lines, X.ALLOW_IP_MARKER)
-    return _judge_ipv6(kept.select("path", "line", F.explode(_candidates(F.col("text"), X.IPV6_CANDIDATE, ":")).alias("_candidate")))
+    return kept.select("path", "line", F.explode(ipv6_findings(F.col("text"))).alias("message"))
 
 
 def scan_ips(lines: DataFrame) -> DataFrame:
@@ -167,18 +154,10 @@ def _scan_once(lines: DataFrame, literal: bool = False, addresses: bool = False,
     open_ip = ~text.contains(X.ALLOW_IP_MARKER)
     if addresses:
         said.append(F.when(open_ip, ipv4_findings(text)).otherwise(empty))
+        said.append(F.when(open_ip, ipv6_findings(text)).otherwise(empty))
     if secrets:
         said.append(secret_findings(text))
-    plain = F.transform(F.concat(*said), lambda m: F.struct(m.alias("message"), F.lit(None).cast("string").alias("candidate")))
-    if not addresses:
-        return lines.select("path", "line", F.explode(plain).alias("hit")).select("path", "line", "hit.message")
-    asked = F.when(open_ip, _candidates(text, X.IPV6_CANDIDATE, ":")).otherwise(empty)
-    both = F.concat(plain, F.transform(asked, lambda c: F.struct(F.lit(None).cast("string").alias("message"), c.alias("candidate"))))
-    hits = lines.select("path", "line", F.explode(both).alias("hit")).select("path", "line", "hit.message", "hit.candidate")
-    # rows with a ready message pass the Arrow function as null candidates
-    judged = hits.withColumn("address", ipv6_finding("candidate"))
-    message = F.coalesce("message", F.concat(F.lit("non-example IP literal "), F.col("address")))
-    return judged.select("path", "line", message.alias("message")).where(F.col("message").isNotNull())
+    return lines.select("path", "line", F.explode(F.concat(*said)).alias("message"))
 
 
 def scan(lines: DataFrame) -> DataFrame:

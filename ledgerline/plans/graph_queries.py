@@ -113,6 +113,18 @@ def waves(t):
     return G.waves(nodes, edges)[0]
 
 
+@query(
+    "waves_parts",
+    "SELECT p_partkey AS node, CAST(CASE WHEN p_partkey % 10 >= 5 THEN 10 - p_partkey % 10 ELSE 6 + p_partkey % 10 END AS INTEGER) AS wave FROM part",
+)
+def waves_parts(t):
+    """Parts by tens: the first five of ten need each other in a row, all ten share a resource, and the last comes first."""
+    key = F.col("p_partkey")
+    nodes = t.part.select(key.alias("node"), F.floor(key / 10).alias("resource"), (-key).alias("ord"))
+    edges = t.part.where(key % 10 < 5).where(key % 10 > 0).select(key.alias("src"), (key - 1).alias("dst"))
+    return G.waves(nodes, edges)[0]
+
+
 @query(
     "waves_unresolved",
     """

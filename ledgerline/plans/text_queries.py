@@ -81,7 +81,7 @@ def scan_ipv4(t):
 
 @query("scan_ips")
 def scan_ips(t):
-    """Both families; candidates with colons go through one Arrow batch function."""
+    """Both families, as column expressions."""
     return S.scan_ips(doc_lines(t))
 
 

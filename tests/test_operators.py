@@ -297,9 +297,35 @@ def test_waves_against_brute_force(spark, rows, seed):
     nodes = spark.createDataFrame([(n, resource[n], i) for i, n in enumerate(order)], "node int, resource int, ord int")
     edges = spark.createDataFrame([(n, m) for n, ms in needs.items() for m in ms], "src int, dst int")
     want, stuck = brute_waves(order, needs, resource)
-    done, left = G.waves(nodes, edges)
-    assert rows(done) == sorted(want.items(), key=repr)
-    assert {r[0] for r in rows(left)} == stuck
+    for part_rows in (G.PART_ROWS, 6, 0):  # parts ordered in a task, both ways side by side, rounds alone
+        done, left = G.waves(nodes, edges, part_rows=part_rows)
+        assert rows(done) == sorted(want.items(), key=repr)
+        assert {r[0] for r in rows(left)} == stuck
+
+
+def test_waves_of_odd_rows(spark, rows):
+    nodes = spark.createDataFrame([("a", None, 2), ("b", None, 1), ("c", "r", None), ("d", "r", None), (None, "r", 0), ("e", "r", 5), ("e", "s", 1), ("f", "t", 1)], "node string, resource string, ord int")
+    edges = spark.createDataFrame([("a", "gone"), ("f", "f"), (None, "a"), ("d", None), ("e", "b"), ("e", "b")], "src string, dst string")
+    for part_rows in (G.PART_ROWS, 0):
+        done, left = G.waves(nodes, edges, part_rows=part_rows)
+        assert rows(done) == [("a", 2), ("b", 1), ("c", 1), ("d", 2), ("e", 2)]
+        assert rows(left) == [("f",)]
+    done, left = G.waves(nodes.limit(0), edges.limit(0))
+    assert rows(done) == rows(left) == [] and done.dtypes == [("node", "string"), ("wave", "int")]
+
+
+def test_parts_of_a_long_chain(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    name = list(range(600))
+    rng.shuffle(name)
+    links = [(name[i], name[i + 1]) for i in range(399)] + [(name[i], name[400]) for i in range(401, 600)]
+    steps = []
+    plain = G.durable
+    monkeypatch.setattr(G, "durable", lambda df: steps.append(1) or plain(df))
+    parts = G.weak_parts(spark.createDataFrame([(n,) for n in name], "node int"), spark.createDataFrame(links, "src int, dst int"))
+    low, high = min(name[:400]), min(name[400:])
+    assert rows(parts) == sorted(((n, low if i < 400 else high) for i, n in enumerate(name)), key=repr)
+    assert len(steps) <= 2 + 12
 
 
 def brute_components(edges):
