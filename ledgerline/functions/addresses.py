@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.functions.normalize import ipv4_to_long, is_ipv4, long_to_ipv4
+from ledgerline.functions.text import let
 
 GROUP = "[0-9A-Fa-f]{1,4}"
 SIDE = rf"(?:{GROUP}(?::{GROUP})*)?"
@@ -17,11 +17,6 @@ SHAPE = rf"\A(?:{GROUP}(?::{GROUP}){{7}}|{SIDE}::{SIDE})\z"
 NO_GROUPS = "array<string>"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _hex(number: Column) -> Column:
     return F.lower(F.hex(number))
 
@@ -64,18 +59,17 @@ def ipv6_to_longs(text: Column) -> Column:
             fits = F.when(at > 0, gap >= 1).otherwise(gap == 0)
             return F.when(fits, F.transform(all_groups, lambda g: F.conv(g, 16, 10).cast("bigint")))
 
-        filled = _bind(F.struct(left.alias("left"), right.alias("right")), fill)
+        filled = let(F.struct(left.alias("left"), right.alias("right")), fill)
         return F.when(plain.rlike(SHAPE), filled)
 
     halves = lambda n: F.when(n.isNotNull(), F.struct(_long(n, 0).alias("high"), _long(n, 4).alias("low")))
-    return _bind(_bind(_plain(text), numbers), halves)
+    return let(let(_plain(text), numbers), halves)
 
 
 def _shorten(text: Column) -> Column:
     """The longest run of two or more zero groups, the first of equal ones, becomes ``::``."""
     run = lambda n: rf"^(?:(.*?):)??0(?::0){{{n - 1}}}(?::(.*))?$"
-    shorter = F.coalesce(*[F.when(text.rlike(run(n)), F.regexp_replace(text, run(n), "$1::$2")) for n in range(8, 1, -1)], text)
-    return shorter
+    return F.coalesce(*[F.when(text.rlike(run(n)), F.regexp_replace(text, run(n), "$1::$2")) for n in range(8, 1, -1)], text)
 
 
 def ipv6_text(address: Column) -> Column:
@@ -86,9 +80,9 @@ def ipv6_text(address: Column) -> Column:
         groups = F.concat_ws(":", *[group(half, shift) for half in ("high", "low") for shift in (48, 32, 16, 0)])
         mapped = (a["high"] == 0) & (F.shiftrightunsigned(a["low"], 32) == 0xFFFF)
         dotted = F.concat(F.lit("::ffff:"), long_to_ipv4(a["low"].bitwiseAND(F.lit(0xFFFFFFFF))))
-        return F.when(a.isNull(), F.lit(None).cast("string")).when(mapped, dotted).otherwise(_bind(groups, _shorten))
+        return F.when(a.isNull(), F.lit(None).cast("string")).when(mapped, dotted).otherwise(let(groups, _shorten))
 
-    return _bind(address, write)
+    return let(address, write)
 
 
 def _halves(number: int) -> tuple[int, int]:

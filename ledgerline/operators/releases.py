@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import natural_key
+from ledgerline.functions.text import natural_key, split_lines
 from ledgerline.skew import attach
 
 
@@ -32,6 +32,12 @@ def identity(version: Column, published: Column, url: Column, assets: Column) ->
     return F.sha2(F.to_json(F.struct(version.alias("v"), published.cast("string").alias("p"), url.alias("u"), listed.alias("a"))), 256)
 
 
+def identified(assets: Column) -> Column:
+    """Every asset has a name and a url; a release without assets passes."""
+    given = lambda value: F.coalesce(value != "", F.lit(False))
+    return F.coalesce(F.forall(assets, lambda a: given(a["name"]) & given(a["url"])), F.lit(True))
+
+
 def identity_changes(first: DataFrame, second: DataFrame, key: str, digest: str = "identity") -> DataFrame:
     """Releases that differ, or exist on one side only, between two reads."""
     a = first.select(key, F.col(digest).alias("_a"))
@@ -116,8 +122,22 @@ def blocks(text: Column, split: str) -> Column:
     return F.split(text, split, -1)
 
 
-def check_lock(text: Column, expected: int, header: str = LOCK_HEADER, split: str = LOCK_SPLIT, digest: str = LOCK_DIGEST, forbidden: str = FORBIDDEN_ORIGIN, needed: tuple[str, ...] = ()) -> Column:
-    """Names of the completeness rules a lock document breaks."""
+def own_pin(text: Column, package: str, version: Column) -> Column:
+    """A line begins with the package and its extras and ends with the version and a continuation mark."""
+    ending = F.concat(F.lit("]=="), version, F.lit(" \\"))
+    lines = split_lines(text)
+    return F.coalesce(F.exists(lines, lambda line: line.startswith(F.lit(f"{package}[")) & line.endswith(ending)), F.lit(False))
+
+
+def check_lock(
+    text: Column, expected: int, header: str = LOCK_HEADER, split: str = LOCK_SPLIT, digest: str = LOCK_DIGEST, forbidden: str = FORBIDDEN_ORIGIN, needed: tuple[str, ...] = (),
+    package: str | None = None, version: Column | None = None, checksum: Column | None = None,
+) -> Column:
+    """Names of the completeness rules a lock document breaks.
+
+    With a ``package`` the document has to pin that package with extras at ``version``, and to hold the
+    package's official ``checksum``; a null checksum (no official one) is not looked for, a null version is never pinned.
+    """
     entries = F.filter(blocks(text, split), lambda block: block.rlike(rf"\A{split}"))
     whole = F.filter(entries, lambda block: block.rlike(rf"\A{header}"))
     rules = [
@@ -127,4 +147,8 @@ def check_lock(text: Column, expected: int, header: str = LOCK_HEADER, split: st
         (text.rlike(forbidden), "forbidden origin"),
         *[(~text.contains(part), f"missing text: {part}") for part in needed],
     ]
+    if package is not None:
+        rules.append((~own_pin(text, package, version), "own pin is missing"))
+    if checksum is not None:
+        rules.append((~text.contains(F.concat(F.lit("--hash=sha256:"), checksum)), "own digest is missing"))
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules]))

@@ -443,3 +443,27 @@ def lock_check(t):
     text = F.concat_ws("\n", X.split_lines(F.col("text")))
     broken = L.check_lock(text, 2, rf"(?m){head}", rf"(?m)(?={head})", "[0-9]", "@")
     return docs(t, "doc_id", "text").select("doc_id", F.array_join(broken, "; ").alias("broken"))
+
+
+@query(
+    "lock_own_pin",
+    """
+WITH d AS (SELECT p_partkey, p_size AS version, CASE WHEN p_partkey % 6 > 0 THEN sha256(p_name) END AS checksum, concat(
+  'alpha==1.0 \\', chr(10), '    --hash=sha256:', sha256(p_brand), chr(10),
+  CASE WHEN p_partkey % 4 = 0 THEN 'tool-kit' ELSE 'tool' END, '[web]==', p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END, ' \\', chr(10),
+  '    --hash=sha256:', CASE WHEN p_partkey % 5 = 0 THEN sha256(p_type) ELSE sha256(p_name) END) AS text FROM part)
+SELECT p_partkey, concat_ws('; ',
+  CASE WHEN NOT regexp_matches(text, concat('(^|\\n)tool\\[[^\\n]*\\]==', version, ' \\\\(\\n|$)')) THEN 'own pin is missing' END,
+  CASE WHEN NOT contains(text, '--hash=sha256:' || checksum) THEN 'own digest is missing' END) AS broken FROM d""",
+)
+def lock_own_pin(t):
+    """Lock documents made from parts; some pin another version, a package of a longer name, or another digest than the official one."""
+    key = F.col("p_partkey")
+    text = F.concat(
+        F.lit("alpha==1.0 \\\n    --hash=sha256:"), F.sha2("p_brand", 256), F.lit("\n"),
+        F.when(key % 4 == 0, F.lit("tool-kit")).otherwise(F.lit("tool")), F.lit("[web]=="), F.col("p_size") + F.when(key % 3 == 0, 1).otherwise(0), F.lit(" \\\n"),
+        F.lit("    --hash=sha256:"), F.when(key % 5 == 0, F.sha2("p_type", 256)).otherwise(F.sha2("p_name", 256)),
+    )
+    official = F.when(key % 6 > 0, F.sha2("p_name", 256))
+    broken = L.check_lock(text, 2, package="tool", version=F.col("p_size").cast("string"), checksum=official)
+    return t.part.select("p_partkey", F.array_join(broken, "; ").alias("broken"))

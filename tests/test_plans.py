@@ -1,5 +1,6 @@
 """Whole runs: snapshot import, change gate, service registry, record planning."""
 
+import datetime
 import json
 import os
 import shutil
@@ -114,6 +115,29 @@ def test_registry_rules(spark, rows):
     assert picked == {("unknown service", "x"), ("duplicate selection", "c"), ("conflict", "b"), ("conflict", "c"), ("missing dependency", "b"), ("missing dependency", "c")}
 
 
+def test_confirmed_releases(spark, rows):
+    from ledgerline.plans import releases as P
+
+    kinds = "target string, version string, published_at timestamp_ntz, draft boolean, prerelease boolean, url string, assets array<struct<name: string, url: string, id: bigint>>, checksum string"
+    old, new = datetime.datetime(2020, 1, 1), datetime.datetime(2020, 2, 1)
+
+    def read(changed):
+        one = lambda target, assets=(("x", "u", 1), ("y", "v", None)), draft=False, checksum="c", when=new: (target, "2", when, draft, False, "w", list(assets), checksum)
+        made = [one("same", (("y", "v", None), ("x", "u", 1)) if changed else (("x", "u", 1), ("y", "v", None))), one("asset", (("x", "u", 2 if changed else 1),)), one("gone", draft=changed)]
+        made += [one("proof", checksum="d" if changed else "c"), one("nameless", (("", "u", 1),)), one("time", when=old if changed else new), one("none", ()), one("pinned", draft=changed)]
+        return spark.createDataFrame([*made, one("older", when=new, draft=changed), ("older", "1", old, False, False, "w", [], "c")], kinds)
+
+    pins = spark.createDataFrame([(n, "2" if n == "pinned" else "0", True) for n in ("same", "asset", "gone", "proof", "nameless", "time", "none", "pinned", "older", "absent")], "target string, current string, is_default boolean")
+    now = F.lit("2021-01-01 00:00:00").cast("timestamp_ntz")
+    got = {r[0]: r[1:] for r in rows(P.discover_confirmed(pins, read(False), read(True), now, proofs=("checksum",)), "target", "latest", "status", "detail")}
+    bad = (None, "error", "release changed during re-resolution")
+    assert all(got[name] == bad for name in ("asset", "gone", "proof", "time", "older"))
+    assert got["nameless"] == (None, "error", "release has an unidentified asset")
+    assert got["same"][:2] == got["none"][:2] == ("2", "updated") and got["pinned"][:2] == ("2", "current") and got["absent"][1] == "error"
+    calm = rows(P.discover_confirmed(pins, read(False), read(False), now, proofs=("checksum",)), "target", "status")
+    assert {t for t, status in calm if status == "error"} == {"nameless", "absent"}
+
+
 def test_start_order_shares_resources(spark, rows):
     services = spark.createDataFrame([service("db"), service("web1", [], ["db"], None, "host"), service("web2", [], ["db"], None, "host"), service("job", [], ["off"])], V.SERVICE_SCHEMA)
     chosen = spark.createDataFrame([("web2", 0), ("web1", 1), ("db", 2), ("job", 3)], "name string, ord int")

@@ -176,6 +176,17 @@ def test_lock_rules(spark):
     assert check(good.replace("for x", "")) == ["missing text: for x"]
 
 
+def test_lock_pins_its_own_package(spark):
+    digest = "a" * 64
+    good = f"tool[web,x]==1.0 \\\n    --hash=sha256:{digest}\n"
+    check = lambda text, version="1.0", checksum=digest: value(spark, L.check_lock(F.lit(text), 1, package="tool", version=F.lit(version), checksum=F.lit(checksum)))
+    assert check(good) == check(good, checksum=None) == []
+    assert check(good, version="1.0.1") == check(good, version=None) == ["own pin is missing"]
+    assert check(good, checksum="b" * 64) == ["own digest is missing"]
+    assert check(good.replace("tool[", "tools[")) == ["own pin is missing"]
+    assert check(good.replace("[web,x]", "")) == ["own pin is missing"]
+
+
 def test_link_resolution(spark):
     call = lambda member, link, hard=False: value(spark, P.resolve_link(F.lit(member), F.lit(link), F.lit(hard)))
     assert call("a/b/file", "../c")["path"] == "a/c"
