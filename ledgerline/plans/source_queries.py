@@ -12,6 +12,7 @@ from ledgerline.plans.registry import query
 from ledgerline.session import durable, scratch_path
 from ledgerline.sources import files as S
 from ledgerline.sources import generations as G
+from ledgerline.sources import hashtree as H
 from ledgerline.sources import records as D
 from ledgerline.sources import snapshot as N
 
@@ -312,3 +313,24 @@ def load_recovery(t):
     G.roll_back(spark, target)
     found += state("rolled back")
     return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "inventory_tree_diff",
+    """
+WITH b AS (SELECT 'd' || doc_id AS key, sha256(coalesce(text, '')) AS digest FROM documents),
+a AS (SELECT 'd' || doc_id AS key, CASE WHEN doc_id % 301 = 7 THEN 'new' ELSE sha256(coalesce(text, '')) END AS digest FROM documents WHERE doc_id % 401 <> 9
+  UNION ALL SELECT 'more' || doc_id, 'x' FROM documents WHERE doc_id % 499 = 3)
+SELECT key, CASE WHEN b.digest IS NULL THEN 'added' WHEN a.digest IS NULL THEN 'removed' ELSE 'changed' END AS kind
+FROM b FULL JOIN a USING (key) WHERE a.digest IS DISTINCT FROM b.digest""",
+)
+def inventory_tree_diff(t):
+    """Two stored inventories of all documents, of which few rows differ."""
+    ident, digest = F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    before = t.documents.select(F.concat(F.lit("d"), ident).alias("key"), digest)
+    after = t.documents.where(ident % 401 != 9).select(F.concat(F.lit("d"), ident).alias("key"), F.when(ident % 301 == 7, F.lit("new")).otherwise(digest).alias("digest"))
+    after = after.unionByName(t.documents.where(ident % 499 == 3).select(F.concat(F.lit("more"), ident).alias("key"), F.lit("x").alias("digest")))
+    places = [scratch_path(t.spark, "tree") for _ in range(2)]
+    for inventory, place in zip((before, after), places, strict=True):
+        H.write_tree(inventory, place, depth=1)
+    return H.tree_diff(t.spark, *places)
