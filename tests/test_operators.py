@@ -15,6 +15,7 @@ from ledgerline.operators import network as NW
 from ledgerline.operators import ranking as R
 from ledgerline.operators import releases as L
 from ledgerline.operators import winners as W
+from ledgerline.session import durable
 from ledgerline.skew import attach, hot_keys
 from ledgerline.violations import ValidationError, assert_empty
 
@@ -360,3 +361,21 @@ def test_conflicts(spark, rows):
     assert rows(G.non_reciprocal(edges)) == [("c", "d")]
     assert rows(G.self_edges(edges)) == [("e",)]
     assert rows(G.missing_refs(edges, selected)) == [("c", "d"), ("e", "e")]
+
+
+def test_rounds_of_joins_keep_a_size_that_a_table_can_have(spark):
+    table = spark.range(4).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for _ in range(6):
+        other = table.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        table = durable(table.join(other, "b").select("a", F.col("c").alias("b")))
+        assert int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 64
+    assert sorted(map(tuple, table.collect())) == [(n, n) for n in range(4)]
+
+
+def test_short_rings_end_after_few_rounds(spark, rows, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "durable", lambda df: made.append(durable(df)) or made[-1])
+    edges = [(3 * ring + n, 3 * ring + (n + 1) % 3) for ring in range(300) for n in range(3)] + [(1000 + n, 1001 + n) for n in range(5)]
+    chains = G._chains(spark.createDataFrame(edges, "src long, dst long"))
+    assert rows(chains.where("ring"), "node", "high") == sorted(((n, n // 3 * 3 + 2) for n in range(900)), key=repr)
+    assert len(made) <= 5
