@@ -379,3 +379,18 @@ def test_short_rings_end_after_few_rounds(spark, rows, monkeypatch):
     chains = G._chains(spark.createDataFrame(edges, "src long, dst long"))
     assert rows(chains.where("ring"), "node", "high") == sorted(((n, n // 3 * 3 + 2) for n in range(900)), key=repr)
     assert len(made) <= 5
+
+
+def test_a_node_between_two_circles_is_on_none(spark, rows):
+    edges = [("a", "b"), ("b", "a"), ("a", "m"), ("b", "m"), ("m", "c"), ("m", "d"), ("c", "d"), ("d", "c")]
+    found = rows(G.find_cycles(spark.createDataFrame(edges, "src string, dst string")))
+    assert found == [("a", "b"), ("b", "b"), ("c", "d"), ("d", "d")]
+
+
+def test_labels_reach_far_nodes_in_few_rounds(spark, rows, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "durable", lambda df: made.append(durable(df)) or made[-1])
+    steps = [(n, n + 1) for n in range(99)] + [(n, n + 2) for n in range(98)] + [(99, 0), (98, 0)]
+    found = rows(G._components(spark.createDataFrame(steps, "src long, dst long")))
+    assert found == sorted(((n, found[0][1]) for n in range(100)), key=repr)
+    assert len(made) < 50
