@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.skew import attach
 
+#: Parts that the rows of one large group go to.
+SALTS = 16
+
 
 def _literal_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[part for key, value in mapping.items() for part in (F.lit(key), F.lit(value))])
@@ -92,7 +95,11 @@ def copy_keys(source: DataFrame, target: DataFrame, mapping: dict[str, str], gro
 def project_fields(kv: DataFrame, group: list[str], required: list[str], defaults: dict[str, str]) -> DataFrame:
     """One row per group with a column per field and the sorted list of missing required ones."""
     names = [*required, *defaults]
-    wide = kv.groupBy(*group).agg(*[F.max(F.when(F.col("key") == name, F.col("value"))).alias(name) for name in names])
+    # Spark sorts rows to take the greatest text of a group; it sorts them behind a shuffle, whose parts have a bounded size, not a whole input split.
+    # A group's rows of one split stay together; those of a large group come from many splits and go to up to SALTS parts.
+    rows = kv.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(*group, "_salt")
+    parts = rows.groupBy(*group, "_salt").agg(*[F.max(F.when(F.col("key") == name, F.col("value"))).alias(name) for name in names])
+    wide = parts.groupBy(*group).agg(*[F.max(name).alias(name) for name in names])
     missing = F.array_compact(F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name in sorted(required)]))
     return wide.withColumn("missing", F.array_join(missing, ", ")).withColumns(
         {name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()}

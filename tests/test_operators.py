@@ -394,3 +394,17 @@ def test_labels_reach_far_nodes_in_few_rounds(spark, rows, monkeypatch):
     found = rows(G._components(spark.createDataFrame(steps, "src long, dst long")))
     assert found == sorted(((n, found[0][1]) for n in range(100)), key=repr)
     assert len(made) < 50
+
+
+def test_fields_are_sorted_behind_a_shuffle(spark):
+    kv = spark.range(0, 4000, 1, 4).select((F.col("id") % 1000).alias("g"), F.concat(F.lit("k"), F.col("id") % 3).alias("key"), F.col("id").cast("string").alias("value"))
+    wide = K.project_fields(kv, ["g"], ["k0", "k1"], {"k2": "none"})
+    want = {}
+    for n in range(4000):
+        want.setdefault(n % 1000, {}).setdefault(f"k{n % 3}", []).append(str(n))
+    got = {row.g: row for row in wide.collect()}
+    assert len(got) == 1000
+    for g, fields in want.items():
+        assert [got[g].k0, got[g].k1, got[g].k2] == [max(fields.get("k0", [""])) or None, max(fields.get("k1", [""])) or None, max(fields.get("k2", ["none"]))]
+    plan = wide._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Exchange" in plan.split("Sort [")[-1]
