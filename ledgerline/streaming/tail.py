@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 #: Bytes of a file that one task reads, and of the blocks in which line ends are looked for.
 SPLIT = 32 << 20
 BLOCK = 1 << 20
+#: Tasks of a trigger beyond which a task reads several splits, as long as they are small.
+TASKS = 256
 
 
 class LogPart(InputPartition):
@@ -90,9 +92,12 @@ class TailReader(DataSourceStreamReader):
         before, after = json.loads(start["files"]), json.loads(end["files"])
         self.known = after | getattr(self, "known", {})
         parts: list[InputPartition] = []
+        news = sum(max(0, stop - before.get(name, 0)) for name, stop in after.items())
+        # a task costs more than the reading of a small split, so tasks grow with the news instead of their number
+        step = max(self.split, min(SPLIT, -(-news // (TASKS * self.split)) * self.split))
         for name, stop in sorted(after.items()):
             first = before.get(name, 0)
-            parts += [LogPart(name, first, at, min(at + self.split, stop), stop) for at in range(first, stop, self.split)]
+            parts += [LogPart(name, first, at, min(at + step, stop), stop) for at in range(first, stop, step)]
         return parts
 
     def read(self, partition: LogPart) -> Iterator[tuple]:
@@ -110,7 +115,8 @@ class TailReader(DataSourceStreamReader):
 class LogTail(DataSource):
     """``spark.readStream.format("log_tail").load(folder)``: file, offset, line.
 
-    Options: ``suffix`` of the files (``.jsonl``) and ``split``, the bytes a task reads at a time.  A file that grows is read on from where
+    Options: ``suffix`` of the files (``.jsonl``) and ``split``, the bytes a task reads at least, where a file has them; where more than
+    ``TASKS`` splits are new, a task reads several of them, ``SPLIT`` bytes at most.  A file that grows is read on from where
     the stream stopped, also after a restart from the checkpoint; Spark's file source never reads a file
     again.  Offsets have one number per file of the folder.
     """

@@ -15,7 +15,7 @@ from ledgerline.session import file_names
 from ledgerline.sources import generations as G
 from ledgerline.streaming import logs as L
 from ledgerline.streaming.numbering import NumberedLog
-from ledgerline.streaming.tail import tail
+from ledgerline.streaming.tail import SPLIT, TASKS, TailReader, tail
 from ledgerline.violations import ValidationError
 
 
@@ -146,3 +146,15 @@ def test_a_growing_file_is_read_on(spark, tmp_path):
     append("a.jsonl", b"\nlast\n")
     assert seen() == sorted(first + [("b.jsonl", 0, "ü"), ("a.jsonl", 35, "torn"), ("a.jsonl", 40, "last")])
     assert len(seen()) == 6
+
+
+def test_tasks_of_a_tail_grow_with_its_bytes():
+    sizes = {"a.jsonl": 50_000_000, "b.jsonl": 9_999}
+    reader = TailReader("/nowhere", ".jsonl", 4096)
+    before = {"files": json.dumps({"a.jsonl": 1_000})}
+    parts = reader.partitions(before, {"files": json.dumps(sizes)})
+    assert len(parts) <= TASKS + len(sizes)
+    for name, first, stop in (("a.jsonl", 1_000, 50_000_000), ("b.jsonl", 0, 9_999)):
+        own = [part for part in parts if part.path == name]
+        assert [part.start for part in own] == [first] + [part.end for part in own[:-1]] and own[-1].end == stop
+        assert all(part.end - part.start <= SPLIT and (part.first, part.stop) == (first, stop) for part in own)
