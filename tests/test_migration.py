@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import normalize as N
 from ledgerline.operators import integrity as I
 from ledgerline.plans import migration as M
 from ledgerline.sources import snapshot as S
@@ -161,3 +162,49 @@ def test_load_refuses_unknown_columns_and_dangling_rows(spark, tmp_path):
 def test_incomplete_snapshot_is_refused(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         S.read_manifest(spark, str(tmp_path / "none"))
+
+
+def test_best_edges_are_sorted_out_once(spark, rows):
+    edges = [edge("a", 0.7, "2024-01-01T00:00:00Z"), edge("b", 0.9, "2024-01-03T00:00:00Z")]
+    done = run(spark, content=[content()], entity=[ENTITY], content_entity=edges)
+    for part in (done.tables["content_entity"], done.violations):
+        assert "min_by" not in part._jdf.queryExecution().analyzed().toString()
+    assert rows(done.audits["deduplication"]) == [("a", "b")]
+
+
+@pytest.mark.parametrize(
+    "given, ident, error",
+    [
+        ("content:c_1-x", "c_1-x", False),
+        ("c1", "c1", False),
+        ("content:⟨c1⟩", "c1", False),
+        ("content:c.1", "c.1", False),
+        ("content:", None, True),
+        ("contentc1", "contentc1", False),
+        ("entity:c1", None, True),
+        ("content:c1\n", "c1\n", False),
+        (7, "7", False),
+        ({"tb": "content", "id": "c1"}, "c1", False),
+    ],
+)
+def test_references_of_usual_and_other_forms(spark, given, ident, error):
+    record = F.parse_json(F.lit(json.dumps({"v": given})))
+    got = spark.range(1).select(N.normalize_ref_variant(F.variant_get(record, "$.v", "variant"), "content").alias("r")).first()["r"]
+    assert (got["id"], got["error"] is not None) == (ident, error)
+
+
+def test_times_of_usual_and_other_forms_agree(spark):
+    same = ["2024-05-01T08:00:00.5Z", "2024-05-01 10:00:00.500+02:00", "2024-05-01T08:00:00,5", "20240501T080000.5", "2024-05-01T10:00:00.5000009+0200"]
+    bad = ["2024-05-01T25:00:00Z", "2024-05-01T08:00:00+19:00", "2024-02-30T08:00:00Z", "yesterday", "2024-05-01T08:00:00Z "]
+    frame = spark.createDataFrame([(text,) for text in same + bad], "at string")
+    got = [row["x"] for row in frame.select(N.to_utc(F.col("at")).cast("string").alias("x")).collect()]
+    assert got == ["2024-05-01 08:00:00.5"] * len(same) + [None] * len(bad)
+
+
+def test_snapshot_lines_are_judged_once(spark, rows, tmp_path):
+    done = run(spark, content=[content()], chunk=[chunk("a", "c1", embedding=[1, 2.5, 3])])
+    M.publish(done, str(tmp_path / "snap"))
+    tables, violations = M.check_snapshot(spark, str(tmp_path / "snap"), 3)
+    assert rows(violations) == []
+    assert rows(tables["chunk"], "id", "embedding") == [("a", [1.0, 2.5, 3.0])]
+    assert "from_json" not in violations._jdf.queryExecution().analyzed().toString()
