@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.workers import Cache, map_batches, once, share
 
 #: Pre-tokens, and pieces between blanks of unusual texts, whose ids a worker remembers (at most twice as many), and checked pairs of tokens.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CACHE_PIECES = 10_000
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 150_000
 #: Rests of words whose longest first token a worker remembers.
-CACHE_REST = 100_000
+CACHE_REST = 50_000
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Texts of these characters are split by USUAL_SPLIT, which is the pattern above for them.

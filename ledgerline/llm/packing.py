@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.bpe import byte_letters, read_vocabulary
-from ledgerline.llm.workers import Cache, map_batches, once, share
+from ledgerline.llm.workers import Cache, enter, map_batches, once, share
 from ledgerline.session import durable
 
 #: Words, and pieces between blanks that go to the library, whose ids a worker remembers (at most twice as many).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 CACHE_PIECES = 20_000
 #: Characters of a text that are split at a time.
 BLOCK = 1 << 20
@@ -227,6 +227,7 @@ def pack_documents(
     shared = share(docs.sparkSession, runs[np.lexsort((runs[:, 1], runs[:, 0]))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(f"{__name__}.place")  # the tokenizer and what it remembers are done with
         length, first, bins, fit, offset = shared.value.T
         keys = length * RANKS + first
         for batch in batches:

@@ -118,3 +118,12 @@ def test_empty_table(spark, documents):
 def test_unknown_file_is_refused(spark, documents):
     with pytest.raises(ValueError):
         X.WordTokens(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+
+
+def test_few_words_are_remembered():
+    """Two workers of an executor have to stay in a few hundred MB, whatever number of words they have met."""
+    model = X.WordTokens(open(PATH).read())
+    for number in range(450_000):
+        model.words[str(number)]
+    assert len(model.words) + len(model.words.old) <= 400_000
+    assert model.encode("450000 449999") == model._word("450000"[:0]) + b"".join(model._word(c) for c in "450000449999")
