@@ -54,9 +54,11 @@ class Encoder:
     longest matches are taken from the left; where a neighbour does not fit, shorter prefixes are
     tried and at last the token before is taken back.  A position that was given up is never entered
     again, which keeps the work linear in the length.
+
+    ``remember`` scales what is remembered of words and pairs; it changes time and memory, never the ids.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, remember: float = 1.0):
         spec = json.loads(content)
         model, letters = spec["model"], byte_letters()
         if model["type"] != "BPE" or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
@@ -93,12 +95,12 @@ class Encoder:
         self.longest = max(map(len, self.words))
         self.lengths = list(map(len, self.words))
         self.shorter = [self._prefix(word, len(word) - 1) for word in self.words]
-        self.first = Cache(lambda rest: self._prefix(rest, self.longest), CACHE_REST, longest=32)
+        self.first = Cache(lambda rest: self._prefix(rest, self.longest), int(CACHE_REST * remember), longest=32)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.fits = Cache(self._fits, CACHE_PAIRS)
-        self.words_seen = Cache(self._word, CACHE_WORDS)
-        self.pieces = Cache(self._piece, CACHE_PIECES)
+        self.fits = Cache(self._fits, int(CACHE_PAIRS * remember))
+        self.words_seen = Cache(self._word, int(CACHE_WORDS * remember))
+        self.pieces = Cache(self._piece, int(CACHE_PIECES * remember))
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether the merges leave two tokens apart when they stand side by side.
@@ -203,9 +205,9 @@ def read_vocabulary(path: str) -> bytes:
     return zlib.compress(Path(path).read_bytes())
 
 
-def encoder(packed: bytes) -> Encoder:
+def encoder(packed: bytes, remember: float = 1.0) -> Encoder:
     """This worker's encoder for a compressed tokenizer file."""
-    return once(("bpe", zlib.crc32(packed)), lambda: Encoder(zlib.decompress(packed).decode()))
+    return once(("bpe", zlib.crc32(packed), remember), lambda: Encoder(zlib.decompress(packed).decode(), remember))
 
 
 #: What ``round_trip`` can give: Arrow type, and the value from (packed ids, decode).
@@ -218,17 +220,18 @@ OUTPUTS = {
 }
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: Sequence[str] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: Sequence[str] = ("n_tokens", "ids", "decoded"), remember: float = 1.0) -> DataFrame:
     """Encode whole texts and decode the ids again: id and ``outputs``, any of n_tokens, ids (packed, little-endian), decoded, and digests of both.
 
     Every row is worked on by itself where it is read; nothing is shuffled.  Digests are taken there, so texts and ids go
     back only if they are asked for.  The file is read by the driver and broadcast, which its size bounds.  Null
     texts count as empty and give no tokens.  Repeated rows and null ids keep their rows, other columns are not read.
+    With a smaller ``remember`` workers take less memory and more time (see ``Encoder``).
     """
     packed = share(docs.sparkSession, read_vocabulary(path))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = encoder(packed.value)
+        model = encoder(packed.value, remember)
         found: list[list] = [[] for _ in outputs]
         for text in batch.column(1).to_pylist():
             ids = model.encode(text)

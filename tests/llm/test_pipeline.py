@@ -68,3 +68,15 @@ def test_mixed_short_and_unknown_texts_keep_their_place(spark, documents, prose,
     assert scores[900] < 0.4 and scores[902] < 0.4
     kept = P.keep_known_languages(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted([r[0] for r in clean] + [900, 901, 902])
+
+
+def test_encoder_remembers_less_in_the_pipeline(prose):
+    from ledgerline.llm import bpe
+
+    packed = bpe.read_vocabulary(public_tokenizers.path(P.VOCABULARY))
+    whole, small = bpe.encoder(packed), bpe.encoder(packed, 0.001)
+    assert P.REMEMBER <= 0.25 and bpe.encoder(packed, 0.001) is small and small is not whole
+    texts = [prose(language, 400, i) + f" x{i}" for i in range(30) for language in ("xx", "yy", "zz")]
+    assert [small.encode(x) for x in texts] == [whole.encode(x) for x in texts]
+    for name in ("words_seen", "fits", "first"):
+        assert len(getattr(small, name)) + len(getattr(small, name).old) <= 2 * getattr(small, name).limit < 400
