@@ -206,3 +206,25 @@ def test_stream_redact_and_dedupe(spark, rows, tmp_path):
     stream = source(spark, str(tmp_path / "in"), one, two)
     clean = L.stream_redact(L.stream_dedupe(stream, ["command"], "ts"), "status")
     assert rows(finish(spark, clean, tmp_path), "command", "status") == [("a", "at <ip>"), ("b", "<email>")]
+
+
+def test_changes_are_folded_for_many_keys_at_once(spark, rows, tmp_path):
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    one = [(f"k{i}", at(0), "x", "running") for i in range(300)] + [(None, at(0), "x", "running")]
+    two = [(f"k{i}", at(30), "x", "success" if i % 2 else "waiting") for i in range(100)] + [("k0", at(20), "x", "old"), ("k1", at(30), "x", "failure")]
+    three = [(f"k{i}", at(50), "x", "running") for i in range(50)] + [("k60", at(65), "x", "waiting"), ("z", at(80), "x", None)]
+    stream = source(spark, str(tmp_path / "in"), one, two, three)
+    changes = L.stream_changes(stream, "command", "ts", "status", ["success", "failure"], timeout_ms=3600_000, groups=3)
+    expected = [(f"k{i}", "running", "change") for i in range(300)] + [(None, "running", "change")]
+    expected += [(f"k{i}", "success" if i % 2 else "waiting", "terminal" if i % 2 else "change") for i in range(100)]
+    expected += [(f"k{i}", "running", "change") for i in range(0, 50, 2)]
+    expected += [(f"k{i}", "running", "timeout") for i in range(100, 300)] + [(None, "running", "timeout")]
+    assert rows(finish(spark, changes, tmp_path), "key", "state", "outcome") == sorted(expected, key=repr)
+
+
+def test_changes_call_python_once_for_a_group_of_keys(spark, tmp_path):
+    stream = source(spark, str(tmp_path / "in"), [(f"k{i}", "2024-01-01 00:00:00", "x", "running") for i in range(200)])
+    changes = L.stream_changes(stream, "command", "ts", "status", ["success"], timeout_ms=3600_000, groups=3)
+    finish(spark, changes, tmp_path)
+    kept = spark.read.format("statestore").load(str(tmp_path / "progress"))
+    assert kept.count() == 3
