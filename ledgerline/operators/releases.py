@@ -26,10 +26,18 @@ def pivot_complete(df: DataFrame, group: list[str], key: str, value: str, order:
     return wide.withColumn("complete", complete)
 
 
-def identity(version: Column, published: Column, url: Column, assets: Column) -> Column:
-    """Digest of a release that ignores the order of its assets (name, url, id)."""
-    listed = F.array_sort(F.transform(assets, lambda a: F.struct(a["name"], a["url"], a["id"])))
-    return F.sha2(F.to_json(F.struct(version.alias("v"), published.cast("string").alias("p"), url.alias("u"), listed.alias("a"))), 256)
+def asset_fields(asset: Column) -> tuple[Column, Column, Column]:
+    return asset["name"], asset["url"], asset["id"]
+
+
+def identity(version: Column, published: Column, url: Column, assets: Column, fields: Callable[[Column], tuple[Column, ...]] = asset_fields) -> Column:
+    """Digest of a release that ignores the order of its assets.
+
+    ``fields`` gives the (name, url, id) of an element of ``assets``, by default of a struct.
+    They are put in order by their own ordering, not by a comparing function that is called for every two.
+    """
+    listed = F.transform(assets, lambda a: F.struct(*[value.alias(name) for value, name in zip(fields(a), ("name", "url", "id"), strict=True)]))
+    return F.sha2(F.to_json(F.struct(version.alias("v"), published.cast("string").alias("p"), url.alias("u"), F.sort_array(listed).alias("a"))), 256)
 
 
 def identified(assets: Column) -> Column:

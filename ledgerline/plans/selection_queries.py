@@ -307,15 +307,16 @@ def identity(t):
     """Two reads of every document, its words as assets: reversed in the second, with some words, sizes and rows changed."""
 
     def read(rows, words, size):
-        assets = F.transform(words, lambda word: F.struct(word.alias("name"), F.lit("u").alias("url"), F.length(word).alias("id")))
-        return rows.select("doc_id", L.identity(F.col("lang"), size, F.col("source"), assets).alias("identity"))
+        asset = lambda word: (word, F.lit("u"), F.length(word))
+        return rows.select("doc_id", L.identity(F.col("lang"), size, F.col("source"), words, asset).alias("identity"))
 
-    words = F.split("text", " ", -1)
-    changed = F.when(F.col("lang") == "en", F.transform(words, lambda w: F.replace(w, F.lit("the"), F.lit("The")))).otherwise(words)
+    words = lambda text: F.split(text, " ", -1)
+    # what is replaced has no blank, so it may be replaced before the text is cut into words
+    changed = F.when(F.col("lang") == "en", F.replace("text", F.lit("the"), F.lit("The"))).otherwise(F.col("text"))
     size = F.when(F.col("n_chars") > 3000, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
     documents = spread(t.documents)
-    first = read(documents, words, F.col("n_chars"))
-    second = read(documents.where("source <> 'src3'"), F.reverse(changed), size)
+    first = read(documents, words(F.col("text")), F.col("n_chars"))
+    second = read(documents.where("source <> 'src3'"), F.reverse(words(changed)), size)
     return L.identity_changes(first, second, "doc_id")
 
 

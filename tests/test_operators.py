@@ -172,6 +172,24 @@ def test_identity_ignores_asset_order(spark):
     assert ids[0] == ids[1] != ids[2]
 
 
+def test_identity_of_odd_assets_keeps_its_digest(spark):
+    odd = [("b", None, 2), None, (None, "u", 1), ("b", None, None), ("a", "v", 1), ("B", "v", 1), ("a", "v", 1), ("", "é", -1)]
+    frame = spark.createDataFrame([(1, odd), (2, odd[::-1]), (3, []), (4, None)], "k int, assets array<struct<name:string,url:string,id:int>>")
+    one = F.lit("x")
+    text = F.to_json(F.struct(one.alias("v"), one.alias("p"), one.alias("u"), F.array_sort(F.transform("assets", lambda a: F.struct(a["name"], a["url"], a["id"]))).alias("a")))
+    got = frame.orderBy("k").select(L.identity(one, one, one, F.col("assets")), F.sha2(text, 256)).collect()
+    assert all(a == b for a, b in got) and got[0][0] == got[1][0] and len({a for a, _ in got}) == 3
+
+
+def test_identity_takes_fields_of_plain_words_and_calls_no_comparing_function(spark):
+    frame = spark.createDataFrame([(["b", "a", None, "b"],), ([],)], "words array<string>")
+    one, named = F.lit("x"), lambda w: (w, F.lit("u"), F.length(w))
+    whole = F.transform("words", lambda w: F.struct(w.alias("name"), F.lit("u").alias("url"), F.length(w).alias("id")))
+    plain = frame.select(L.identity(one, one, one, F.col("words"), named).alias("a"))
+    assert [r.a for r in plain.collect()] == [r.a for r in frame.select(L.identity(one, one, one, whole).alias("a")).collect()]
+    assert "array_sort" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_attestation_requires_publisher_name_and_digest(spark, rows):
     def statement(subjects):
         return base64.b64encode(json.dumps({"subject": subjects}).encode()).decode()
