@@ -63,3 +63,18 @@ def test_kept_rows_and_empty_table(documents):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
     assert D.exact_dedup(documents([])).count() == 0
+
+
+def test_a_carried_text_is_stored_once(spark, documents, tmp_path, monkeypatch):
+    made = {}
+    monkeypatch.setattr(D, "scratch_path", lambda spark, name: made.setdefault(name, str(tmp_path / name)))
+    docs = documents([(1, "a  b"), (2, "a b"), (3, None), (4, "")])
+    assert sorted(r.doc_id for r in D.keep_first(docs).collect()) == [1, 3]
+    assert spark.read.parquet(made["dedup-store"]).columns == ["row", "id", "digest"]
+
+
+def test_carried_texts_with_one_digest_are_told_apart(documents):
+    rows = [(i, f"text {i % 4}") for i in range(40)] + [(100, None), (101, ""), (102, "text  1")]
+    weak = lambda text: F.lit("same").substr(F.lit(1), F.when(text == "", 1).otherwise(F.lit(4)))
+    docs = documents(rows)
+    check(D.exact_dedup(docs, carry=docs.columns, digest=weak).collect(), rows)
