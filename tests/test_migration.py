@@ -172,6 +172,23 @@ def test_best_edges_are_sorted_out_once(spark, rows):
     assert rows(done.audits["deduplication"]) == [("a", "b")]
 
 
+def test_only_edges_that_share_a_key_are_sorted_out(spark, rows, tmp_path):
+    other = {**edge("c", 0.1, AT), "edge_type": "names"}
+    raw = {"content": [content()], "entity": [ENTITY], "content_entity": [edge("a", 0.7, AT), edge("b", 0.9, AT), other]}
+    stage = str(tmp_path / "stage")
+    done = M.migrate({name: variants(spark, records) for name, records in raw.items()}, vector_size=3, stage=stage)
+    assert rows(done.tables["content_entity"], "id") == [("b",), ("c",)]
+    assert rows(spark.read.parquet(f"{stage}/kept_edges"), "id") == [("b",)]
+
+
+def test_ids_are_not_moved_to_find_the_repeated_ones(spark, rows):
+    done = run(spark, content=[content(), content(), content("content:c2")])
+    assert rows(done.unresolved) == []
+    moved = [part for part in done.violations._jdf.queryExecution().optimizedPlan().toString().split("Union") if "Aggregate [id#" in part]
+    assert moved and all("_digest" in part for part in moved)
+    assert rows(done.violations) == [("content", "c1", "duplicate id")]
+
+
 @pytest.mark.parametrize(
     "given, ident, error",
     [
