@@ -54,6 +54,20 @@ def test_keep_best_is_independent_of_row_order(spark, rows):
         assert audit == sorted((r[3], best[r[0]][3]) for r in data if r != best[r[0]])
 
 
+@pytest.mark.parametrize("few_keys", [10, 1])
+def test_rows_alone_and_rows_that_share_a_key(spark, rows, few_keys):
+    data = [("a", None, 1), ("a", None, 2), ("b", 1, 3), ("b", 1, 4), ("b", 2, 5), (None, None, 6)]
+    frame = spark.createDataFrame(data, "k string, n int, i int").repartition(3)
+    alone, shared = W.split_repeated(frame, ["k", "n"], few_keys)
+    assert rows(shared, "i") == [(1,), (2,), (3,), (4,)] if few_keys > 1 else [(i,) for i in range(1, 7)]
+    assert rows(alone.unionByName(shared)) == rows(frame) and alone.columns == frame.columns
+
+
+def test_nothing_is_worked_out_to_describe_a_sound_table(spark):
+    counts = spark.range(6).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.raise_error(F.lit("described")).cast("string")).alias("why"))
+    assert_empty(counts.where("n > 1"), "keys")
+
+
 def test_last_write_and_sets(spark, rows):
     frame = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "z"), ("b", 1, "z")], "k string, n int, v string")
     assert rows(W.merge_last(frame, ["k"], [F.col("n")])) == [("a", 2, None), ("b", 1, "z")]
