@@ -1,6 +1,7 @@
 """Content migration: normalise, deduplicate, repair, refuse."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions import normalize as N
 from ledgerline.operators import integrity as I
 from ledgerline.plans import migration as M
+from ledgerline.session import STEPS_AT_ONCE, side_by_side
 from ledgerline.sources import snapshot as S
-from ledgerline.violations import ValidationError
+from ledgerline.violations import ValidationError, assert_empty
 
 AT = "2024-01-01T00:00:00Z"
 
@@ -172,6 +174,36 @@ def test_best_edges_are_sorted_out_once(spark, rows):
     assert rows(done.audits["deduplication"]) == [("a", "b")]
 
 
+def test_lines_of_all_tables_are_counted_in_one_pass(spark, rows, tmp_path):
+    tables = {"a": spark.range(3).select(F.col("id").cast("string")), "b": spark.range(0).select(F.col("id").cast("string")), "c_1": spark.range(2).select(F.col("id").cast("string"))}
+    S.write_snapshot(tables, {}, str(tmp_path / "snap"))
+    assert rows(S.read_manifest(spark, str(tmp_path / "snap"))) == [("a", 3, 1), ("b", 0, 1), ("c_1", 2, 1)]
+    counted = S.line_counts(spark, str(tmp_path / "snap"), list(tables))
+    assert rows(counted) == [("a", 3), ("b", 0), ("c_1", 2)]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count(" text") == 1
+    assert rows(S.verify_snapshot(spark, str(tmp_path / "snap"))) == []
+
+
+def test_few_steps_run_side_by_side(spark):
+    running, most = [], []
+
+    def step():
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.05)
+        running.pop()
+        return len(most)
+
+    assert len(side_by_side(spark, [step] * 12)) == 12 and max(most) <= STEPS_AT_ONCE
+
+
+def test_violations_are_asked_part_by_part(spark):
+    sound, wrong = spark.range(3).where("id < 0"), spark.range(3).where("id = 1")
+    assert_empty([sound, sound], "parts")
+    with pytest.raises(ValidationError, match="parts: {'id': 1}"):
+        assert_empty([sound, wrong], "parts")
+
+
 def test_only_edges_that_share_a_key_are_sorted_out(spark, rows, tmp_path):
     other = {**edge("c", 0.1, AT), "edge_type": "names"}
     raw = {"content": [content()], "entity": [ENTITY], "content_entity": [edge("a", 0.7, AT), edge("b", 0.9, AT), other]}
