@@ -440,3 +440,11 @@ def test_fields_are_sorted_behind_a_shuffle(spark):
         assert [got[g].k0, got[g].k1, got[g].k2] == [max(fields.get("k0", [""])) or None, max(fields.get("k1", [""])) or None, max(fields.get("k2", ["none"]))]
     plan = wide._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "Exchange" in plan.split("Sort [")[-1]
+
+
+def test_nodes_of_a_graph_are_numbered_those_that_lead_to_many_last(spark, rows):
+    edges = spark.createDataFrame([("a", "h"), ("b", "h"), ("h", "c"), ("h", "d"), ("d", "a")], "src string, dst string")
+    ranked = G._ranked(edges)
+    assert ranked.dtypes == [("name", "string"), ("node", "bigint")]
+    found = sorted((number, name) for name, number in rows(ranked))
+    assert len({number for number, _ in found}) == 5 and found[-1][1] == "h" and {name for _, name in found[:2]} == {"b", "c"}
